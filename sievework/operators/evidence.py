@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify, entities, rx, signals, text
-from .ranking import DIGITS, QUERY
+from .ranking import DIGITS, per_query
 
 LEAST_WEIGHT, MOST_WEIGHT, DEFAULT_WEIGHT = 0.05, 1.0, 0.5
 CONCEPT_RATIO = 0.12
@@ -30,7 +30,7 @@ def redundancy_penalty(df: DataFrame) -> DataFrame:
 def concept_continuity(df: DataFrame) -> DataFrame:
     """Reward for sharing concept terms with other rows of the query; the term sets travel as one array per query."""
     terms = df.withColumn("_terms", signals.concept_terms(F.col("content")))
-    listed = terms.withColumn("_all", F.array_sort(F.collect_list(F.struct("pos", "_terms")).over(QUERY)))
+    listed = terms.withColumn("_all", F.array_sort(F.collect_list(F.struct("pos", "_terms")).over(per_query())))
     ratios = F.transform(
         F.filter("_all", lambda other: other["pos"] != F.col("pos")),
         lambda other: signals.shared_concept_ratio(F.col("_terms"), other["_terms"]),
@@ -68,7 +68,7 @@ def fuse_evidence(df: DataFrame) -> DataFrame:
     )
     rows = concept_continuity(rows.withColumn("preliminary", signals.clamp(preliminary, LEAST_WEIGHT, MOST_WEIGHT)))
     weight = signals.clamp(F.col("preliminary") + F.col("continuity"), LEAST_WEIGHT, MOST_WEIGHT)
-    place = F.row_number().over(QUERY.orderBy(F.desc("weight"), "pos")) - 1
+    place = F.row_number().over(per_query().orderBy(F.desc("weight"), "pos")) - 1
     return (
         rows.withColumn("weight", F.round(weight, DIGITS))
         .select(
@@ -155,19 +155,19 @@ def source_key(df: DataFrame) -> Column:
 
 def source_cap_with_fallback(df: DataFrame, order: tuple[Column, ...]) -> DataFrame:
     """At most 2 rows per source and 8 in all; when fewer than 5 were kept, the rest fills up to 8. chosen_pos orders."""
-    rows = df.withColumn("_key", source_key(df)).withColumn("_place", F.row_number().over(QUERY.orderBy(*order)))
+    rows = df.withColumn("_key", source_key(df)).withColumn("_place", F.row_number().over(per_query().orderBy(*order)))
     within = F.row_number().over(W.partitionBy("query_id", "_key").orderBy("_place"))
     rows = rows.withColumn("_capped", within <= MAX_PER_SOURCE)
     running = F.row_number().over(W.partitionBy("query_id", "_capped").orderBy("_place"))
     rows = rows.withColumn("_running", running).withColumn(
         "_first", F.col("_capped") & (F.col("_running") <= MAX_EVIDENCE)
     )
-    rows = rows.withColumn("_kept", F.sum(F.col("_first").cast("int")).over(QUERY))
+    rows = rows.withColumn("_kept", F.sum(F.col("_first").cast("int")).over(per_query()))
     # with fewer than 5 kept every capped row is among them, so the leftovers are exactly the uncapped rows
     fill = ~F.col("_first") & (F.col("_kept") < ENOUGH) & (F.col("_kept") + F.col("_running") <= MAX_EVIDENCE)
     return (
         rows.where(F.col("_first") | fill)
-        .withColumn("chosen_pos", F.row_number().over(QUERY.orderBy(F.desc("_first"), "_place")) - 1)
+        .withColumn("chosen_pos", F.row_number().over(per_query().orderBy(F.desc("_first"), "_place")) - 1)
         .drop("_key", "_place", "_capped", "_running", "_first", "_kept")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rx
 from .context import or_empty, ordered_join, two_decimals
-from .ranking import DIGITS, QUERY
+from .ranking import DIGITS, per_query
 
 NO_MEMORY_NUMBERED = "No relevant memories were found."
 NO_MEMORY_TOP3 = "(no relevant memory found)"
@@ -27,7 +27,7 @@ def apply_weights(df: DataFrame, as_of: Column) -> DataFrame:
 def top_per_query(df: DataFrame, k: int, *order: Column, out: str = "rank") -> DataFrame:
     """First k rows per query; the literal k lets every task drop rows before the shuffle."""
     return (
-        df.withColumn(out, F.row_number().over(QUERY.orderBy(*order)))
+        df.withColumn(out, F.row_number().over(per_query().orderBy(*order)))
         .where(F.col(out) <= k)
         .withColumn(out, F.col(out) - 1)
     )

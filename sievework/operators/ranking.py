@@ -18,11 +18,14 @@ NEIGHBOURS = 15
 NEIGHBOUR_OVERLAP = 0.12
 BUDGET_CEILING = 16000
 ROUNDS = 3
-QUERY = W.partitionBy("query_id")
 # scores are compared at 9 digits: a difference beyond that is summation order, not meaning
 DIGITS = 9
 
 
+def per_query():
+    return W.partitionBy("query_id")
+
+
 def by_query(df: DataFrame) -> DataFrame:
     return df.repartition("query_id")
 
@@ -48,7 +51,7 @@ def dedupe_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def renumber(df: DataFrame, *order: Column, out: str = "pos") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(QUERY.orderBy(*order)) - 1)
+    return df.withColumn(out, F.row_number().over(per_query().orderBy(*order)) - 1)
 
 
 def score_candidates(df: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def neighborhoods(df: DataFrame) -> DataFrame:
     """
     sets = df.withColumn("_words", signals.word_set(F.col("content")))
     first = F.when(F.col("pos") < NEIGHBOURS, F.struct("pos", "_words"))
-    listed = sets.withColumn("_first", F.array_sort(F.collect_list(first).over(QUERY)))
+    listed = sets.withColumn("_first", F.array_sort(F.collect_list(first).over(per_query())))
     overlaps = F.transform(
         F.filter("_first", lambda other: other["pos"] != F.col("pos")),
         lambda other: signals.semantic_overlap(F.col("_words"), other["_words"]),
@@ -91,7 +94,7 @@ def neighborhoods(df: DataFrame) -> DataFrame:
 
 
 def relationship_scoring(df: DataFrame) -> DataFrame:
-    strongest = F.greatest(F.max("neighborhood_strength").over(QUERY), F.lit(0.01))
+    strongest = F.greatest(F.max("neighborhood_strength").over(per_query()), F.lit(0.01))
     ratio = F.col("_ratio")
     return (
         df.withColumn("max_neighborhood", strongest)
@@ -128,9 +131,9 @@ def retrieval_pressure(df: DataFrame) -> DataFrame:
 def attach_pressure(df: DataFrame) -> DataFrame:
     """The same numbers on every candidate row, without leaving the query's partition."""
     value = pressure(
-        F.count(F.lit(1)).over(QUERY),
-        F.size(F.collect_set("filename").over(QUERY)),
-        F.avg(F.coalesce("similarity", F.lit(0.0))).over(QUERY),
+        F.count(F.lit(1)).over(per_query()),
+        F.size(F.collect_set("filename").over(per_query())),
+        F.avg(F.coalesce("similarity", F.lit(0.0))).over(per_query()),
     )
     return df.withColumn("pressure", value).withColumn("high_pressure", F.round("pressure", DIGITS) >= 12)
 
@@ -159,7 +162,7 @@ def file_scores(df: DataFrame) -> DataFrame:
     summed = ranked.withColumn("file_score", F.round(F.sum("final_score").over(of_file), DIGITS)).withColumn(
         "_file_first", F.min("score_pos").over(of_file)
     )
-    place = F.dense_rank().over(QUERY.orderBy(F.desc("file_score"), "_file_first"))
+    place = F.dense_rank().over(per_query().orderBy(F.desc("file_score"), "_file_first"))
     return summed.withColumn("file_rank", place).drop("_file_first")
 
 
@@ -179,7 +182,7 @@ def budget_pack(df: DataFrame) -> DataFrame:
         F.col("_same").cast("int").alias("same"),
     )
     listed = df.withColumn("_same", F.min("score_pos").over(same)).withColumn(
-        "_queue", F.array_sort(F.collect_list(entry).over(QUERY))
+        "_queue", F.array_sort(F.collect_list(entry).over(per_query()))
     )
     nothing = F.array().cast("array<int>")
     start = F.struct(
@@ -220,5 +223,5 @@ def final_topk(df: DataFrame) -> DataFrame:
 def weak_top_cutoff(df: DataFrame, k: int = 5, weakest: float = 0.05) -> DataFrame:
     """First k rows per query in score order; none when even the best is weak."""
     ranked = renumber(df, F.desc("similarity"), F.col("pos"), out="rank")
-    kept = ranked.where(F.col("rank") < k).withColumn("_best", F.max("similarity").over(QUERY))
+    kept = ranked.where(F.col("rank") < k).withColumn("_best", F.max("similarity").over(per_query()))
     return kept.where(F.col("_best") >= weakest).drop("_best")

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .stateful import LIMIT_SCHEMA, decide
 
-FOLDED = LIMIT_SCHEMA + ", slice long, tail array<long>"
+FOLDED = LIMIT_SCHEMA + ", slice long"
 
 
-def _fold(limit: int, window: int, width: int):
+def _fold(limit: int, window: int):
     def run(batches):
         import pandas as pd
 
@@ -37,27 +37,28 @@ def _fold(limit: int, window: int, width: int):
                     user, piece = u, s
                     accepted = [] if seed is None else [int(t) for t in seed]
                 accepted, allowed, remaining, wait = decide(accepted, now, limit, window)
-                end = (s + 1) * width
-                out.append((u, event, now, allowed, remaining, wait, s, [t for t in accepted if end - t < window]))
+                out.append((u, event, now, allowed, remaining, wait, s))
             yield pd.DataFrame(
                 out,
-                columns=["user_id", "event_id", "ts_us", "allowed", "remaining", "retry_after", "slice", "tail"],
+                columns=["user_id", "event_id", "ts_us", "allowed", "remaining", "retry_after", "slice"],
             )
 
     return run
 
 
-def _decide(rows: DataFrame, seeds: DataFrame, limit: int, window: int, width: int) -> DataFrame:
+def _decide(rows: DataFrame, seeds: DataFrame, limit: int, window: int) -> DataFrame:
     """Fold every slice in time order; the task reads its sorted rows once and holds at most limit times."""
     seeded = rows.join(seeds, ["user_id", "slice"], "left")
     ordered = seeded.repartition("user_id", "slice").sortWithinPartitions("user_id", "slice", "ts_us", "event_id")
-    return ordered.mapInPandas(_fold(limit, window, width), FOLDED)
+    return ordered.mapInPandas(_fold(limit, window), FOLDED)
 
 
-def _tails(decided: DataFrame) -> DataFrame:
-    """The accepted times each slice hands on: those of its last request."""
-    last = F.max_by("tail", F.struct("ts_us", "event_id"))
-    return decided.groupBy("user_id", "slice").agg(last.alias("seed"))
+def _handed_on(decided: DataFrame, window: int, width: int) -> DataFrame:
+    """What each slice hands to the next: its accepted times in the last window, at most limit of them."""
+    late = F.col("allowed") & ((F.col("slice") + 1) * width - F.col("ts_us") < window)
+    return decided.groupBy("user_id", (F.col("slice") + 1).alias("slice")).agg(
+        F.array_sort(F.collect_list(F.when(late, F.col("ts_us")))).alias("seed")
+    )
 
 
 def rate_limit(
@@ -76,14 +77,11 @@ def rate_limit(
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
     ).withColumn("slice", F.floor(F.col("ts_us") / width).cast("long"))
     no_seeds = rows.sparkSession.createDataFrame([], "user_id long, slice long, seed array<long>")
-    decided = cut_lineage(_decide(rows, no_seeds, limit, window, width))
-
-    def handed_on(state: DataFrame) -> DataFrame:
-        return _tails(state).select("user_id", (F.col("slice") + 1).alias("slice"), "seed")
+    decided = cut_lineage(_decide(rows, no_seeds, limit, window))
 
     used = no_seeds
     for round_number in range(max_rounds + 1):
-        seeds = handed_on(decided)
+        seeds = _handed_on(decided, window, width)
         known = used.withColumnRenamed("seed", "old")
         empty = F.array().cast("array<long>")
         stale = (
@@ -101,14 +99,14 @@ def rate_limit(
             again = rows.join(users, "user_id", "left_semi").withColumn("slice", F.lit(0).cast("long"))
             whole = again.withColumn("seed", F.lit(None).cast("array<long>"))
             whole = whole.repartition("user_id").sortWithinPartitions("user_id", "ts_us", "event_id")
-            redone = whole.mapInPandas(_fold(limit, window, width), FOLDED)
+            redone = whole.mapInPandas(_fold(limit, window), FOLDED)
             decided = decided.join(users, "user_id", "left_anti").unionByName(redone)
             break
         redone = _decide(
-            rows.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_semi"), stale, limit, window, width
+            rows.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_semi"), stale, limit, window
         )
         kept = decided.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_anti")
         decided = cut_lineage(kept.unionByName(redone))
         used = used.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_anti").unionByName(stale)
         used = cut_lineage(used)
-    return decided.drop("slice", "tail")
+    return decided.drop("slice")
