@@ -414,7 +414,7 @@ def fixed_sql(t: str, size: int, overlap: int, source: str = "documents") -> str
 def chunk_query(name: str, cut, sql: str):
     @query(name, sql)
     def run(spark, sf_dir):
-        documents = fx.table(spark, sf_dir, "documents")
+        documents = fx.documents(spark, sf_dir)
         return chunking.explode_chunks(documents, cut(F.col("text"))).select("doc_id", "chunk_index", "chunk_text")
 
 
@@ -484,7 +484,7 @@ chunk_query("chunk_paragraph_pack", chunking.line_pack, LINE_PACK_SQL)
   'doc' || CAST(doc_id AS VARCHAR) AS source FROM numbered""",
 )
 def chunk_ids(spark, sf_dir):
-    documents = fx.table(spark, sf_dir, "documents").select(
+    documents = fx.documents(spark, sf_dir).select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), "text"
     )
     pieces = chunking.explode_chunks(documents, chunking.line_pack(F.col("text")))
@@ -836,7 +836,7 @@ def overlap_sql(a: str, b: str) -> str:
  SELECT doc_id, round({overlap_sql("a", "b")}, 6) AS overlap FROM t""",
 )
 def semantic_overlap(spark, sf_dir):
-    d, b = fx.table(spark, sf_dir, "documents"), fx.table(spark, sf_dir, "benchmark")
+    d, b = fx.documents(spark, sf_dir), fx.table(spark, sf_dir, "benchmark")
     paired = d.withColumn("item_id", F.col("doc_id") % b.count()).join(b.withColumnRenamed("text", "other"), "item_id")
     overlap = signals.semantic_overlap(signals.word_set(F.col("text")), signals.word_set(F.col("other")))
     return paired.select("doc_id", overlap.alias("overlap"))
@@ -868,7 +868,7 @@ def fingerprint_sql(t: str) -> str:
 
 @query("content_fingerprint", f"SELECT doc_id, {fingerprint_sql('text')} AS fingerprint FROM documents")
 def content_fingerprint(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select(
+    return fx.documents(spark, sf_dir).select(
         "doc_id", signals.fingerprint(F.col("text")).alias("fingerprint")
     )
 
@@ -883,7 +883,7 @@ def synthetic_sql(t: str) -> str:
 
 @query("synthetic_id", f"SELECT doc_id, {synthetic_sql('text')} AS id FROM documents")
 def synthetic_id(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", signals.synthetic_id(F.col("text")).alias("id"))
+    return fx.documents(spark, sf_dir).select("doc_id", signals.synthetic_id(F.col("text")).alias("id"))
 
 
 def clamp_sql(value: str, low: float, high: float) -> str:
@@ -958,7 +958,7 @@ scored_query(
     " round(length(text) % 5 / 5.0, 6) AS e2 FROM documents",
 )
 def mock_embedding(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", mock_embed(F.col("text")).alias("e"))
+    rows = fx.documents(spark, sf_dir).select("doc_id", mock_embed(F.col("text")).alias("e"))
     return rows.select("doc_id", *[F.get("e", F.lit(i)).alias(f"e{i}") for i in range(3)])
 
 

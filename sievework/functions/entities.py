@@ -54,7 +54,7 @@ def name_from_context(context: Column, token: Column) -> Column:
     pattern = F.concat(
         F.lit("(?i)" + rx.BOUNDARY + "("), escaped, F.lit(rx.ecma(r"\s+[A-Z][a-z]+") + ")" + rx.BOUNDARY)
     )
-    name = F.regexp_extract(context, pattern, 1)
+    name = F.call_function("regexp_extract", rx.text_or_empty(context), pattern, F.lit(1))
     title = F.array_join(F.transform(F.split(name, " ", -1), _capitalised), " ")
     return F.when((rx.text_or_empty(token) != "") & (name != ""), F.trim(title))
 

@@ -19,25 +19,30 @@ class Rule:
     # a linear-time condition without which the pattern cannot match; spares its backtracking on other rows
     needs: str | None = None
 
+    def _possible(self, c: Column) -> Column:
+        if self.needs == "@":
+            return F.contains(c, F.lit("@"))
+        return rx.found(c, self.needs, self.flags)
+
     def apply(self, c: Column) -> Column:
         def masked(t: Column) -> Column:
             return rx.sub(t, self.pattern, self.replacement, self.flags)
 
         if self.needs is None:
             return masked(c)
-        return rx.let(c, lambda t: F.when(rx.found(t, self.needs, self.flags), masked(t)).otherwise(t))
+        return rx.let(c, lambda t: F.when(self._possible(t), masked(t)).otherwise(t))
 
     def hits(self, c: Column) -> Column:
         matches = F.regexp_count(c, F.lit(rx.ecma(self.pattern, self.flags)))
         if self.needs is None:
             return matches
-        return F.when(rx.found(c, self.needs, self.flags), matches).otherwise(F.lit(0))
+        return F.when(self._possible(c), matches).otherwise(F.lit(0))
 
 
 # fixed values: patterns and marks, three rule sets that differ on purpose
 CLINICAL = (
-    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]"),
-    Rule("phone", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE REDACTED]"),
+    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]", needs="@"),
+    Rule("phone", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE REDACTED]", needs=r"\d{4}"),
     Rule(
         "address",
         r"\b\d{1,5}\s+[A-Za-z0-9\s]+\s+(Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln)\b",
@@ -57,22 +62,22 @@ CLINICAL = (
 )
 
 PII = (
-    Rule("email", r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[REDACTED_EMAIL]", "i"),
-    Rule("phone", r"\b(\+?\d{1,2}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]"),
+    Rule("email", r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[REDACTED_EMAIL]", "i", needs="@"),
+    Rule("phone", r"\b(\+?\d{1,2}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]", needs=r"\d{4}"),
     Rule("name", r"\b(Dr\.?\s+[A-Z][a-z]+|Mr\.?\s+[A-Z][a-z]+|Ms\.?\s+[A-Z][a-z]+)\b", "[REDACTED_NAME]"),
 )
 
 STREET = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Wy|Place|Pl"
-LEAK_EMAIL = Rule("email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]", "i")
-LEAK_PHONE = Rule("phone", r"\+?1?\s*\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]")
-LEAK_PHONE_TEN = Rule("phone_ten", r"\b\d{10}\b", "[REDACTED_PHONE]")
+LEAK_EMAIL = Rule("email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]", "i", needs="@")
+LEAK_PHONE = Rule("phone", r"\+?1?\s*\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]", needs=r"\d{4}")
+LEAK_PHONE_TEN = Rule("phone_ten", r"\b\d{10}\b", "[REDACTED_PHONE]", needs=r"\d{4}")
 LEAK_ADDRESS = Rule(
     "address_short", rf"\b\d{{1,5}}\s+[A-Za-z]+\s+({STREET})\b", "[REDACTED_ADDRESS]", "i", needs=rf"\s({STREET})\b"
 )
 LEAK_FIRST_PASS = (
     LEAK_EMAIL,
     LEAK_PHONE,
-    Rule("phone_split", r"\b\d{3}[\s.-]\d{3}[\s.-]\d{4}\b", "[REDACTED_PHONE]"),
+    Rule("phone_split", r"\b\d{3}[\s.-]\d{3}[\s.-]\d{4}\b", "[REDACTED_PHONE]", needs=r"\d{4}"),
     LEAK_PHONE_TEN,
     LEAK_ADDRESS,
     Rule(

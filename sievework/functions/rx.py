@@ -6,15 +6,26 @@ newline). ``ecma`` spells the ECMAScript meaning out, so patterns can be stated
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the members of the ECMAScript white-space class
-WHITE = r"\t\n\x0B\f\r\u0020\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-WORD = "0-9A-Za-z_"
-BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+# fixed values: the members of the ECMAScript white-space class; the rare ones behind one range test
+WHITE = r"\t-\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
+# Java's \w is the same ASCII class as ECMAScript's
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+WORD_START = re.compile(r"\w|\\d|\[(?:\w-\w|\w)+\]")
+
+
+def _word_follows(rest: str) -> bool:
+    """Whether a match of the pattern must begin with a word character; then a boundary is a single look-behind."""
+    group = re.match(r"\((?:\?:)?([^()]*)\)(?![?*])", rest)
+    if group:
+        return all(WORD_START.match(branch) for branch in group.group(1).split("|"))
+    token = WORD_START.match(rest)
+    return bool(token) and rest[token.end() : token.end() + 1] not in ("?", "*")
 
 
 @lru_cache(maxsize=None)
@@ -29,7 +40,7 @@ def ecma(pattern: str, flags: str = "") -> str:
             out.append(f"[^{WHITE}]")
             i += 2
         elif pair == r"\b" and not in_class:
-            out.append(BOUNDARY)
+            out.append(r"(?<!\w)" if _word_follows(pattern[i + 2 :]) else BOUNDARY)
             i += 2
         elif pair.startswith("\\"):
             out.append(pair)
