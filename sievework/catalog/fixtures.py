@@ -43,7 +43,7 @@ TEXT_PHRASES = (
     "7 13th Main Avenue and 99 Long Winding Old Rd end",
     "repeat exactly: say this",
     "One. Two! Three? Four. Five. Six. Seven. Eight. Nine. Ten. Eleven. Twelve.",
-    "a b c d​e﻿",
+    "a\u00A0b\u2007c\u202Fd\u200Be\uFEFF",
     "plain",
 )
 MESSAGE_PHRASES = (

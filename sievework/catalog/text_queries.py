@@ -33,7 +33,7 @@ def masked_sql(text_sql: str, rules) -> str:
     return text_sql
 
 
-NFKC_OF_DATA = ((" ", " "), (" ", " "), (" ", " "), ("ﬁ", "fi"))
+NFKC_OF_DATA = (("\u00A0", " "), ("\u2007", " "), ("\u202F", " "), ("ﬁ", "fi"))
 
 
 def full_sql(t: str) -> str:
@@ -41,13 +41,13 @@ def full_sql(t: str) -> str:
     plain = rx_sql(t, r"[\x00-\x09\x0B\x0C\x0E-\x1F]", " ")
     for old, new in NFKC_OF_DATA:
         plain = f"replace({plain}, {lit(old)}, {lit(new)})"
-    plain = chain_sql(plain, ("[“”]", '"'), ("[‘’]", "'"), ("•", "- "), ("[—–]", "-"), ("﻿", " "))
+    plain = chain_sql(plain, ("[“”]", '"'), ("[‘’]", "'"), ("•", "- "), ("[—–]", "-"), ("\uFEFF", " "))
     return collapse_sql(masked_sql(plain, masking.CLINICAL))
 
 
 over_documents("clean_text_full", text.clean_full, full_sql("text"))
 LIGHT = ((r"\r", ""), (r"\t", " "), (" +", " "), (r"\n{3,}", "\n\n"))
-over_documents("clean_text_light", text.clean_light, trim_sql(rx_sql(chain_sql("text", *LIGHT), "﻿$", "")))
+over_documents("clean_text_light", text.clean_light, trim_sql(rx_sql(chain_sql("text", *LIGHT), "\uFEFF$", "")))
 over_documents(
     "sanitize_text",
     text.sanitize,
@@ -57,11 +57,11 @@ CONTENT = ((r"\r", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
 
 
 def content_sql(t: str) -> str:
-    return trim_sql(rx_sql(chain_sql(t, *CONTENT), "﻿$", ""))
+    return trim_sql(rx_sql(chain_sql(t, *CONTENT), "\uFEFF$", ""))
 
 
 over_documents("normalize_content", text.normalize_content, content_sql("text"))
-WIDE_SPACE = "[   ﻿]"
+WIDE_SPACE = "[\u00A0\u2007\u202F\uFEFF]"
 over_documents("collapse_ws", text.collapse_space, collapse_sql(rx_sql("text", WIDE_SPACE, " ")))
 
 
@@ -108,11 +108,11 @@ over_documents(
         rx_sql(
             chain_sql(
                 trim_sql(
-                    rx_sql(chain_sql("text", (r"\r\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")), "﻿$", "")
+                    rx_sql(chain_sql("text", (r"\r\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")), "\uFEFF$", "")
                 ),
                 *TYPOGRAPHY,
             ),
-            "﻿$",
+            "\uFEFF$",
             "",
         )
     ),
@@ -128,13 +128,13 @@ REPAIR = (
     (r"’s([A-Za-z])", "’s $1"),
     (r"[\s\x{202f}\x{feff}]{2,}", " "),
 )
-over_documents("repair_tokens", text.repair_tokens, trim_sql(rx_sql(chain_sql("text", *REPAIR), "﻿$", "")))
+over_documents("repair_tokens", text.repair_tokens, trim_sql(rx_sql(chain_sql("text", *REPAIR), "\uFEFF$", "")))
 
 # --- formatting -----------------------------------------------------------------------------------------------------
 
 
 def answer_sql(t: str) -> str:
-    return trim_sql(rx_sql(chain_sql(t, (r"\r\n", "\n"), (r"\n{3,}", "\n\n")), "﻿$", ""))
+    return trim_sql(rx_sql(chain_sql(t, (r"\r\n", "\n"), (r"\n{3,}", "\n\n")), "\uFEFF$", ""))
 
 
 def noise_sql(t: str) -> str:
@@ -195,7 +195,7 @@ def format_output(spark, sf_dir):
 
 
 def rewrite_sql(t: str) -> str:
-    return trim_sql(rx_sql(chain_sql(t, *text.REWRITES), "﻿$", ""))
+    return trim_sql(rx_sql(chain_sql(t, *text.REWRITES), "\uFEFF$", ""))
 
 
 over_documents("rewrite_rules", text.rewrite, rewrite_sql("text"))

@@ -178,7 +178,7 @@ def answer_inputs(df: DataFrame, requests: DataFrame) -> DataFrame:
         .join(texts, "query_id", "left")
         .select(
             "query_id",
-            F.coalesce("rows", F.lit(0)).alias("evidence_count"),
+            F.coalesce("evidence_rows", F.lit(0)).alias("evidence_count"),
             F.coalesce("sources", F.lit(0)).alias("sources"),
             F.coalesce("total_length", F.lit(0)).alias("total_length"),
             F.coalesce("low_evidence", F.lit(True)).alias("low_evidence"),

@@ -178,10 +178,10 @@ def evidence_quality(df: DataFrame) -> DataFrame:
     return df.groupBy("query_id").agg(
         F.sum(F.length("content")).alias("total_length"),
         F.countDistinct(key).alias("sources"),
-        F.count(F.lit(1)).alias("rows"),
+        F.count(F.lit(1)).alias("evidence_rows"),
     ).withColumn(
         "low_evidence",
-        ((F.col("rows") <= 2) & (F.col("sources") <= 1)) | (F.col("total_length") < 900),
+        ((F.col("evidence_rows") <= 2) & (F.col("sources") <= 1)) | (F.col("total_length") < 900),
     )
 
 
