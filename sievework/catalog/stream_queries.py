@@ -12,7 +12,7 @@ from . import fixtures as fx
 from .fixtures import chain_sql, trim_sql
 from .registry import query
 from .store_queries import created
-from .text_queries import LIGHT
+from .text_queries import ENTITY_SQL, HEADER_SQL, LIGHT
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LIMIT, WINDOW = 3, 86400
@@ -83,10 +83,11 @@ CLEANED = trim_sql(chain_sql("text", *LIGHT))
 
 @query(
     "stream_ingest",
-    f"""WITH t AS (SELECT doc_id, lang, source, {CLEANED} AS text FROM documents),
- p AS (SELECT lang, source, text, unnest(range(0, CAST(ceil(length(text) / 450.0) AS BIGINT))) AS chunk_index FROM t)
- SELECT lang AS namespace, source AS file_name, chunk_index,
-  'SOURCE FILE: ' || source || chr(10) || chr(10) || substr(text, chunk_index * 450 + 1, 500) AS chunk_text FROM p""",
+    f"""WITH t AS (SELECT doc_id, lang, source AS file_name, {CLEANED} AS text FROM documents),
+ e AS (SELECT *, {ENTITY_SQL} AS entity FROM t),
+ h AS (SELECT *, {HEADER_SQL} AS header FROM e),
+ p AS (SELECT *, unnest(range(0, CAST(ceil(length(text) / 450.0) AS BIGINT))) AS chunk_index FROM h)
+ SELECT lang AS namespace, file_name, chunk_index, header || substr(text, chunk_index * 450 + 1, 500) AS chunk_text FROM p""",
 )
 def stream_ingest(spark, sf_dir):
     path = new_workspace(spark, "ingested")

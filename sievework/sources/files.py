@@ -29,10 +29,10 @@ DOCUMENT_MEMORY = T.StructType(
 def text_source(spark: SparkSession, path: str, glob: str = "*.{txt,md}") -> DataFrame:
     """One row per file: path and whole text as UTF-8."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
+        spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
-        .text(path)
+        # given here: the argument's default would undo an option of the same name
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 

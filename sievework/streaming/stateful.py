@@ -70,7 +70,7 @@ class SessionCounter(StatefulProcessor):
 
     def init(self, handle):
         state = T.StructType([T.StructField("n", T.LongType()), T.StructField("updated", T.LongType())])
-        self.state = handle.getValueState("session", state, self.ttl_ms)
+        self.state = handle.getValueState("session", state, self.ttl_ms)  # no expiry when None
 
     def handleInputRows(self, key, rows, timerValues):
         n, updated = self.state.get() if self.state.exists() else (0, None)
@@ -84,11 +84,14 @@ class SessionCounter(StatefulProcessor):
         pass
 
 
-def stream_session_state(messages: DataFrame, ttl_hours: int = 24) -> DataFrame:
-    """Messages of a stream of (conv_id, turn, role, content) with the running count of their session."""
+def stream_session_state(messages: DataFrame, ttl_hours: int | None = None) -> DataFrame:
+    """Messages of a stream of (conv_id, turn, role, content) with the running count of their session.
+
+    ttl_hours drops the state of silent sessions; Spark then needs a trigger that keeps running.
+    """
     return messages.groupBy("conv_id").transformWithStateInPandas(
-        SessionCounter(ttl_hours * 3_600_000),
+        SessionCounter(ttl_hours * 3_600_000 if ttl_hours else None),
         "conv_id long, turn long, role string, content string, message_count long",
         "Append",
-        "ProcessingTime",
+        "ProcessingTime" if ttl_hours else "None",
     )
