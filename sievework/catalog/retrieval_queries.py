@@ -9,8 +9,9 @@ from ..operators import context, documents, evidence, memory, ranking, sessions
 from ..operators import vector_search as vs
 from ..plans import retrieve as plan
 from ..plans import search as search_plan
+from ..session import cut_lineage
 from . import fixtures as fx
-from .fixtures import any_sql, chain_sql, collapse_sql, lit, rx_sql, trim_sql
+from .fixtures import chain_sql, collapse_sql, lit, rx_sql, trim_sql
 from .registry import query
 from .text_queries import (
     bucket_ctes,
@@ -314,7 +315,7 @@ RANKED = f"{BASE}, {SCORED}, {CAPPED}, {PACKED}"
 
 def scored(spark, sf_dir):
     queries, corpus = inputs(spark, sf_dir)
-    prepared = plan.prepare_queries(queries)
+    prepared = cut_lineage(plan.prepare_queries(queries))
     return plan.scored(plan.candidates(prepared, corpus, **OWN), prepared)
 
 
@@ -369,7 +370,7 @@ scored_query(
 )
 def retrieval_pressure(spark, sf_dir):
     queries, corpus = inputs(spark, sf_dir)
-    prepared = plan.prepare_queries(queries)
+    prepared = cut_lineage(plan.prepare_queries(queries))
     rows = plan.shape(plan.candidates(prepared, corpus, **OWN)).join(
         prepared.select("query_id", "threshold"), "query_id"
     )
@@ -383,7 +384,7 @@ def retrieval_pressure(spark, sf_dir):
 )
 def similarity_threshold(spark, sf_dir):
     queries, corpus = inputs(spark, sf_dir)
-    prepared = plan.prepare_queries(queries)
+    prepared = cut_lineage(plan.prepare_queries(queries))
     rows = plan.candidates(prepared, corpus, **OWN).join(prepared.select("query_id", "threshold"), "query_id")
     rows = ranking.drop_empty(rows, "chunk_text")
     return ranking.threshold(rows).select("query_id", "doc_id", "similarity")

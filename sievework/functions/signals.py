@@ -35,22 +35,27 @@ def words(content: Column) -> Column:
     return F.filter(F.split(F.lower(rx.text_or_empty(content)), rx.ecma(r"\s+"), -1), lambda w: w != "")
 
 
+def density(word_list: Column) -> Column:
+    return F.when(F.size(word_list) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(word_list)) / F.size(word_list))
+
+
 def semantic_density(content: Column) -> Column:
     """Distinct words over words; 0 for an empty text."""
-    return rx.let(
-        words(content),
-        lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(w)) / F.size(w)),
-    )
+    return rx.let(words(content), density)
 
 
 def word_set(content: Column) -> Column:
     return F.array_distinct(words(content))
 
 
+def telling_words(word_set: Column) -> Column:
+    """The words that count as shared: longer than four characters and no stop words."""
+    return F.filter(word_set, lambda w: (F.length(w) > 4) & ~w.isin(*STOP_WORDS))
+
+
 def semantic_overlap(a: Column, b: Column) -> Column:
     """Shared long words over the larger number of distinct words; a and b are word sets."""
-    shared = F.filter(F.array_intersect(a, b), lambda w: (F.length(w) > 4) & ~w.isin(*STOP_WORDS))
-    return F.size(shared) / F.greatest(F.size(a), F.size(b), F.lit(1))
+    return F.size(telling_words(F.array_intersect(a, b))) / F.greatest(F.size(a), F.size(b), F.lit(1))
 
 
 def concept_terms(content: Column) -> Column:

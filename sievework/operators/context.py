@@ -79,9 +79,7 @@ def assemble_context(df: DataFrame, requests: DataFrame) -> DataFrame:
 
     df: query_id, pos, content, weight and source fields; requests: query_id, intent, message.
     """
-    rows = evidence.semantic_tiers(evidence.labelled(df))
-    groups = evidence.group_by_source(df).withColumnRenamed("source", "source_label")
-    rows = rows.join(groups, ["query_id", "source_label"])
+    rows = evidence.with_source_totals(evidence.semantic_tiers(evidence.labelled(df)))
     line = F.concat(F.lit("- ("), F.col("entity"), F.lit(") "), F.col("content"))
     tier_lines = [
         F.array_join(
@@ -156,25 +154,25 @@ def concat_context(results: DataFrame, requests: DataFrame) -> DataFrame:
     ).select("query_id", "resolved_name", "context")
 
 
-def evidence_text(bucketed: DataFrame) -> DataFrame:
-    """Buckets as titled lists in fixed order."""
-    lists = bucketed.groupBy("query_id", "bucket").agg(
+def evidence_text(bucketed: DataFrame, *keep: str) -> DataFrame:
+    """Buckets as titled lists in fixed order; keep names columns that are equal on all rows of a query."""
+    lists = bucketed.groupBy("query_id", *keep, "bucket").agg(
         ordered_join(F.col("bucket_pos"), F.concat(F.lit("- "), F.col("content")), "\n").alias("items")
     )
     place = F.array_position(F.array(*[F.lit(b) for b in evidence.BUCKET_NAMES]), F.col("bucket"))
     titled = F.concat(F.upper("bucket"), F.lit(" SIGNALS:\n"), F.col("items"))
-    return lists.groupBy("query_id").agg(ordered_join(place, rx.trim(titled), "\n\n").alias("evidence_text"))
+    return lists.groupBy("query_id", *keep).agg(ordered_join(place, rx.trim(titled), "\n\n").alias("evidence_text"))
 
 
 def answer_inputs(df: DataFrame, requests: DataFrame) -> DataFrame:
     """What an answering model would get: chosen evidence as text, and whether evidence is scarce."""
     order = (F.coalesce(F.col("score"), F.lit(0.0)).desc(), F.col("pos")) if "score" in df.columns else (F.col("pos"),)
     chosen = evidence.source_cap_with_fallback(evidence.dedupe_content(df), order)
-    quality = evidence.evidence_quality(chosen)
-    texts = evidence_text(evidence.bucket_rows(chosen, "chosen_pos"))
+    numbers = ("total_length", "sources", "evidence_rows", "low_evidence")
+    rated = evidence.with_quality(chosen)
+    texts = evidence_text(evidence.bucket_rows(rated, "chosen_pos", numbers), *numbers)
     return (
         requests.select("query_id")
-        .join(quality, "query_id", "left")
         .join(texts, "query_id", "left")
         .select(
             "query_id",

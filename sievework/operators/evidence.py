@@ -111,6 +111,19 @@ def group_by_source(df: DataFrame) -> DataFrame:
     )
 
 
+def with_source_totals(df: DataFrame) -> DataFrame:
+    """The numbers of group_by_source on every labelled row; windows on (query, source) need no second pass."""
+    of_source = W.partitionBy("query_id", "source_label")
+    first = F.min(F.struct("pos", "evidence_entity")).over(of_source)
+    return (
+        df.withColumn("_first", first)
+        .withColumn("entity", F.col("_first.evidence_entity"))
+        .withColumn("first_pos", F.col("_first.pos"))
+        .withColumn("total_weight", F.round(F.sum("weight").over(of_source), DIGITS))
+        .drop("_first")
+    )
+
+
 def semantic_tiers(df: DataFrame) -> DataFrame:
     """core, supporting or peripheral per row within its query and source; two rows or fewer are all core."""
     of_source = W.partitionBy("query_id", "source_label")
@@ -172,26 +185,38 @@ def source_cap_with_fallback(df: DataFrame, order: tuple[Column, ...]) -> DataFr
     )
 
 
+def _low_evidence() -> Column:
+    return ((F.col("evidence_rows") <= 2) & (F.col("sources") <= 1)) | (F.col("total_length") < 900)
+
+
 def evidence_quality(df: DataFrame) -> DataFrame:
-    # a row without any source counts as one source of its own kind
-    key = F.coalesce(source_key(df), F.lit(""))
+    # rows without any source count as one source
     return df.groupBy("query_id").agg(
         F.sum(F.length("content")).alias("total_length"),
-        F.countDistinct(key).alias("sources"),
+        F.countDistinct(source_key(df)).alias("sources"),
         F.count(F.lit(1)).alias("evidence_rows"),
-    ).withColumn(
-        "low_evidence",
-        ((F.col("evidence_rows") <= 2) & (F.col("sources") <= 1)) | (F.col("total_length") < 900),
-    )
+    ).withColumn("low_evidence", _low_evidence())
+
+
+def with_quality(df: DataFrame) -> DataFrame:
+    """The numbers of evidence_quality on every row."""
+    return df.withColumns(
+        {
+            "total_length": F.sum(F.length("content")).over(per_query()),
+            "sources": F.size(F.collect_set(source_key(df)).over(per_query())),
+            "evidence_rows": F.count(F.lit(1)).over(per_query()),
+        }
+    ).withColumn("low_evidence", _low_evidence())
 
 
 BUCKET_NAMES = [name for name, *_ in classify.BUCKETS]
 
 
-def bucket_rows(df: DataFrame, order: str = "pos") -> DataFrame:
+def bucket_rows(df: DataFrame, order: str = "pos", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per query, bucket and distinct content, at most 4 (operational 5) per bucket in order."""
     rows = df.select(
         "query_id",
+        *keep,
         F.col(order).alias("_order"),
         rx.trim(rx.text_or_empty("content")).alias("content"),
     ).where(F.col("content") != "")

@@ -27,7 +27,11 @@ def per_query():
 
 
 def by_query(df: DataFrame) -> DataFrame:
-    return df.repartition("query_id")
+    """Rows of a query together. The number is given, because the lists are small in bytes but costly to score:
+    by size alone AQE would merge them into a few tasks."""
+    session = df.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(parts, "query_id")
 
 
 def threshold(df: DataFrame, similarity: str = "similarity", least: str = "threshold") -> DataFrame:
@@ -56,17 +60,17 @@ def renumber(df: DataFrame, *order: Column, out: str = "pos") -> DataFrame:
 
 def score_candidates(df: DataFrame) -> DataFrame:
     """Similarity plus keyword, coverage and density boosts."""
-    scored = df.withColumn("_low", F.lower("content"))
-    scored = scored.withColumn("matched_terms", signals.term_matches(F.col("_low"), F.col("terms"))).withColumn(
-        "semantic_density", signals.semantic_density(F.col("_low"))
+    scored = df.withColumn("matched_terms", signals.term_matches(F.col("content"), F.col("terms"))).withColumn(
+        "_words", signals.words(F.col("content"))
     )
+    scored = scored.withColumn("semantic_density", signals.density(F.col("_words")))
     boosted = (
         F.col("similarity")
         + F.col("matched_terms") * 0.03
         + F.least(F.col("matched_terms") * 0.015, F.lit(0.08))
         + F.col("semantic_density") * 0.03
     )
-    return scored.withColumn("boosted", boosted).drop("_low")
+    return scored.withColumn("boosted", boosted).withColumn("word_set", F.array_distinct("_words")).drop("_words")
 
 
 def file_occurrence(df: DataFrame) -> DataFrame:
@@ -76,20 +80,26 @@ def file_occurrence(df: DataFrame) -> DataFrame:
 def neighborhoods(df: DataFrame) -> DataFrame:
     """Overlap of each row with the first 15 rows of its query: summed strength and number of neighbours.
 
-    The word sets of those rows travel as one array per query; no row pairs are made.
+    The word sets of those rows travel as one array per query; no row pairs are made. A word_set column is used up.
     """
-    sets = df.withColumn("_words", signals.word_set(F.col("content")))
-    first = F.when(F.col("pos") < NEIGHBOURS, F.struct("pos", "_words"))
+    known = F.col("word_set") if "word_set" in df.columns else signals.word_set(F.col("content"))
+    sets = (
+        df.withColumn("_words", known)
+        .withColumn("_n", F.size("_words"))
+        .withColumn("_words", signals.telling_words(F.col("_words")))
+    )
+    first = F.when(F.col("pos") < NEIGHBOURS, F.struct("pos", "_n", "_words"))
     listed = sets.withColumn("_first", F.array_sort(F.collect_list(first).over(per_query())))
     overlaps = F.transform(
         F.filter("_first", lambda other: other["pos"] != F.col("pos")),
-        lambda other: signals.semantic_overlap(F.col("_words"), other["_words"]),
+        lambda other: F.size(F.array_intersect(F.col("_words"), other["_words"]))
+        / F.greatest(F.col("_n"), other["_n"], F.lit(1)),
     )
     near = listed.withColumn("_near", F.filter(overlaps, lambda o: o >= NEIGHBOUR_OVERLAP))
     return (
         near.withColumn("neighborhood_strength", F.aggregate("_near", F.lit(0.0), lambda total, o: total + o))
         .withColumn("relationship_count", F.size("_near"))
-        .drop("_words", "_first", "_near")
+        .drop("_n", "_words", "_first", "_near", "word_set")
     )
 
 

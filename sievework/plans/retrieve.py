@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, entities, rx, signals, text
 from ..operators import ranking
 from ..operators.vector_search import match_vectors
+from ..session import broadcast_if_short, cut_lineage
 
 FETCH_FLOOR = 0.10
 
@@ -32,7 +33,8 @@ def candidates(
     """Best vectors per prepared query with the text of their rows.
 
     Search and text are read apart: the scan sees only scope, key and vector, and the texts are fetched by key for the
-    few rows kept.
+    few rows kept. The hits are written before that, so nothing later can cause a second scan of all vectors. Up to a
+    million hits are broadcast: then the texts are read in place and only those found move.
     """
     hits = match_vectors(
         queries,
@@ -44,7 +46,7 @@ def candidates(
         own_key=own_key,
     )
     texts = corpus.select(key, "filename", "chunk_text")
-    return hits.join(texts, key)
+    return texts.join(broadcast_if_short(cut_lineage(hits)), key)
 
 
 def shape(found: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def shape(found: DataFrame) -> DataFrame:
 def scored(found: DataFrame, prepared: DataFrame) -> DataFrame:
     """Shaped, filtered, de-duplicated and scored candidates, before any cap."""
     settings = prepared.select("query_id", "profile", "top_k", "threshold", "budget", "terms")
-    rows = ranking.by_query(shape(found)).join(settings.hint("shuffle_hash"), "query_id")
+    rows = shape(ranking.by_query(found)).join(settings.hint("shuffle_hash"), "query_id")
     rows = ranking.threshold(rows.where(F.col("content") != ""))
     rows = ranking.score_candidates(ranking.dedupe_fingerprint(rows)).drop("terms")
     rows = ranking.neighborhoods(ranking.file_occurrence(rows))
@@ -66,11 +68,11 @@ def scored(found: DataFrame, prepared: DataFrame) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, *, key: str, own_key: str | None = None) -> DataFrame:
-    """Results of every query in packing order.
+    """Results of every query in packing order. Prepared queries and hits are written to the checkpoint folder.
 
     queries: query_id, query, namespace, query_vector; corpus: key, namespace, filename, chunk_text, embedding.
     """
-    prepared = prepare_queries(queries)
+    prepared = cut_lineage(prepare_queries(queries))
     rows = scored(candidates(prepared, corpus, key=key, own_key=own_key), prepared)
     rows = ranking.file_scores(ranking.file_cap(rows))
     rows = ranking.budget_pack(ranking.adaptive_limits(rows))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -60,3 +61,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on an input of few files; inputs with enough partitions, as large ones have, are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_short(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a written table of a few numbers per row for broadcast when it is short enough, about 60 MB at the limit."""
+    return F.broadcast(written) if written.count() <= limit else written
