@@ -89,7 +89,9 @@ def json_memory_source(spark: SparkSession, path: str, schema: T.StructType = DO
         .option("columnNameOfCorruptRecord", "_corrupt")
     )
     try:
-        return reader.json(path).where(F.col("_corrupt").isNull()).drop("_corrupt")
+        # a broken file gives a row of NULLs; Spark wants a data column read along with the corrupt-record column
+        readable = F.col("_corrupt").isNull() | F.col(schema.fieldNames()[0]).isNotNull()
+        return reader.json(path).where(readable).drop("_corrupt")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
