@@ -59,11 +59,10 @@ def limit_stream(spark, sf_dir):
 
 @query(
     "session_state_stream",
-    "SELECT conv_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_count"
-    " FROM conversations",
+    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_count FROM conversations",
 )
 def session_stream(spark, sf_dir):
-    messages = stream_table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
+    messages = stream_table(spark, sf_dir, "conversations")
     return run_to_end(stateful.stream_session_state(messages), "sessions")
 
 

@@ -114,45 +114,52 @@ class QueryBlock:
         """Read Arrow batches of (scope, key, vector); return the best hits and, if asked, sums over all scores."""
         best = BestHits(self.limits)
         totals = np.zeros((len(self.ids), 2)) if sums else None
-        for batch in batches:
-            if not batch.num_rows or not self.ids:
-                continue
-            rows, good = _matrix(batch.column("vector"), self.width)
-            units = _unit(rows)
-            keys_all = batch.column("key").to_numpy(zero_copy_only=False)
-            # a vector of another width has no angle to the query: score 0
-            order = np.concatenate([np.flatnonzero(good), np.flatnonzero(~good)])
-            units = np.concatenate([units, np.zeros((int((~good).sum()), self.width))])
-            keys_all = keys_all[order]
-            scopes = np.array(batch.column("scope").to_pylist(), dtype=object)[order]
-            for scope, positions in self.by_scope.items():
-                inside = slice(None) if scope is None else scopes == scope
-                keys, part = keys_all[inside], units[inside]
-                if not len(keys):
-                    continue
-                for start in range(0, len(positions), 256):
-                    block = positions[start : start + 256]
-                    scores = np.round(part @ self.units[block].T, SCORE_DIGITS) + 0.0
-                    for column, query in enumerate(block):
-                        own = self.own_keys[query]
-                        column_scores, column_keys = scores[:, column], keys
-                        if own is not None:
-                            other = keys != own
-                            column_scores, column_keys = column_scores[other], keys[other]
-                        if totals is not None:
-                            totals[query] += (len(column_scores), np.exp(column_scores).sum())
-                        if self.floors[query] is not None:
-                            above = column_scores > self.floors[query]
-                            column_scores, column_keys = column_scores[above], column_keys[above]
-                        best.offer(query, column_scores, column_keys)
+        if self.ids:
+            for batch in batches:
+                # slices keep the float64 copies small however wide the vectors are
+                for start in range(0, batch.num_rows, 2048):
+                    self._scan_slice(batch.slice(start, 2048), best, totals)
         return best, totals
 
+    def _scan_slice(self, batch, best, totals):
+        rows, good = _matrix(batch.column("vector"), self.width)
+        # a vector of another width has no angle to the query: score 0
+        units = np.zeros((batch.num_rows, self.width))
+        units[good] = _unit(rows)
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        if None in self.by_scope:
+            self._scan_scope(None, keys, units, best, totals)
+            return
+        codes, scopes = pd.factorize(batch.column("scope").to_pandas())
+        for code, scope in enumerate(scopes):
+            if scope in self.by_scope:
+                inside = codes == code
+                self._scan_scope(scope, keys[inside], units[inside], best, totals)
+
+    def _scan_scope(self, scope, keys, units, best, totals):
+        positions = self.by_scope[scope]
+        for start in range(0, len(positions), 256):
+            block = positions[start : start + 256]
+            table = np.round(units @ self.units[block].T, SCORE_DIGITS) + 0.0
+            for column, query in enumerate(block):
+                scores, kept = table[:, column], keys
+                if self.own_keys[query] is not None:
+                    other = keys != self.own_keys[query]
+                    scores, kept = scores[other], keys[other]
+                if totals is not None:
+                    totals[query] += (len(scores), np.exp(scores).sum())
+                if self.floors[query] is not None:
+                    above = scores > self.floors[query]
+                    scores, kept = scores[above], kept[above]
+                best.offer(query, scores, kept)
+
     def rows(self, best, part):
         """Arrow batch of the hits found by one task; part names the task."""
-        ids, keys, scores = [], [], []
+        ids, tops, keys, scores = [], [], [], []
         for position, query in enumerate(self.ids):
             n = len(best.keys[position])
             ids.extend([query] * n)
+            tops.extend([self.limits[position]] * n)
             keys.append(best.keys[position])
             scores.append(best.scores[position])
         return pa.RecordBatch.from_arrays(
@@ -160,9 +167,10 @@ class QueryBlock:
                 pa.array(ids, pa.int64()),
                 pa.array(np.concatenate(keys) if keys else [], pa.int64()),
                 pa.array(np.concatenate(scores) if scores else [], pa.float64()),
+                pa.array(tops, pa.int32()),
                 pa.array(np.full(len(ids), part % 256), pa.int32()),
             ],
-            names=["query_id", "key", "similarity", "part"],
+            names=["query_id", "key", "similarity", "top", "part"],
         )
 
     def sum_rows(self, totals):

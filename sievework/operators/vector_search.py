@@ -4,7 +4,8 @@ A pair join would emit queries x vectors rows. Here each task multiplies its Arr
 block and keeps the k best per query, so only k rows per query and task are shuffled. Two ways bring queries to vectors:
 
 * up to ``MAX_BROADCAST_QUERIES`` queries (checked by a limited read) they are broadcast and the vectors stay in place;
-* beyond, both sides are cut into blocks of bounded size by hash, every query block meets every vector block once.
+* beyond, both sides of each namespace are cut into blocks of bounded size by hash, and every query block meets every
+  vector block of its namespace once. A namespace holding most vectors just has more blocks.
 
 Both give the same rows. Scores are rounded to 9 digits before ranking, so ties do not depend on how data are split.
 """
@@ -20,7 +21,7 @@ from ..functions import vectors
 MAX_BROADCAST_QUERIES = 16384
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 16384
-HIT_SCHEMA = "query_id long, key long, similarity double, part int"
+HIT_SCHEMA = "query_id long, key long, similarity double, top int, part int"
 SUM_SCHEMA = "query_id long, scored long, exp_sum double"
 
 
@@ -65,13 +66,31 @@ def _broadcast_scan(queries_table, corpus: DataFrame, sums: bool) -> DataFrame:
 
 
 def _block_scan(queries: DataFrame, corpus: DataFrame, sums: bool, query_block: int, vector_block: int) -> DataFrame:
-    query_blocks = -(-queries.count() // query_block)
-    vector_blocks = max(1, -(-corpus.count() // vector_block))
-    spread_queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)))
+    def sizes(df, block, name):
+        blocks = F.ceil(F.count(F.lit(1)) / block).cast("int")
+        return df.groupBy(F.coalesce("scope", F.lit("")).alias("space")).agg(blocks.alias(name))
+
+    def block_of(column, blocks):
+        return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
+
+    def every_block(blocks):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    blocks = sizes(queries, query_block, "q_blocks").join(sizes(corpus, vector_block, "v_blocks"), "space")
+    space = F.coalesce("scope", F.lit(""))
+    spread_queries = (
+        queries.withColumn("space", space)
+        .join(blocks, "space")
+        .withColumn("qb", block_of("query_id", "q_blocks"))
+        .withColumn("vb", every_block("v_blocks"))
+        .drop("q_blocks", "v_blocks")
     )
-    spread_vectors = corpus.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(vector_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))
+    spread_vectors = (
+        corpus.withColumn("space", space)
+        .join(blocks, "space")
+        .withColumn("vb", block_of("key", "v_blocks"))
+        .withColumn("qb", every_block("q_blocks"))
+        .drop("q_blocks", "v_blocks")
     )
     build = vectors.block_from_table
 
@@ -80,11 +99,11 @@ def _block_scan(queries: DataFrame, corpus: DataFrame, sums: bool, query_block:
         best, found = block.scan(right.to_batches(), sums)
         import pyarrow as pa
 
-        return pa.Table.from_batches([block.sum_rows(found) if sums else block.rows(best, key[1].as_py())])
+        return pa.Table.from_batches([block.sum_rows(found) if sums else block.rows(best, key[2].as_py())])
 
     return (
-        spread_queries.groupBy("qb", "vb")
-        .cogroup(spread_vectors.groupBy("qb", "vb"))
+        spread_queries.groupBy("space", "qb", "vb")
+        .cogroup(spread_vectors.groupBy("space", "qb", "vb"))
         .applyInArrow(meet, SUM_SCHEMA if sums else HIT_SCHEMA)
     )
 
@@ -135,9 +154,7 @@ def match_vectors(
         raise ValueError("a column limit needs its largest value")
     shaped = _shape_queries(queries, query_vector, scope, top, floor, own_key)
     hits = _scan(shaped, _shape_vectors(corpus, key, vector, scope), False, broadcast_limit)
-    kept = keep_top(hits, largest, F.lit(largest))
-    # a task keeps no more than the query's own limit, the join restores the limit for the union of tasks
-    kept = kept.join(shaped.select("query_id", "top"), "query_id").where(F.col("rank") <= F.col("top"))
+    kept = keep_top(hits, largest, F.col("top"))
     return kept.select(
         "query_id", F.col("key").alias(key), "similarity", (F.col("rank") - 1).cast("int").alias("pos")
     )

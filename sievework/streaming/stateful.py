@@ -41,7 +41,8 @@ class RateLimiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         accepted = list(self.state.get()[0]) if self.state.exists() else []
-        # a batch must be ordered as a whole before the first decision; it holds one user's rows of one trigger
+        # decisions need time order: two numbers per request of one user and trigger; the source's limit per trigger
+        # (maxFilesPerTrigger and the like) bounds them
         batch = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
         out = []
         for now, event_id in zip(batch["ts_us"].tolist(), batch["event_id"].tolist()):
@@ -63,35 +64,39 @@ def stream_rate_limit(requests: DataFrame, limit: int = 20, window_seconds: int
 
 
 class SessionCounter(StatefulProcessor):
-    """State per session: number of messages and last time; the messages themselves go to the output table."""
+    """State per session: number of messages and last turn. Only turn numbers enter it; texts take no part."""
 
     def __init__(self, ttl_ms):
         self.ttl_ms = ttl_ms
 
     def init(self, handle):
         state = T.StructType([T.StructField("n", T.LongType()), T.StructField("updated", T.LongType())])
-        self.state = handle.getValueState("session", state, self.ttl_ms)  # no expiry when None
+        self.state = handle.getValueState("session", state, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        n, updated = self.state.get() if self.state.exists() else (0, None)
-        batch = pd.concat(list(rows)).sort_values("turn")
-        batch["message_count"] = range(n + 1, n + 1 + len(batch))
-        last = int(batch["turn"].iloc[-1])
-        self.state.update((n + len(batch), last if updated is None else max(updated, last)))
-        yield batch[["conv_id", "turn", "role", "content", "message_count"]]
+        n, updated = self.state.get() if self.state.exists() else (0, -1)
+        turns = pd.concat(list(rows))["turn"].sort_values().tolist()
+        counts = list(range(n + 1, n + 1 + len(turns)))
+        updated = max(updated, turns[-1])
+        self.state.update((counts[-1], updated))
+        yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns, "message_count": counts})
 
     def close(self):
         pass
 
 
 def stream_session_state(messages: DataFrame, ttl_hours: int | None = None) -> DataFrame:
-    """Messages of a stream of (conv_id, turn, role, content) with the running count of their session.
+    """Running message count for a stream of (conv_id, turn); the messages themselves are appended by a plain stream.
 
     ttl_hours drops the state of silent sessions; Spark then needs a trigger that keeps running.
     """
-    return messages.groupBy("conv_id").transformWithStateInPandas(
-        SessionCounter(ttl_hours * 3_600_000 if ttl_hours else None),
-        "conv_id long, turn long, role string, content string, message_count long",
-        "Append",
-        "ProcessingTime" if ttl_hours else "None",
+    return (
+        messages.select("conv_id", "turn")
+        .groupBy("conv_id")
+        .transformWithStateInPandas(
+            SessionCounter(ttl_hours * 3_600_000 if ttl_hours else None),
+            "conv_id long, turn long, message_count long",
+            "Append",
+            "ProcessingTime" if ttl_hours else "None",
+        )
     )
