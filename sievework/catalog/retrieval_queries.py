@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classify, signals, vectors
+from ..functions import vectors
 from ..operators import context, documents, evidence, memory, ranking, sessions
 from ..operators import vector_search as vs
 from ..plans import retrieve as plan
 from ..plans import search as search_plan
 from ..session import cut_lineage
 from . import fixtures as fx
-from .fixtures import chain_sql, collapse_sql, lit, rx_sql, trim_sql
+from .fixtures import chain_sql, collapse_sql, lit, trim_sql
 from .registry import query
 from .text_queries import (
     bucket_ctes,
@@ -160,10 +160,6 @@ def embed_dedupe(spark, sf_dir):
     )
 
 
-def _length_model(texts):
-    return [[float(len(t)), float(t.count(" "))] for t in texts]
-
-
 @query(
     "embed_udf",
     f"""WITH {fx.MESSAGES} SELECT conv_id, turn,
@@ -313,6 +309,15 @@ PACKED = """queue AS (SELECT c.*, f.file_rank, CASE WHEN c.high THEN least(c.bud
 RANKED = f"{BASE}, {SCORED}, {CAPPED}, {PACKED}"
 
 
+@query(
+    "source_file_from_text",
+    f"{BASE}, shaped0 AS (SELECT *, {collapse_sql('chunk_text')} AS content FROM corpus) SELECT doc_id, {FILENAME} AS filename"
+    " FROM shaped0",
+)
+def source_file_from_text(spark, sf_dir):
+    return plan.shape(fx.corpus(spark, sf_dir)).select("doc_id", "filename")
+
+
 def scored(spark, sf_dir):
     queries, corpus = inputs(spark, sf_dir)
     prepared = cut_lineage(plan.prepare_queries(queries))
@@ -888,6 +893,15 @@ def session_history(spark, sf_dir):
     return sessions.session_history(session_messages(spark, sf_dir))
 
 
+@query(
+    "session_state",
+    "SELECT conv_id, count(*) AS message_count, min(turn) AS created_at, max(turn) AS updated_at FROM conversations"
+    " GROUP BY conv_id",
+)
+def session_state(spark, sf_dir):
+    return sessions.session_state(session_messages(spark, sf_dir))
+
+
 @query(
     "session_payload",
     f"""{BASE}, {hits_cte("hits", "2", scoped=False, floor=None)},

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, classify, entities, hashing, masking, rx, signals, text
 from ..functions.vectors import mock_embed
-from ..plans.chat import triage
+from ..plans.chat import finish, triage
 from . import fixtures as fx
 from .fixtures import any_sql, chain_sql, collapse_sql, count_sql, has_sql, lit, rx_sql, trim_sql
 from .registry import query
@@ -399,6 +399,26 @@ def masking_report_leak(spark, sf_dir):
     return masking.masking_report(fx.marked(spark, sf_dir), "text", "source", masking.LEAK_FIRST_PASS)
 
 
+FINISH_SQL = FORMAT_SQL.rsplit(" SELECT doc_id, CASE WHEN norm", 1)
+FINISH_SQL = f"""{FINISH_SQL[0]},
+ formatted AS (SELECT doc_id, request, CASE WHEN norm{FINISH_SQL[1]}),
+ cleaned AS (SELECT doc_id, request, {STRIPPED} AS text FROM formatted),
+ final AS (SELECT doc_id, request, CASE WHEN {has_sql("text", masking.SSN)} THEN {lit(masking.BLOCKED)} ELSE text END AS answer
+  FROM cleaned)
+ SELECT doc_id, answer, length(request) AS input_length, length(answer) AS output_length FROM final"""
+
+
+@query("chat_finish", FINISH_SQL)
+def chat_finish(spark, sf_dir):
+    answers = fx.marked(spark, sf_dir).select(
+        "doc_id",
+        F.col("text").alias("answer"),
+        fx.pick(fx.MESSAGE_PHRASES, F.col("doc_id")).alias("message"),
+        F.lit("").alias("context"),
+    )
+    return finish(answers).select("doc_id", "answer", "input_length", "output_length")
+
+
 # --- chunking -------------------------------------------------------------------------------------------------------
 
 
