@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import rx
 from .context import or_empty, ordered_join, two_decimals
 from .ranking import DIGITS, per_query
+from .vector_search import local_search
 
 NO_MEMORY_NUMBERED = "No relevant memories were found."
 NO_MEMORY_TOP3 = "(no relevant memory found)"
+# texts whose two best memories are looked at to see whether the store answers
 PROBE_QUERIES = ("Who am I?", "What is the doctrine?", "Explain the memory architecture.")
 
 
@@ -78,6 +80,14 @@ def summary_top3(df: DataFrame, queries: DataFrame) -> DataFrame:
     return or_empty(queries.select("query_id"), found, NO_MEMORY_TOP3).withColumnRenamed("context", "summary")
 
 
+def probe(store: DataFrame, embed, key: str, texts: tuple[str, ...] = PROBE_QUERIES) -> DataFrame:
+    """Run fixed queries against the store, two results each."""
+    listed = store.sparkSession.range(1).select(
+        F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("query_id", "query")
+    )
+    return local_search(listed.withColumn("query_vector", embed(F.col("query"))), store, key=key, k=2)
+
+
 def clean_memory(df: DataFrame) -> DataFrame:
     """Add valid: a numeric id, an object as raw JSON, and a vector that is not empty."""
     valid = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import chunking, entities, rx
@@ -46,12 +46,18 @@ def ingest(
     created_at: Column,
     key: tuple[str, ...] = (),
     **options,
-) -> None:
-    """Append documents and embedded chunks; ids depend on the content, so a rerun writes the same rows."""
+) -> dict[str, int]:
+    """Append documents and embedded chunks and return how many of each, counted while writing.
+
+    Ids depend on the content, so a rerun writes the same rows.
+    """
+    written, stored = Observation("documents"), Observation("chunks")
     documents = tables.document_rows(df.where(rx.text_or_empty("text") != ""), created_at, *key)
-    tables.write_table(documents.select("id", "file_name", "namespace", "created_at"), documents_path)
+    documents = documents.select("id", "file_name", "namespace", "created_at")
+    tables.write_table(documents.observe(written, F.count(F.lit(1)).alias("n")), documents_path)
     chunks = chunk_documents(df, created_at=created_at, key=key, **options)
     rows = chunks.withColumn("embedding", embed(F.col("chunk_text"))).select(
         "document_id", "chunk_index", "chunk_text", "embedding", "namespace"
     )
-    tables.write_table(rows, chunks_path, "namespace")
+    tables.write_table(rows.observe(stored, F.count(F.lit(1)).alias("n")), chunks_path, "namespace")
+    return {"documents": written.get["n"], "chunks": stored.get["n"]}

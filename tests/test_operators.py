@@ -236,9 +236,18 @@ def test_ingest_twice_writes_the_same_rows(spark, tmp_path):
     )
     states = []
     for run in ("1", "2"):
-        ingest(docs, str(tmp_path / f"d{run}"), str(tmp_path / f"c{run}"), created_at=F.timestamp_millis(F.lit(0)))
+        counts = ingest(docs, str(tmp_path / f"d{run}"), str(tmp_path / f"c{run}"), created_at=F.timestamp_millis(F.lit(0)))
+        assert counts == {"documents": 2, "chunks": 5}
         chunks = spark.read.parquet(str(tmp_path / f"c{run}"))
         states.append(sorted((r["document_id"], r["chunk_index"], r["chunk_text"]) for r in chunks.collect()))
     assert states[0] == states[1] and len(states[0]) == 5
     assert any(t.startswith("PRIMARY ENTITY: Jane Smith\nSOURCE FILE: Jane Smith cv.pdf\n\n") for _, _, t in states[0])
     assert spark.read.parquet(str(tmp_path / "d1")).count() == 2
+
+
+def test_probe_asks_fixed_questions(spark):
+    from sievework.functions.vectors import mock_embed
+
+    store = spark.range(20).select("id", mock_embed(F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("embedding"))
+    found = memory.probe(store, mock_embed, "id")
+    assert {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()} == {0: 2, 1: 2, 2: 2}
