@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, masking, rx, text
 from ..operators import context, documents
+from ..session import cut_lineage
+from .retrieve import retrieve_requests
 
 
 def triage(messages: DataFrame, identity_answer: str = "Evidence assistant.") -> DataFrame:
@@ -36,4 +40,29 @@ def finish(answers: DataFrame) -> DataFrame:
     return documents.audit_row(cleaned)
 
 
-build_context = context.concat_context
+def answer_contexts(
+    messages: DataFrame,
+    corpus: DataFrame,
+    embed: Callable[[Column], Column],
+    *,
+    key: str,
+    identity_answer: str = "Evidence assistant.",
+) -> DataFrame:
+    """One row per message with everything a model would be given, or the fixed answer that makes it unnecessary.
+
+    messages: query_id, message, private_context, private_mode, role, namespace. Private mode and private context that
+    suffices use no retrieval.
+    """
+    rows = cut_lineage(triage(messages, identity_answer))
+    open_rows = rows.where((F.col("status") == "ok") & F.col("fixed_answer").isNull())
+    searching = open_rows.where(~F.coalesce("private_mode", F.lit(False)) & (F.col("priority") != "NONE"))
+    requests = searching.select(
+        "query_id", F.col("message").alias("query"), "role", "namespace", F.col("namespace").alias("own_namespace")
+    )
+    _, found = retrieve_requests(requests, corpus, embed, key=key)
+    results = found.withColumn("pos", F.col("pack_pos"))
+    contexts = context.concat_context(results, open_rows.select("query_id", "message", "private_context"))
+    joined = rows.join(contexts, "query_id", "left")
+    gate = classify.synthesis_gate(F.col("message"), F.col("context"))
+    answer = F.coalesce(F.col("fixed_answer"), F.when(F.col("status") == "ok", gate))
+    return joined.withColumn("fixed_answer", answer)

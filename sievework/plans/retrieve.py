@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, entities, rx, signals, text
-from ..operators import ranking
-from ..operators.vector_search import match_vectors
+from ..operators import access, ranking
+from ..operators.vector_search import embed_distinct, match_vectors
 from ..session import broadcast_if_short, cut_lineage
 
 FETCH_FLOOR = 0.10
@@ -77,3 +79,26 @@ def retrieve(queries: DataFrame, corpus: DataFrame, *, key: str, own_key: str |
     rows = ranking.file_scores(ranking.file_cap(rows))
     rows = ranking.budget_pack(ranking.adaptive_limits(rows))
     return ranking.final_topk(rows)
+
+
+def judge_requests(requests: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Add status to (query_id, query, namespace, role, own_namespace): what a retrieval request is answered with."""
+    judged = access.authorize(requests.withColumn("action", F.lit("chat")), matrix)
+    status = (
+        F.when(F.col("reason") != "ok", F.col("reason"))
+        .when(rx.trim(rx.text_or_empty("query")) == "", "query required")
+        .otherwise("ok")
+    )
+    return judged.withColumn("status", status).drop("action", "decision", "reason")
+
+
+def retrieve_requests(
+    requests: DataFrame, corpus: DataFrame, embed: Callable[[Column], Column], *, key: str
+) -> tuple[DataFrame, DataFrame]:
+    """(status per request, results of the permitted ones); each distinct normalised query is embedded once."""
+    judged = cut_lineage(judge_requests(requests, access.role_matrix(requests.sparkSession)))
+    permitted = judged.where(F.col("status") == "ok").withColumn(
+        "normalized", text.normalize_query(F.col("query"))
+    )
+    asked = embed_distinct(permitted, "normalized", embed, "query_vector").drop("normalized", "status")
+    return judged.select("query_id", "status"), retrieve(asked, corpus, key=key)
