@@ -139,7 +139,6 @@ def write_chunks(spark, sf_dir):
 @query(
     "upsert_by_id",
     """WITH old AS (SELECT event_id AS id, value AS score, event_type AS text FROM events),
- changes AS (SELECT o_orderkey AS id, o_totalprice AS score, o_orderstatus AS text, o_orderdate AS d, o_custkey FROM orders),
  latest AS (SELECT user_id AS id, arg_max(value, event_id) AS score, arg_max(event_type, event_id) AS text FROM events
   GROUP BY user_id)
  SELECT id, score, text FROM old WHERE id NOT IN (SELECT id FROM latest) UNION ALL SELECT id, score, text FROM latest""",
@@ -147,12 +146,10 @@ def write_chunks(spark, sf_dir):
 def upsert_by_id(spark, sf_dir):
     """Events as rows; every user's newest event is a change to the row with the user's number."""
     events = fx.table(spark, sf_dir, "events")
-    old = events.select(F.col("event_id").alias("id"), F.col("value").alias("score"), F.col("event_type").alias("text"))
-    changes = events.select(
-        F.col("user_id").alias("id"), F.col("value").alias("score"), F.col("event_type").alias("text"), "event_id"
-    )
-    latest = tables.latest_by_id(changes, "event_id").drop("event_id")
-    return old.join(latest.select("id"), "id", "left_anti").unionByName(latest)
+    shape = (F.col("value").alias("score"), F.col("event_type").alias("text"), "event_id")
+    old = events.select(F.col("event_id").alias("id"), *shape)
+    changes = events.select(F.col("user_id").alias("id"), *shape)
+    return tables.upsert_by_id(old, changes, "event_id").drop("event_id")
 
 
 DOOMED = "SELECT document_id, namespace FROM (SELECT document_id, namespace, chunk_index FROM chunks) WHERE chunk_index = 9"
@@ -284,12 +281,13 @@ def authorize_permission(spark, sf_dir):
 
 @query(
     "not_null_key",
-    "SELECT doc_id AS document_id, source FROM documents WHERE doc_id % 3 <> 0 AND doc_id IS NOT NULL",
+    "SELECT l.doc_id AS document_id, source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+    " WHERE l.doc_id IS NOT NULL",
 )
 def not_null_key(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select(
-        F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("document_id"), "source"
-    )
+    """Documents without a label have no key on the label's side."""
+    labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("document_id"))
+    rows = fx.table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select("document_id", "source")
     return documents.with_document(rows)
 
 
@@ -342,13 +340,11 @@ def integrity_report(spark, sf_dir):
 
 @query(
     "metadata_filter",
-    "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src' || CAST(doc_id % 3 AS VARCHAR)",
+    "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src2'",
 )
 def metadata_filter(spark, sf_dir):
     metadata = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
-    wanted = F.create_map(
-        F.lit("source"), F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string"))
-    )
+    wanted = F.create_map(F.lit("source"), F.lit("src2"))
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", metadata.alias("metadata"), wanted.alias("wanted"))
     rows = documents.metadata_filter(rows, {"lang": "en"})
     return rows.where(documents.metadata_contains("metadata", "wanted")).select("doc_id")

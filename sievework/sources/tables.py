@@ -60,13 +60,18 @@ def delete_documents(
 
 
 def memory_entries(df: DataFrame, written_ms: Column) -> DataFrame:
-    """id, raw JSON and time of payload rows; a payload's own id or timestamp wins over the given ones."""
+    """id, raw JSON, time and metadata of payload rows; a payload's own id or timestamp wins over the given ones.
+
+    The raw JSON is also the text to embed.
+    """
     own = {name: F.col(name) if name in df.columns else F.lit(None) for name in ("id", "timestamp")}
     payload = F.to_json(F.struct(*df.columns))
+    metadata = F.to_json("metadata") if "metadata" in df.columns else F.lit(None).cast("string")
     return df.select(
         F.coalesce(own["id"].cast("long"), written_ms).alias("id"),
         payload.alias("raw"),
         F.coalesce(own["timestamp"].cast("long"), written_ms).alias("timestamp"),
+        F.coalesce(metadata, F.lit("{}")).alias("metadata"),
     )
 
 
