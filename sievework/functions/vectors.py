@@ -75,35 +75,35 @@ def _unit(rows):
 
 
 class BestHits:
-    """The k best (score, key) per query seen so far; ties go to the smaller key."""
+    """The k best (score, key) per query seen so far; ties go to the smaller key. bars holds the k-th best scores."""
 
     def __init__(self, limits):
         self.limits = limits
         self.scores = [np.empty(0)] * len(limits)
         self.keys = [np.empty(0, dtype=np.int64)] * len(limits)
+        self.bars = np.full(len(limits), -np.inf)
 
     def offer(self, query, scores, keys):
         limit = self.limits[query]
-        held = self.scores[query]
-        if len(held) == limit:
-            better = scores >= held[-1]
-            scores, keys = scores[better], keys[better]
-        if not len(scores):
-            return
-        scores, keys = np.concatenate([held, scores]), np.concatenate([self.keys[query], keys])
+        scores, keys = np.concatenate([self.scores[query], scores]), np.concatenate([self.keys[query], keys])
         if len(scores) > 4 * limit:
             # ties at the cut stay in, the sort below decides them
             bar = np.partition(scores, len(scores) - limit)[len(scores) - limit]
             scores, keys = scores[scores >= bar], keys[scores >= bar]
         order = np.lexsort((keys, -scores))[:limit]
         self.scores[query], self.keys[query] = scores[order], keys[order]
+        if len(order) == limit:
+            self.bars[query] = scores[order[-1]]
 
 
 class QueryBlock:
-    """Query vectors held by a task: ids, scopes (namespaces, or None for all), unit vectors, limits, floors."""
+    """Query vectors held by a task: ids, scopes (namespaces, or None for all), unit vectors, limits, floors, own keys."""
 
     def __init__(self, ids, scopes, vectors, limits, floors, own_keys):
-        self.ids, self.scopes, self.limits, self.floors, self.own_keys = ids, scopes, limits, floors, own_keys
+        self.ids, self.limits = ids, limits
+        self.floors = np.array([-np.inf if f is None else f for f in floors], dtype=np.float64)
+        self.has_own = np.array([k is not None for k in own_keys], dtype=bool)
+        self.own_keys = np.array([0 if k is None else k for k in own_keys], dtype=np.int64)
         self.width = len(vectors[0]) if len(vectors) else 0
         self.units = _unit(np.array([np.asarray(v, dtype=np.float64) for v in vectors])) if len(vectors) else None
         self.by_scope = {}
@@ -137,21 +137,25 @@ class QueryBlock:
                 self._scan_scope(scope, keys[inside], units[inside], best, totals)
 
     def _scan_scope(self, scope, keys, units, best, totals):
-        positions = self.by_scope[scope]
+        positions = np.array(self.by_scope[scope])
+        sorted_rows = np.argsort(keys, kind="stable")
         for start in range(0, len(positions), 256):
             block = positions[start : start + 256]
             table = np.round(units @ self.units[block].T, SCORE_DIGITS) + 0.0
-            for column, query in enumerate(block):
-                scores, kept = table[:, column], keys
-                if self.own_keys[query] is not None:
-                    other = keys != self.own_keys[query]
-                    scores, kept = scores[other], keys[other]
-                if totals is not None:
-                    totals[query] += (len(scores), np.exp(scores).sum())
-                if self.floors[query] is not None:
-                    above = scores > self.floors[query]
-                    scores, kept = scores[above], kept[above]
-                best.offer(query, scores, kept)
+            low = np.searchsorted(keys, self.own_keys[block], "left", sorter=sorted_rows)
+            high = np.searchsorted(keys, self.own_keys[block], "right", sorter=sorted_rows)
+            for column in np.flatnonzero((high > low) & self.has_own[block]):
+                table[sorted_rows[low[column] : high[column]], column] = -np.inf
+            if totals is not None:
+                totals[block, 0] += np.isfinite(table).sum(axis=0)
+                totals[block, 1] += np.exp(table).sum(axis=0)
+                continue
+            # once k good hits are held, few slices have anything to add
+            for column in np.flatnonzero(table.max(axis=0) >= best.bars[block]):
+                query, scores = block[column], table[:, column]
+                kept = (scores >= best.bars[query]) & (scores > self.floors[query])
+                if kept.any():
+                    best.offer(query, scores[kept], keys[kept])
 
     def rows(self, best, part):
         """Arrow batch of the hits found by one task; part names the task."""
