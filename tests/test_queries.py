@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
+from sievework.catalog import load
 from tests.compare import check, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load()
 # one of each kind; tests/compare.py runs them all
 CHECKED = (
     "clean_text_full", "format_output", "tone_rewrite", "dlp_strip", "masking_report", "chunk_fixed_collapsed",
