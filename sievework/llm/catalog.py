@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, pii, quality, sentencepiece_viterbi, simhash, token_counts
+from pyspark.sql import functions as F
+
+from . import (
+    decontamination,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    lm_scoring,
+    pii,
+    quality,
+    sentencepiece_viterbi,
+    simhash,
+    token_counts,
+)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +31,12 @@ def query(build):
     return build
 
 
+@query
+def op1_lm_scoring(spark, sf_dir):
+    good = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return lm_scoring.cross_entropy_difference(read(spark, sf_dir, "documents"), good)
+
+
 @query
 def op2_sentencepiece(spark, sf_dir):
     return sentencepiece_viterbi.encode(read(spark, sf_dir, "documents"))
@@ -28,11 +47,30 @@ def op3_decontamination(spark, sf_dir):
     return decontamination.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_embedding_dedup(spark, sf_dir):
+    found = embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@query
+def op5_license_scan(spark, sf_dir):
+    return license_scan.license_report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_pii(spark, sf_dir):
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    found = language_id.label_texts(docs, language_id.train(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
+
+
 @query
 def op8_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")

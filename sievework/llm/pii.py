@@ -184,6 +184,9 @@ def pii_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def as_text(found):
         return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    def number(k):
+        return F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+
+    counts = [number(k) for k in BASE]
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     return spans.select(f"`{key}`", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))

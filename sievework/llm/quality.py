@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import kind, named, rows, shape, slices, steady, texts
 
-SAMPLE = 16384
+SAMPLE = 8192
 BUCKETS = 1 << 22
 MIN_COUNT = 5
 CERTAIN = 6.0
@@ -85,13 +85,13 @@ def fit_ordinal(ids: np.ndarray, sizes: np.ndarray, grades: np.ndarray, ridge: f
     levels = sorted(set(grades.tolist()))
     codes = np.searchsorted(levels, grades)
     n, k = len(codes), len(levels)
-    row = np.repeat(np.arange(n), sizes)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     # only features that go with some grade beyond chance; the others would learn single rows by heart
     seen = np.bincount(ids, minlength=BUCKETS)
     tells = np.zeros(BUCKETS, dtype=bool)
     for code in range(k):
         share = (codes == code).mean()
-        with_it = np.bincount(ids, weights=(codes == code)[row], minlength=BUCKETS)
+        with_it = np.bincount(ids[(codes == code)[row]], minlength=BUCKETS)
         spread = np.sqrt(seen * (1 - seen / n) * share * (1 - share) + 1e-9)
         tells |= np.abs(with_it - seen * share) > CERTAIN * spread
     kept = np.flatnonzero(tells & (seen >= MIN_COUNT))
