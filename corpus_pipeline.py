@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import decontamination, pii, quality, sentencepiece_viterbi, simhash
-from sievework.llm.common import read, written
+from sievework.llm.common import named, read, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +28,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without a doc_id can't be told apart and stay. Rows that repeat a doc_id are one document: one row stays.
     """
     groups = written(simhash.simhash_components(docs).select("doc_id", "component_id"), "groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
-    stay = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if stay.isEmpty():
+    kept = by_id(docs, groups.where("doc_id <> component_id"), "left_anti")
+    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
         return kept
     # the rare rows that repeat an id are sorted out apart; all others are not shuffled again
-    repeated = stay.select(F.col("doc_id").alias("repeated"))
-    once = kept.join(repeated, kept["doc_id"] == F.col("repeated"), "left_anti")
-    return once.union(kept.join(repeated, kept["doc_id"] == F.col("repeated"), "left_semi").dropDuplicates(["doc_id"]))
+    return by_id(kept, repeated, "left_anti").union(by_id(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) among ids, columns in their order."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(*[named(c) for c in docs.columns])
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
