@@ -31,7 +31,7 @@ TEXT_PHRASES = (
     "Sum:. done - / next\n1. \nmore\n--- \nend\n\n\n\nlast line\nend\nEND ",
     "\ndata: hello [DONE] undefined * * * ` ` ` ok",
     "code ```` here ```\t two  spaces\r\nnew\r\n\r\n\r\nlast",
-    "helloWorldAgain sovereignprivate a,b don't OWNER’ssovereign.Iam",
+    "smallRiverBends marketprivate x,y can't FARMER’sgarden.Weare",
     "Ring 3105554510 or 310.555.4510 or 4111111111111111 now",
     "led and implemented 12 years, managed aws security+ compliance workflow",
     "strategy roadmap vision with governance policy audit and risk controls",

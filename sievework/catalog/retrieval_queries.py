@@ -219,6 +219,34 @@ def search(spark, sf_dir):
     return search_plan.search(search_requests(spark, sf_dir), fx.corpus(spark, sf_dir), **OWN)
 
 
+MIXED_CTE = f"""mixed AS (SELECT query_id, query, CASE query_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE namespace END AS namespace,
+  {fx.pick_sql(SEARCH_ROLES, "query_id")} AS role, namespace AS own, query_vector FROM query_table),
+ spaces AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE namespace END AS namespace, embedding FROM corpus),
+ judged AS (SELECT *, CASE WHEN role <> 'super_admin' AND (coalesce(namespace, '') = '' OR namespace <> own) THEN 'denied'
+  WHEN trim(query) = '' THEN 'query required' ELSE 'success' END AS status FROM mixed)"""
+
+
+@query(
+    "search_mixed_scopes",
+    f"""{BASE}, {MIXED_CTE}, pairs AS (SELECT q.query_id, c.doc_id, {SIMILARITY} AS similarity FROM judged q JOIN spaces c
+  ON q.namespace = c.namespace AND q.query_id <> c.doc_id WHERE q.status = 'success'),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) - 1 AS pos FROM pairs)
+ SELECT j.query_id, j.status, h.doc_id, round(h.similarity, 6) AS similarity, h.pos,
+  count(h.doc_id) OVER (PARTITION BY j.query_id) AS count
+ FROM judged j LEFT JOIN (SELECT * FROM ranked WHERE pos < 5) h ON j.query_id = h.query_id""",
+)
+def search_mixed_scopes(spark, sf_dir):
+    """Requests and vectors with null and empty namespaces among the others; null agrees with nothing."""
+    queries, corpus = inputs(spark, sf_dir)
+    own, number, key = F.col("namespace"), F.col("query_id"), F.col("doc_id")
+    requests = queries.select(
+        "query_id", "query", F.when(number % 5 == 1, "").when(number % 5 != 0, own).alias("namespace"),
+        fx.pick(SEARCH_ROLES, number).alias("role"), own.alias("own_namespace"), "query_vector",
+    )
+    spaces = corpus.withColumn("namespace", F.when(key % 7 == 1, "").when(key % 7 != 0, own))
+    return search_plan.search(requests, spaces, **OWN)
+
+
 @query(
     "rag_search",
     f"""{BASE}, {hits_cte("hits", "5", scoped=False, floor="0.1")}
@@ -810,46 +838,64 @@ def oversample_topk(spark, sf_dir):
     return recalled_best(spark, sf_dir).select("query_id", "id", "rank", "final_score")
 
 
+# texts of different lengths, as the stand-in embedding sees lengths only
+PROBES = ("Which notes are kept?", "What was decided last spring?", "How do rivers bend")
+
+
+def mock_sql(text: str) -> str:
+    numbers = ", ".join(f"(length({text}) % {n}) / {n}.0" for n in (10, 7, 5))
+    return f"CAST(CAST([{numbers}] AS FLOAT[]) AS DOUBLE[])"
+
+
 NUMBERED = """'Top ' || CAST(count(*) AS VARCHAR) || ' relevant memories:' || chr(10) || string_agg(chr(10) ||
  CAST(rank + 1 AS VARCHAR) || '. ' || substr(text, 1, 120) || '... (relevance: ' ||
  regexp_replace(printf('%.2f', round(final_score, 2)), '\\.?0+$', '') || ')', '' ORDER BY rank)"""
 
 
-def every_other(df):
-    """Half of the queries have no memories."""
-    return df.where(F.col("final_score") > 2.2)
+def with_silent(queries):
+    """Every query, and a second one of the same text without a vector, which has no memories."""
+    silent = queries.select((F.col("query_id") + 1000000).alias("query_id"))
+    return queries.select("query_id").unionByName(silent)
+
+
+WITH_SILENT = "(SELECT query_id FROM query_table UNION ALL SELECT query_id + 1000000 FROM query_table)"
 
 
 @query(
     "memory_summary_numbered",
-    f"""{RECALLED}, said AS (SELECT query_id, {NUMBERED} AS summary FROM best WHERE final_score > 2.2 GROUP BY query_id)
+    f"""{RECALLED}, said AS (SELECT query_id, {NUMBERED} AS summary FROM best GROUP BY query_id)
  SELECT q.query_id, coalesce(summary, {lit(memory.NO_MEMORY_NUMBERED)}) AS summary
- FROM query_table q LEFT JOIN said s ON q.query_id = s.query_id""",
+ FROM {WITH_SILENT} q LEFT JOIN said s ON q.query_id = s.query_id""",
 )
 def memory_summary_numbered(spark, sf_dir):
-    return memory.summary_numbered(every_other(recalled_best(spark, sf_dir)), fx.query_table(spark, sf_dir))
+    return memory.summary_numbered(recalled_best(spark, sf_dir), with_silent(fx.query_table(spark, sf_dir)))
 
 
 @query(
     "memory_summary_top3",
     f"""{RECALLED}, said AS (SELECT query_id, 'Memory Recall:' || chr(10) || string_agg('• ' || substr(text, 1, 120) ||
    '... (score: ' || printf('%.2f', final_score) || ')', chr(10) ORDER BY rank) AS summary
-  FROM best WHERE rank < 3 AND final_score > 2.2 GROUP BY query_id)
+  FROM best WHERE rank < 3 GROUP BY query_id)
  SELECT q.query_id, coalesce(summary, {lit(memory.NO_MEMORY_TOP3)}) AS summary
- FROM query_table q LEFT JOIN said s ON q.query_id = s.query_id""",
+ FROM {WITH_SILENT} q LEFT JOIN said s ON q.query_id = s.query_id""",
 )
 def memory_summary_top3(spark, sf_dir):
-    return memory.summary_top3(every_other(recalled_best(spark, sf_dir)), fx.query_table(spark, sf_dir))
+    return memory.summary_top3(recalled_best(spark, sf_dir), with_silent(fx.query_table(spark, sf_dir)))
 
 
 @query(
     "memory_probe",
-    f"""{BASE}, {hits_cte("hits", "2", scoped=False, floor=None)} SELECT query_id, doc_id, pos,
- round(similarity, 6) AS similarity FROM hits""",
+    f"""WITH {fx.CORPUS}, probes AS (SELECT * FROM (VALUES {", ".join(f"({i}, {fx.lit(t)})" for i, t in enumerate(PROBES))})
+  AS p(query_id, query)),
+ pairs AS (SELECT CAST(query_id AS INTEGER) AS query_id, doc_id, list_cosine_similarity({mock_sql("query")},
+  {mock_sql("chunk_text")}) AS c, CASE WHEN isnan(c) THEN 0.0 ELSE round(c, 9) END AS similarity FROM probes, corpus),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) - 1 AS pos FROM pairs)
+ SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, pos, round(similarity, 6) AS similarity FROM ranked WHERE pos < 2""",
 )
 def memory_probe(spark, sf_dir):
-    queries, corpus = inputs(spark, sf_dir)
-    return vs.local_search(queries, corpus, k=2, **OWN)
+    """The whole store, embedded by the stand-in, answers three given texts."""
+    store = fx.corpus(spark, sf_dir).withColumn("embedding", vectors.mock_embed(F.col("chunk_text")))
+    return memory.probe(store, vectors.mock_embed, "doc_id", PROBES)
 
 
 @query(

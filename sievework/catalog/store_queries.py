@@ -25,15 +25,23 @@ DOC_ID = f"sha256(namespace || '␟' || {NAMED} || '␟' || text || '␟' || CAS
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
+def one_file_each(values, path):
+    """One file per row in one folder, whatever the number of rows."""
+    values.write.option("maxRecordsPerFile", 1).text(path)
+
+
 @query("text_source", "SELECT page_id, html || chr(10) AS text FROM pages")
 def text_source(spark, sf_dir):
-    """Every page written as a file of its own and read back whole."""
+    """Every page written as a file of its own, its number in the first line, and read back whole."""
     path = new_workspace(spark, "pages")
     pages = fx.table(spark, sf_dir, "pages")
-    pages.select(F.col("html").alias("value"), "page_id").write.partitionBy("page_id").text(path)
+    one_file_each(pages.select(F.concat_ws("\n", F.col("page_id").cast("string"), "html").alias("value")), path)
     found = files.text_source(spark, path)
-    number = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
-    return found.select(number.alias("page_id"), "text")
+    cut = F.instr("text", "\n")
+    return found.select(
+        F.expr("substring(text, 1, instr(text, '\n') - 1)").cast("long").alias("page_id"),
+        F.substring(F.col("text"), cut + 1, F.length("text")).alias("text"),
+    )
 
 
 @query(
@@ -84,17 +92,44 @@ def json_summary(df):
 def json_memory_source(spark, sf_dir):
     path = new_workspace(spark, "arrays")
     rows = vector_entries(spark, sf_dir)
-    rows.select(F.to_json(F.array("entry")).alias("value"), "item_id").write.partitionBy("item_id").text(path)
+    # a few files that each hold an array of many entries
+    groups = rows.groupBy((F.col("item_id") % 16).alias("g")).agg(F.to_json(F.collect_list("entry")).alias("value"))
+    one_file_each(groups.select("value"), path)
     return json_summary(files.json_memory_source(spark, path))
 
 
 @query("json_dir_source", JSON_SQL)
 def json_dir_source(spark, sf_dir):
     path = new_workspace(spark, "objects")
-    vector_entries(spark, sf_dir).select("entry.*", "item_id").write.partitionBy("item_id").json(path)
+    vector_entries(spark, sf_dir).select("entry.*").write.option("maxRecordsPerFile", 1).json(path)
     return json_summary(files.json_dir_source(spark, path))
 
 
+@query(
+    "file_router",
+    f"""WITH said AS (SELECT doc_id, 'id=' || CAST(doc_id AS VARCHAR) || ';' || chr(10) || text
+   || CASE WHEN doc_id % 4 = 1 THEN chr(65533) || ' end' ELSE '' END AS text FROM documents WHERE doc_id % 4 < 2)
+ SELECT doc_id, {trim_sql(masked_sql("text", masking.PII))} AS text, NULL AS reason, 1 AS files FROM said
+ UNION ALL SELECT NULL, NULL, 'Unsupported file type: ' || CASE doc_id % 4 WHEN 2 THEN 'json' ELSE 'csv' END, count(*)
+ FROM documents WHERE doc_id % 4 > 1 GROUP BY 3""",
+)
+def file_router(spark, sf_dir):
+    """Every document in a file of its own, a quarter with a malformed byte, half of types that are rejected."""
+    path = new_workspace(spark, "routed")
+    docs, kind = fx.documents(spark, sf_dir), F.col("doc_id") % 4
+    said = F.concat(F.lit("id="), F.col("doc_id").cast("string"), F.lit(";\n"), F.col("text")).cast("binary")
+    # a lone byte 0xE9 is no UTF-8
+    broken = F.when(kind == 1, F.concat(said, F.lit(bytes([0xE9])), F.lit(" end").cast("binary"))).otherwise(said)
+    one_file_each(docs.where(kind < 2).select(broken.cast("string").alias("value")), f"{path}/text")
+    docs.where(kind == 2).select("doc_id").write.option("maxRecordsPerFile", 1).json(f"{path}/json")
+    docs.where(kind == 3).select("doc_id").write.option("maxRecordsPerFile", 1).csv(f"{path}/csv")
+    texts, rejects = files.binary_source(spark, path)
+    number = F.regexp_extract("text", r"^id=(\d+);", 1).cast("long")
+    read = texts.select(number.alias("doc_id"), "text", F.lit(None).cast("string").alias("reason"), F.lit(1).alias("files"))
+    counted = rejects.where(~F.col("path").contains("_SUCCESS")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+    return read.unionByName(counted.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "reason", "files"))
+
+
 @query("table_sample", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 1")
 def table_sample(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "source").orderBy("doc_id").limit(1)

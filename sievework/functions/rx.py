@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # fixed values: the members of the ECMAScript white-space class; the rare ones behind one range test
 WHITE = r"\t-\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
+# the same characters one by one, for Python
+WHITE_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Java's \w is the same ASCII class as ECMAScript's
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 WORD_START = re.compile(r"\w|\\d|\[(?:\w-\w|\w)+\]")
@@ -89,7 +91,8 @@ def let(c: Column, body) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return sub(c, r"^\s+|\s+$", "")
+    # each run of white space is entered once, at its start: linear however long inner runs are
+    return F.regexp_replace(c, f"^[{WHITE}]++|(?<![{WHITE}])[{WHITE}]++\\z", "")
 
 
 def trim_start(c: Column) -> Column:

@@ -49,7 +49,7 @@ def embed_with(model):
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        filled = texts.fillna("").str.strip() != ""
+        filled = texts.fillna("").str.strip(rx.WHITE_CHARACTERS) != ""
         vectors = iter(model(texts[filled].tolist()) if filled.any() else [])
         return pd.Series([next(vectors) if use else [] for use in filled], index=texts.index, dtype=object)
 
@@ -80,12 +80,13 @@ class BestHits:
     def __init__(self, limits):
         self.limits = limits
         self.scores = [np.empty(0)] * len(limits)
-        self.keys = [np.empty(0, dtype=np.int64)] * len(limits)
+        self.keys = [None] * len(limits)  # of the keys' own type once there are some
         self.bars = np.full(len(limits), -np.inf)
 
     def offer(self, query, scores, keys):
         limit = self.limits[query]
-        scores, keys = np.concatenate([self.scores[query], scores]), np.concatenate([self.keys[query], keys])
+        if self.keys[query] is not None:
+            scores, keys = np.concatenate([self.scores[query], scores]), np.concatenate([self.keys[query], keys])
         if len(scores) > 4 * limit:
             # ties at the cut stay in, the sort below decides them
             bar = np.partition(scores, len(scores) - limit)[len(scores) - limit]
@@ -97,18 +98,23 @@ class BestHits:
 
 
 class QueryBlock:
-    """Query vectors held by a task: ids, scopes (namespaces, or None for all), unit vectors, limits, floors, own keys."""
+    """Query vectors held by a task: ids, scopes, unit vectors, limits, floors, own keys.
 
-    def __init__(self, ids, scopes, vectors, limits, floors, own_keys):
-        self.ids, self.limits = ids, limits
+    Whether scopes count is said for the whole call, never by a value: with scoped, a null scope matches nothing.
+    """
+
+    def __init__(self, ids, scopes, vectors, limits, floors, own_keys, scoped):
+        self.ids, self.limits, self.scoped = ids, limits, scoped
         self.floors = np.array([-np.inf if f is None else f for f in floors], dtype=np.float64)
         self.has_own = np.array([k is not None for k in own_keys], dtype=bool)
-        self.own_keys = np.array([0 if k is None else k for k in own_keys], dtype=np.int64)
-        self.width = len(vectors[0]) if len(vectors) else 0
-        self.units = _unit(np.array([np.asarray(v, dtype=np.float64) for v in vectors])) if len(vectors) else None
+        self.own_keys = own_keys
+        self.width = vectors.shape[1] if len(vectors) else 0
+        self.units = _unit(vectors) if len(vectors) else None
         self.by_scope = {}
         for position, scope in enumerate(scopes):
-            self.by_scope.setdefault(scope, []).append(position)
+            self.by_scope.setdefault(scope if scoped else None, []).append(position)
+        if scoped:
+            self.by_scope.pop(None, None)
 
     def scan(self, batches, sums):
         """Read Arrow batches of (scope, key, vector); return the best hits and, if asked, sums over all scores."""
@@ -127,7 +133,7 @@ class QueryBlock:
         units = np.zeros((batch.num_rows, self.width))
         units[good] = _unit(rows)
         keys = batch.column("key").to_numpy(zero_copy_only=False)
-        if None in self.by_scope:
+        if not self.scoped:
             self._scan_scope(None, keys, units, best, totals)
             return
         codes, scopes = pd.factorize(batch.column("scope").to_pandas())
@@ -142,14 +148,13 @@ class QueryBlock:
         for start in range(0, len(positions), 256):
             block = positions[start : start + 256]
             table = np.round(units @ self.units[block].T, SCORE_DIGITS) + 0.0
-            low = np.searchsorted(keys, self.own_keys[block], "left", sorter=sorted_rows)
-            high = np.searchsorted(keys, self.own_keys[block], "right", sorter=sorted_rows)
-            for column in np.flatnonzero((high > low) & self.has_own[block]):
-                table[sorted_rows[low[column] : high[column]], column] = -np.inf
+            for column in np.flatnonzero(self.has_own[block]):
+                own = self.own_keys[block[column]]
+                low, high = (np.searchsorted(keys, own, side, sorter=sorted_rows) for side in ("left", "right"))
+                table[sorted_rows[low:high], column] = -np.inf
             if totals is not None:
                 totals[block, 0] += np.isfinite(table).sum(axis=0)
                 totals[block, 1] += np.exp(table).sum(axis=0)
-                continue
             # once k good hits are held, few slices have anything to add
             for column in np.flatnonzero(table.max(axis=0) >= best.bars[block]):
                 query, scores = block[column], table[:, column]
@@ -157,45 +162,48 @@ class QueryBlock:
                 if kept.any():
                     best.offer(query, scores[kept], keys[kept])
 
-    def rows(self, best, part):
-        """Arrow batch of the hits found by one task; part names the task."""
-        ids, tops, keys, scores = [], [], [], []
-        for position, query in enumerate(self.ids):
-            n = len(best.keys[position])
-            ids.extend([query] * n)
-            tops.extend([self.limits[position]] * n)
-            keys.append(best.keys[position])
-            scores.append(best.scores[position])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(np.concatenate(keys) if keys else [], pa.int64()),
-                pa.array(np.concatenate(scores) if scores else [], pa.float64()),
-                pa.array(tops, pa.int32()),
-                pa.array(np.full(len(ids), part % 256), pa.int32()),
-            ],
-            names=["query_id", "key", "similarity", "top", "part"],
-        )
-
-    def sum_rows(self, totals):
+    def rows(self, best, part, totals, key_type, id_type):
+        """Arrow batch of what one task found: hits, and with totals one row per query (key null) with its sums."""
+        counts = [0 if k is None else len(k) for k in best.keys]
+        positions = np.repeat(np.arange(len(self.ids)), counts)
+        keys = [pa.array(k, key_type) for k in best.keys if k is not None and len(k)]
+        scores = np.concatenate([best.scores[i] for i, n in enumerate(counts) if n] or [np.empty(0)])
+        extra = len(self.ids) if totals is not None else 0
+        ids = pa.array(self.ids, id_type)
+        places = np.concatenate([positions, np.arange(extra)])
+        sums = totals if extra else np.empty((0, 2))
+        none = np.arange(len(places)) >= len(positions)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(self.ids, pa.int64()),
-                pa.array(totals[:, 0].astype(np.int64), pa.int64()),
-                pa.array(totals[:, 1], pa.float64()),
+                ids.take(pa.array(places)),
+                pa.concat_arrays([*keys, pa.nulls(extra, key_type)]),
+                pa.array(np.concatenate([scores, np.zeros(extra)]), pa.float64(), mask=none),
+                pa.array(np.asarray(self.limits, dtype=np.int64)[places], pa.int32()),
+                pa.array(np.full(len(places), part % 256), pa.int32()),
+                pa.array(np.concatenate([np.zeros(len(positions)), sums[:, 0]]).astype(np.int64), pa.int64(), mask=~none),
+                pa.array(np.concatenate([np.zeros(len(positions)), sums[:, 1]]), pa.float64(), mask=~none),
             ],
-            names=["query_id", "scored", "exp_sum"],
+            names=["query_id", "key", "similarity", "top", "part", "scored", "exp_sum"],
         )
 
 
-def block_from_table(table):
-    """Query block from an Arrow table with query_id, scope, vector, top, floor, own_key."""
-    columns = {name: table.column(name).to_pylist() for name in table.column_names}
+def block_from_table(table, scoped):
+    """Query block from an Arrow table with query_id, scope, vector, top, floor, own_key; vectors stay in NumPy."""
+    columns = {name: table.column(name).to_pylist() for name in table.column_names if name != "vector"}
+    lists = table.column("vector").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    widths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    width = int(widths[0]) if len(widths) else 0
+    if (widths != width).any():
+        raise ValueError("query vectors differ in width")
+    vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) if width else np.empty((0, 0))
     return QueryBlock(
         columns["query_id"],
         columns["scope"],
-        columns["vector"],
+        vectors,
         columns["top"],
         columns["floor"],
         columns["own_key"],
+        scoped,
     )

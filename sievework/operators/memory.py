@@ -12,14 +12,14 @@ from .vector_search import local_search
 
 NO_MEMORY_NUMBERED = "No relevant memories were found."
 NO_MEMORY_TOP3 = "(no relevant memory found)"
-# texts whose two best memories are looked at to see whether the store answers
-PROBE_QUERIES = ("Who am I?", "What is the doctrine?", "Explain the memory architecture.")
 
 
 def memory_weight(score: Column, priority: Column, written: Column, as_of: Column) -> Column:
     """Score, priority and recency; both times in epoch milliseconds."""
-    age_days = (as_of - written) / F.lit(86400000.0)
-    return F.round(score * 0.65 + priority * 0.25 + (1 / (1 + age_days)) * 0.10, DIGITS)
+    # written one day after as_of, recency has no value and counts nothing
+    spread = F.nullif(1 + (as_of - written) / F.lit(86400000.0), F.lit(0.0))
+    recency = F.when(written.isNotNull(), F.coalesce(1 / spread, F.lit(0.0)))
+    return F.round(score * 0.65 + priority * 0.25 + recency * 0.10, DIGITS)
 
 
 def apply_weights(df: DataFrame, as_of: Column) -> DataFrame:
@@ -80,8 +80,8 @@ def summary_top3(df: DataFrame, queries: DataFrame) -> DataFrame:
     return or_empty(queries.select("query_id"), found, NO_MEMORY_TOP3).withColumnRenamed("context", "summary")
 
 
-def probe(store: DataFrame, embed, key: str, texts: tuple[str, ...] = PROBE_QUERIES) -> DataFrame:
-    """Run fixed queries against the store, two results each."""
+def probe(store: DataFrame, embed, key: str, texts: tuple[str, ...]) -> DataFrame:
+    """Run a few given queries against the store, two results each, to see whether it answers."""
     listed = store.sparkSession.range(1).select(
         F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("query_id", "query")
     )

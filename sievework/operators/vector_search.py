@@ -3,7 +3,8 @@
 A pair join would emit queries x vectors rows. Here each task multiplies its Arrow batches of vectors with the query
 block and keeps the k best per query, so only k rows per query and task are shuffled. Two ways bring queries to vectors:
 
-* up to ``MAX_BROADCAST_QUERIES`` queries (checked by a limited read) they are broadcast and the vectors stay in place;
+* up to ``MAX_BROADCAST_QUERIES`` queries of ``MAX_BROADCAST_BYTES`` in all (checked by a limited read) they are broadcast
+  and the vectors stay in place; scopes that no query names are not read;
 * beyond, both sides of each namespace are cut into blocks of bounded size by hash, and every query block meets every
   vector block of its namespace once. A namespace holding most vectors just has more blocks.
 
@@ -17,58 +18,76 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..session import cut_lineage
 
 MAX_BROADCAST_QUERIES = 16384
+MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 16384
-HIT_SCHEMA = "query_id long, key long, similarity double, top int, part int"
-SUM_SCHEMA = "query_id long, scored long, exp_sum double"
+LISTED_SCOPES = 1000
 
 
 def _shape_vectors(df: DataFrame, key: str, vector: str, scope: str | None) -> DataFrame:
-    return df.select(
+    shaped = df.select(
         (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("scope"),
-        F.col(key).cast("long").alias("key"),
+        F.col(key).alias("key"),
         F.col(vector).cast("array<float>").alias("vector"),
-    )
+    ).where(F.col("key").isNotNull())
+    # a null scope agrees with nothing
+    return shaped.where(F.col("scope").isNotNull()) if scope else shaped
 
 
-def _shape_queries(df: DataFrame, vector: str, scope: str | None, top: Column, floor, own_key: str | None) -> DataFrame:
+def _shape_queries(df: DataFrame, vector: str, scope: str | None, top: Column, floor, own_key, key_type: str) -> DataFrame:
     floor = floor if isinstance(floor, Column) else F.lit(floor)
-    return df.select(
-        F.col("query_id").cast("long").alias("query_id"),
+    shaped = df.select(
+        F.col("query_id"),
         (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("scope"),
         F.col(vector).cast("array<float>").alias("vector"),
         top.cast("int").alias("top"),
         floor.cast("double").alias("floor"),
-        (F.col(own_key).cast("long") if own_key else F.lit(None).cast("long")).alias("own_key"),
+        (F.col(own_key) if own_key else F.lit(None)).cast(key_type).alias("own_key"),
     ).where(F.size("vector") > 0)
+    return shaped.where(F.col("scope").isNotNull()) if scope else shaped
 
 
-def _broadcast_scan(queries_table, corpus: DataFrame, sums: bool) -> DataFrame:
-    spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast(queries_table)
-    build = vectors.block_from_table
+def _found_schema(queries: DataFrame, corpus: DataFrame) -> str:
+    id_type, key_type = queries.schema["query_id"].dataType.simpleString(), corpus.schema["key"].dataType.simpleString()
+    return f"query_id {id_type}, key {key_type}, similarity double, top int, part int, scored long, exp_sum double"
+
+
+def _broadcast_scan(queries_table, corpus: DataFrame, schema: str, scoped: bool, sums: bool) -> DataFrame:
+    """Every task reads its vectors once and gives at most top hits per query, and its sums if asked."""
+    if scoped:
+        scopes = set(queries_table.column("scope").to_pylist())
+        if len(scopes) <= LISTED_SCOPES:
+            # reaches the scan: files and partitions of other scopes are not read
+            corpus = corpus.where(F.col("scope").isin(*sorted(scopes))) if scopes else corpus.limit(0)
+    shared = corpus.sparkSession.sparkContext.broadcast(queries_table)
+    build, id_type = vectors.block_from_table, queries_table.schema.field("query_id").type
+
+    def run(batches):
+        from itertools import chain
 
-    def hits(batches):
         from pyspark import TaskContext
 
-        block = build(shared.value)
-        best, _ = block.scan(batches, False)
-        yield block.rows(best, TaskContext.get().partitionId())
+        first = next(batches, None)
+        if first is None:
+            return
+        block = build(shared.value, scoped)
+        best, totals = block.scan(chain([first], batches), sums)
+        yield block.rows(best, TaskContext.get().partitionId(), totals, first.schema.field("key").type, id_type)
 
-    def totals(batches):
-        block = build(shared.value)
-        _, sums_found = block.scan(batches, True)
-        yield block.sum_rows(sums_found)
+    return corpus.mapInArrow(run, schema)
 
-    return corpus.mapInArrow(totals, SUM_SCHEMA) if sums else corpus.mapInArrow(hits, HIT_SCHEMA)
 
+def _block_scan(
+    queries: DataFrame, corpus: DataFrame, schema: str, scoped: bool, sums: bool, query_block: int, vector_block: int
+) -> DataFrame:
+    space = F.col("scope") if scoped else F.lit("")
 
-def _block_scan(queries: DataFrame, corpus: DataFrame, sums: bool, query_block: int, vector_block: int) -> DataFrame:
     def sizes(df, block, name):
         blocks = F.ceil(F.count(F.lit(1)) / block).cast("int")
-        return df.groupBy(F.coalesce("scope", F.lit("")).alias("space")).agg(blocks.alias(name))
+        return df.groupBy(space.alias("space")).agg(blocks.alias(name))
 
     def block_of(column, blocks):
         return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
@@ -77,7 +96,6 @@ def _block_scan(queries: DataFrame, corpus: DataFrame, sums: bool, query_block:
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
     blocks = sizes(queries, query_block, "q_blocks").join(sizes(corpus, vector_block, "v_blocks"), "space")
-    space = F.coalesce("scope", F.lit(""))
     spread_queries = (
         queries.withColumn("space", space)
         .join(blocks, "space")
@@ -95,25 +113,27 @@ def _block_scan(queries: DataFrame, corpus: DataFrame, sums: bool, query_block:
     build = vectors.block_from_table
 
     def meet(key, left, right):
-        block = build(left)
-        best, found = block.scan(right.to_batches(), sums)
+        block = build(left, scoped)
+        best, totals = block.scan(right.to_batches(), sums)
         import pyarrow as pa
 
-        return pa.Table.from_batches([block.sum_rows(found) if sums else block.rows(best, key[2].as_py())])
+        types = right.schema.field("key").type, left.schema.field("query_id").type
+        return pa.Table.from_batches([block.rows(best, key[2].as_py(), totals, *types)])
 
     return (
         spread_queries.groupBy("space", "qb", "vb")
         .cogroup(spread_vectors.groupBy("space", "qb", "vb"))
-        .applyInArrow(meet, SUM_SCHEMA if sums else HIT_SCHEMA)
+        .applyInArrow(meet, schema)
     )
 
 
-def _scan(queries: DataFrame, corpus: DataFrame, sums: bool, limit: int | None = None) -> DataFrame:
+def _scan(queries: DataFrame, corpus: DataFrame, scoped: bool, sums: bool, limit: int | None = None) -> DataFrame:
     limit = MAX_BROADCAST_QUERIES if limit is None else limit
+    schema = _found_schema(queries, corpus)
     table = queries.limit(limit + 1).toArrow()
-    if table.num_rows <= limit:
-        return _broadcast_scan(table, corpus, sums)
-    return _block_scan(queries, corpus, sums, QUERY_BLOCK, VECTOR_BLOCK)
+    if table.num_rows <= limit and table.nbytes <= MAX_BROADCAST_BYTES:
+        return _broadcast_scan(table, corpus, schema, scoped, sums)
+    return _block_scan(queries, corpus, schema, scoped, sums, QUERY_BLOCK, VECTOR_BLOCK)
 
 
 def keep_top(hits: DataFrame, largest: int, limit: Column) -> DataFrame:
@@ -146,40 +166,26 @@ def match_vectors(
     """Rows (query_id, key, similarity, pos): the best vectors per query with similarity above floor.
 
     top may be a column of the query table; largest is then the literal bound it never exceeds. scope is the column both
-    sides must agree on. own_key names a query column holding a key to leave out.
+    sides must agree on, None for no such rule; a null scope on either side agrees with nothing. own_key names a query
+    column holding a key to leave out. Keys and query ids keep their types; vectors without key are left out.
     """
     if isinstance(top, int):
         largest, top = top, F.lit(top)
     elif largest is None:
         raise ValueError("a column limit needs its largest value")
-    shaped = _shape_queries(queries, query_vector, scope, top, floor, own_key)
-    hits = _scan(shaped, _shape_vectors(corpus, key, vector, scope), False, broadcast_limit)
-    kept = keep_top(hits, largest, F.col("top"))
+    vectors_ = _shape_vectors(corpus, key, vector, scope)
+    shaped = _shape_queries(queries, query_vector, scope, top, floor, own_key, vectors_.schema["key"].dataType.simpleString())
+    hits = _scan(shaped, vectors_, scope is not None, False, broadcast_limit)
+    return _ranked(hits, largest, key)
+
+
+def _ranked(hits: DataFrame, largest: int, key: str) -> DataFrame:
+    kept = keep_top(hits.drop("scored", "exp_sum"), largest, F.col("top"))
     return kept.select(
         "query_id", F.col("key").alias(key), "similarity", (F.col("rank") - 1).cast("int").alias("pos")
     )
 
 
-def score_totals(
-    queries: DataFrame,
-    corpus: DataFrame,
-    *,
-    key: str,
-    vector: str = "embedding",
-    query_vector: str = "query_vector",
-    scope: str | None = None,
-    own_key: str | None = None,
-    broadcast_limit: int | None = None,
-) -> DataFrame:
-    """Rows (query_id, scored, exp_sum) over all vectors: the denominator of the softmax, summed inside the tasks.
-
-    Cosines lie in [-1, 1], so exp needs no shift by the maximum.
-    """
-    shaped = _shape_queries(queries, query_vector, scope, F.lit(1), None, own_key)
-    sums = _scan(shaped, _shape_vectors(corpus, key, vector, scope), True, broadcast_limit)
-    return sums.groupBy("query_id").agg(F.sum("scored").alias("scored"), F.sum("exp_sum").alias("exp_sum"))
-
-
 def local_search(queries: DataFrame, corpus: DataFrame, *, key: str, k: int = 5, **options) -> DataFrame:
     """Best k of the whole store, no threshold, no namespace."""
     return match_vectors(queries, corpus, key=key, scope=None, top=k, floor=None, **options)
@@ -189,15 +195,22 @@ def local_search_confidence(
     queries: DataFrame, corpus: DataFrame, *, key: str, k: int = 5, weakest: float = 0.05, **options
 ) -> DataFrame:
     """Best k with softmax confidence over all scores; queries whose best score is weak have no rows."""
-    found = local_search(queries, corpus, key=key, k=k, **options)
-    totals = score_totals(queries, corpus, key=key, **options)
+    vector, query_vector = options.get("vector", "embedding"), options.get("query_vector", "query_vector")
+    vectors_ = _shape_vectors(corpus, key, vector, None)
+    key_type = vectors_.schema["key"].dataType.simpleString()
+    shaped = _shape_queries(queries, query_vector, None, F.lit(k), None, options.get("own_key"), key_type)
+    # hits and sums come out of one scan, written once: k rows and one sum per query and task
+    both = cut_lineage(_scan(shaped, vectors_, False, True, options.get("broadcast_limit")))
+    found = _ranked(both.where(F.col("key").isNotNull()), k, key)
+    # cosines lie in [-1, 1], so exp needs no shift by the maximum
+    totals = both.where(F.col("key").isNull()).groupBy("query_id").agg(F.sum("exp_sum").alias("exp_sum"))
     per_query = W.partitionBy("query_id")
     return (
         found.join(totals, "query_id")
         .withColumn("confidence", F.exp("similarity") / F.col("exp_sum"))
         .withColumn("best", F.max("similarity").over(per_query))
         .where(F.col("best") >= weakest)
-        .drop("best", "scored", "exp_sum")
+        .drop("best", "exp_sum")
     )
 
 

@@ -27,6 +27,7 @@ def chunk_documents(
     rows = rows.withColumn("primary_entity", entities.primary_entity(F.col("file_name"), F.col("text")))
     pieces = chunking.explode_chunks(rows, cut(F.col("text")))
     return pieces.select(
+        F.concat_ws("#", "id", F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.col("id").alias("document_id"),
         "namespace",
         "file_name",
@@ -47,17 +48,19 @@ def ingest(
     key: tuple[str, ...] = (),
     **options,
 ) -> dict[str, int]:
-    """Append documents and embedded chunks and return how many of each, counted while writing.
+    """Append documents and embedded chunks that are not there yet; returns how many of each were offered.
 
-    Ids depend on the content, so a rerun writes the same rows.
+    Ids depend on the content (and key), so a rerun into the same folders adds nothing. Equal documents without a key
+    are one document. The chunk table can be searched as it is: chunk_id, namespace, filename, chunk_text, embedding.
     """
     written, stored = Observation("documents"), Observation("chunks")
     documents = tables.document_rows(df.where(rx.text_or_empty("text") != ""), created_at, *key)
     documents = documents.select("id", "file_name", "namespace", "created_at")
-    tables.write_table(documents.observe(written, F.count(F.lit(1)).alias("n")), documents_path)
+    tables.append_new(documents.observe(written, F.count(F.lit(1)).alias("n")), documents_path, ("id",))
     chunks = chunk_documents(df, created_at=created_at, key=key, **options)
     rows = chunks.withColumn("embedding", embed(F.col("chunk_text"))).select(
-        "document_id", "chunk_index", "chunk_text", "embedding", "namespace"
+        "chunk_id", "document_id", "chunk_index", F.col("file_name").alias("filename"), "chunk_text", "embedding", "namespace"
     )
-    tables.write_table(rows.observe(stored, F.count(F.lit(1)).alias("n")), chunks_path, "namespace")
+    rows = rows.observe(stored, F.count(F.lit(1)).alias("n"))
+    tables.append_new(rows, chunks_path, ("namespace", "chunk_id"), "namespace")
     return {"documents": written.get["n"], "chunks": stored.get["n"]}

@@ -56,6 +56,11 @@ def reject_reason(name: Column) -> Column:
     return F.concat(F.lit("Unsupported file type: "), extension(name))
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text; malformed sequences become U+FFFD, so no file fails the job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def parsed_text(content: Column) -> Column:
     """Text of a file after masking, trimmed."""
     return rx.trim(mask_pii(F.coalesce(content, F.lit(""))))
@@ -69,7 +74,7 @@ def binary_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         .load(path)
         .withColumn("route", route_by_extension(F.col("path")))
     )
-    texts = files.where(F.col("route") == "text").select("path", parsed_text(F.decode("content", "UTF-8")).alias("text"))
+    texts = files.where(F.col("route") == "text").select("path", parsed_text(utf8(F.col("content"))).alias("text"))
     rejects = files.where(F.col("route") != "text").select(
         "path",
         F.when(F.col("route") == "extract", F.lit("needs an extractor"))

@@ -6,6 +6,7 @@ caller publishes by name. A failed job leaves the old state untouched.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,43 @@ def write_table(df: DataFrame, path: str, *partition: str, mode: str = "append")
         df.write.mode(mode).parquet(path)
 
 
+def append_new(df: DataFrame, path: str, key: tuple[str, ...], *partition: str) -> None:
+    """Append the rows whose key the table doesn't hold yet, once each: a second run of the same input adds nothing."""
+    spark = df.sparkSession
+    fresh = df.dropDuplicates(list(key))
+    if _exists(spark, path):
+        # the keys only, and of the partitions only those that the new rows name
+        held = spark.read.parquet(path)
+        fresh = fresh.join(held.select(*key), list(key), "left_anti").select(*df.columns)
+    write_table(fresh, path, *partition)
+
+
+def _exists(spark, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
+def with_status(changes: DataFrame, vector: str = "embedding", text: str = "text") -> DataFrame:
+    """Add status to rows of an upsert: ok, or what is missing; rows that aren't ok must not be written."""
+    return changes.withColumn(
+        "status",
+        F.when(F.col("id").isNull(), "id required")
+        .when(F.coalesce(F.col(text), F.lit("")) == "", "text required")
+        .when(F.coalesce(F.size(vector), F.lit(0)) <= 0, "vector required")
+        .otherwise("ok"),
+    )
+
+
 def latest_by_id(df: DataFrame, sequence: str, key: str = "id") -> DataFrame:
     """The row with the highest sequence per id, reduced inside the tasks before the shuffle."""
     others = [c for c in df.columns if c != key]
-    newest = F.max_by(F.struct(*others), F.col(sequence))
+    # of equal sequence values the row with the greater hash, so reruns agree
+    newest = F.max_by(F.struct(*others), F.struct(F.col(sequence), F.xxhash64(*others)))
     return df.groupBy(key).agg(newest.alias("_row")).select(key, "_row.*")
 
 
@@ -81,4 +115,4 @@ def append_memory(df: DataFrame, path: str, written_ms: Column) -> None:
 
 def merge_object(df: DataFrame, sequence: str, object_key: str = "object_id") -> DataFrame:
     """Rows (object, key, value): the last written value per key, reduced before the shuffle."""
-    return df.groupBy(object_key, "key").agg(F.max_by("value", sequence).alias("value"))
+    return df.groupBy(object_key, "key").agg(F.max_by("value", F.struct(F.col(sequence), F.col("value"))).alias("value"))

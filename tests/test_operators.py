@@ -249,5 +249,59 @@ def test_probe_asks_fixed_questions(spark):
     from sievework.functions.vectors import mock_embed
 
     store = spark.range(20).select("id", mock_embed(F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("embedding"))
-    found = memory.probe(store, mock_embed, "id")
+    found = memory.probe(store, mock_embed, "id", ("one", "two and more", "three or four"))
     assert {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()} == {0: 2, 1: 2, 2: 2}
+
+
+@pytest.mark.parametrize("broadcast_limit", [None, 0])
+def test_null_scopes_agree_with_nothing(spark, broadcast_limit):
+    corpus = spark.createDataFrame(
+        [(1, "a", [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, "", [1.0, 0.1]), (4, "a", [0.0, 1.0])],
+        "id long, namespace string, embedding array<float>",
+    )
+    queries = spark.createDataFrame(
+        [(1, "a", [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, "", [1.0, 0.0])],
+        "query_id long, namespace string, query_vector array<float>",
+    )
+    found = vs.match_vectors(queries, corpus, key="id", top=5, broadcast_limit=broadcast_limit).collect()
+    assert sorted((r["query_id"], r["id"]) for r in found) == [(1, 1), (1, 4), (3, 3)]
+    anywhere = vs.match_vectors(queries, corpus, key="id", scope=None, top=1, broadcast_limit=broadcast_limit).collect()
+    assert sorted((r["query_id"], r["id"]) for r in anywhere) == [(1, 1), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("broadcast_limit", [None, 0])
+def test_text_keys(spark, broadcast_limit):
+    rows = [("b", "n", [1.0, 0.0]), ("a", "n", [2.0, 0.0]), ("c", "n", [0.0, 1.0]), (None, "n", [1.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "id string, namespace string, embedding array<float>")
+    queries = spark.createDataFrame(
+        [("q", "n", [1.0, 0.0], "b"), ("r", "n", [1.0, 0.0], None)],
+        "query_id string, namespace string, query_vector array<float>, own string",
+    )
+    found = vs.match_vectors(queries, corpus, key="id", top=2, own_key="own", broadcast_limit=broadcast_limit)
+    got = [(r["query_id"], r["pos"], r["id"]) for r in found.orderBy("query_id", "pos").collect()]
+    assert got == [("q", 0, "a"), ("q", 1, "c"), ("r", 0, "a"), ("r", 1, "b")]
+
+
+def test_search_reads_named_scopes_and_scans_once(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    rows = [(i, f"s{i % 5}", [float(i % 7) + 1, 1.0]) for i in range(100)]
+    spark.createDataFrame(rows, "id long, namespace string, embedding array<float>").write.partitionBy("namespace").parquet(path)
+    corpus = spark.read.parquet(path)
+    queries = spark.createDataFrame([(1, "s2", [1.0, 0.0])], "query_id long, namespace string, query_vector array<float>")
+    found = vs.match_vectors(queries, corpus, key="id", top=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "s2" in plan.split("PartitionFilters", 1)[1][:200]
+    assert plan.count("MapInArrow") == 1
+
+
+def test_equal_sequences_are_decided_alike(spark):
+    rows = [(1, 5, f"v{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, seq long, value string")
+    picks = {tables.latest_by_id(df.repartition(n), "seq").first()["value"] for n in (1, 3, 7, 11)}
+    assert len(picks) == 1
+
+
+def test_memory_of_tomorrow_has_no_recency(spark):
+    day = 86400000
+    df = spark.createDataFrame([(1.0, 2.0, 3 * day)], "score double, priority double, written_ms long")
+    assert memory.apply_weights(df, F.lit(2 * day)).first()["final_score"] == pytest.approx(0.65 + 0.5)
