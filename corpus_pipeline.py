@@ -38,7 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) among ids, columns in their order."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(*[named(c) for c in docs.columns])
+    # the ids grow with the documents: one plan for all sizes, both sides dealt by doc_id
+    return docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", how).select(*[named(c) for c in docs.columns])
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
