@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-
+from ..functions.vectors import mock_embed
 from ..operators import access, documents, memory
-from ..plans.ingest import chunk_documents
+from ..operators.vector_search import match_vectors
+from ..plans.ingest import chunk_documents, ingest
 from ..session import new_workspace
 from ..sources import files, tables
 from . import fixtures as fx
@@ -171,6 +171,48 @@ def write_chunks(spark, sf_dir):
     return spark.read.parquet(path).select("document_id", "namespace", "chunk_index", "chunk_text")
 
 
+def mock_sql(text: str) -> str:
+    numbers = ", ".join(f"(length({text}) % {n}) / {n}.0" for n in (10, 7, 5))
+    return f"CAST(CAST([{numbers}] AS FLOAT[]) AS DOUBLE[])"
+
+
+@query(
+    "ingest_then_retrieve",
+    f"""{CHUNKED}, {fx.QUERY_TABLE},
+ pairs AS (SELECT q.query_id, c.document_id || '#' || CAST(c.chunk_index AS VARCHAR) AS chunk_id,
+  round(list_cosine_similarity({mock_sql("q.query")}, {mock_sql("c.chunk_text")}), 9) AS similarity
+  FROM query_table q JOIN chunks c ON q.namespace = c.namespace),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) - 1 AS pos FROM pairs
+  WHERE NOT isnan(similarity) AND similarity > 0.1)
+ SELECT query_id, chunk_id, pos, round(similarity, 6) AS similarity FROM ranked WHERE pos < 5""",
+)
+def ingest_then_retrieve(spark, sf_dir):
+    """The chunk table as written by two runs of the same ingest, searched by its own text keys."""
+    documents_path, chunks_path = new_workspace(spark, "documents"), new_workspace(spark, "chunks")
+    for _ in range(2):
+        ingest(fx.files(spark, sf_dir), documents_path, chunks_path, created_at=created(), key=("doc_id",))
+    queries = fx.query_table(spark, sf_dir).withColumn("query_vector", mock_embed(F.col("query")))
+    return match_vectors(queries, spark.read.parquet(chunks_path), key="chunk_id", top=5, floor=0.1)
+
+
+@query(
+    "upsert_status",
+    """WITH changes AS (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id END AS id, CASE WHEN doc_id % 5 = 0 THEN ''
+   ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 3 END AS width, doc_id FROM documents)
+ SELECT doc_id, CASE WHEN id IS NULL THEN 'id required' WHEN text = '' THEN 'text required' WHEN width = 0
+  THEN 'vector required' ELSE 'ok' END AS status FROM changes""",
+)
+def upsert_status(spark, sf_dir):
+    docs, number = fx.documents(spark, sf_dir), F.col("doc_id")
+    changes = docs.select(
+        "doc_id",
+        F.when(number % 7 != 0, number).alias("id"),
+        F.when(number % 5 == 0, "").otherwise(F.col("text")).alias("text"),
+        F.when(number % 3 != 0, mock_embed(F.col("text"))).alias("embedding"),
+    )
+    return tables.with_status(changes).select("doc_id", "status")
+
+
 @query(
     "upsert_by_id",
     """WITH old AS (SELECT event_id AS id, value AS score, event_type AS text FROM events),

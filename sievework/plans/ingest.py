@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunking, entities, rx
@@ -48,19 +48,17 @@ def ingest(
     key: tuple[str, ...] = (),
     **options,
 ) -> dict[str, int]:
-    """Append documents and embedded chunks that are not there yet; returns how many of each were offered.
+    """Append documents and embedded chunks that are not there yet; returns how many of each were added.
 
     Ids depend on the content (and key), so a rerun into the same folders adds nothing. Equal documents without a key
     are one document. The chunk table can be searched as it is: chunk_id, namespace, filename, chunk_text, embedding.
     """
-    written, stored = Observation("documents"), Observation("chunks")
     documents = tables.document_rows(df.where(rx.text_or_empty("text") != ""), created_at, *key)
     documents = documents.select("id", "file_name", "namespace", "created_at")
-    tables.append_new(documents.observe(written, F.count(F.lit(1)).alias("n")), documents_path, ("id",))
+    added = {"documents": tables.append_new(documents, documents_path, ("id",))}
     chunks = chunk_documents(df, created_at=created_at, key=key, **options)
     rows = chunks.withColumn("embedding", embed(F.col("chunk_text"))).select(
         "chunk_id", "document_id", "chunk_index", F.col("file_name").alias("filename"), "chunk_text", "embedding", "namespace"
     )
-    rows = rows.observe(stored, F.count(F.lit(1)).alias("n"))
-    tables.append_new(rows, chunks_path, ("namespace", "chunk_id"), "namespace")
-    return {"documents": written.get["n"], "chunks": stored.get["n"]}
+    added["chunks"] = tables.append_new(rows, chunks_path, ("namespace", "chunk_id"), "namespace")
+    return added

@@ -6,8 +6,7 @@ caller publishes by name. A failed job leaves the old state untouched.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import document_id
@@ -33,25 +32,23 @@ def write_table(df: DataFrame, path: str, *partition: str, mode: str = "append")
         df.write.mode(mode).parquet(path)
 
 
-def append_new(df: DataFrame, path: str, key: tuple[str, ...], *partition: str) -> None:
-    """Append the rows whose key the table doesn't hold yet, once each: a second run of the same input adds nothing."""
-    spark = df.sparkSession
-    fresh = df.dropDuplicates(list(key))
+def append_new(df: DataFrame, path: str, key: tuple[str, ...], *partition: str) -> int:
+    """Append the rows whose key the table doesn't hold yet, once each; returns their number.
+
+    A second run of the same input adds nothing.
+    """
+    spark, fresh, before = df.sparkSession, df.dropDuplicates(list(key)), 0
     if _exists(spark, path):
-        # the keys only, and of the partitions only those that the new rows name
         held = spark.read.parquet(path)
+        before = held.count()  # from the files' footers
         fresh = fresh.join(held.select(*key), list(key), "left_anti").select(*df.columns)
     write_table(fresh, path, *partition)
+    return spark.read.parquet(path).count() - before
 
 
-def _exists(spark, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-    return True
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def with_status(changes: DataFrame, vector: str = "embedding", text: str = "text") -> DataFrame:

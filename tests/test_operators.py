@@ -305,3 +305,15 @@ def test_memory_of_tomorrow_has_no_recency(spark):
     day = 86400000
     df = spark.createDataFrame([(1.0, 2.0, 3 * day)], "score double, priority double, written_ms long")
     assert memory.apply_weights(df, F.lit(2 * day)).first()["final_score"] == pytest.approx(0.65 + 0.5)
+
+
+def test_a_second_ingest_into_the_same_folder_adds_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([("a.txt", "n", "word " * 300), ("a.txt", "n", "word " * 300), ("b.txt", "m", "x")], "file_name string, namespace string, text string")
+    paths = str(tmp_path / "d"), str(tmp_path / "c")
+    at = F.timestamp_millis(F.lit(0))
+    assert ingest(docs, *paths, created_at=at) == {"documents": 2, "chunks": 5}
+    assert ingest(docs, *paths, created_at=at) == {"documents": 0, "chunks": 0}
+    more = docs.unionByName(spark.createDataFrame([("c.txt", "m", "y")], docs.schema))
+    assert ingest(more, *paths, created_at=at) == {"documents": 1, "chunks": 1}
+    chunks = spark.read.parquet(paths[1])
+    assert chunks.count() == 6 and chunks.select("chunk_id").distinct().count() == 6

@@ -15,7 +15,8 @@ CHECKED = (
     "chunk_word_pack", "chunk_paragraph_pack", "primary_entity", "chat_triage", "integrity_hash", "match_documents",
     "similarity_join_blocks", "search", "retrieve", "context_assemble", "answer_inputs", "memory_query", "text_source",
     "write_chunks", "upsert_by_id", "authorize_requests", "session_payload", "rate_limit", "rate_limit_stream",
-    "session_state_stream", "stream_ingest",
+    "session_state_stream", "stream_ingest", "search_mixed_scopes", "file_router", "memory_probe", "ingest_then_retrieve",
+    "upsert_status", "memory_summary_numbered", "memory_summary_top3", "json_dir_source", "json_memory_source",
 )
 
 
