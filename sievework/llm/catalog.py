@@ -20,10 +20,11 @@ from . import (
     simhash,
     token_counts,
 )
+from . import sql
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_embedding_dedup": sql.EMBEDDING_DEDUP, "op5_license_scan": sql.LICENSE_SCAN}
 
 
 def query(build):

@@ -2,11 +2,12 @@
 
 import corpus_pipeline as cp
 import pytest
-from pyspark.sql import functions as F
 
 from sievework.llm import decontamination, pii, quality
 from sievework.llm.catalog import ORACLES, QUERIES
 
+from tests.compare import check, connect
+
 from .conftest import ODD
 from .test_decontamination import plain_distance
 from .test_pii import plain as plain_spans
@@ -91,7 +92,14 @@ def test_queries_run_on_whole_tables(spark):
             assert n == (500 if name.startswith("op4") else 200)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    for folder in ("sf0.001", "sf0.01"):
+        path = f"/root/testdata/{folder}"
+        *_, problem, wrong_types = check(spark, connect(path), name, QUERIES[name], ORACLES[name], path)
+        assert problem is None and not wrong_types
+
+
 def test_queries_have_one_number_each():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
-    assert F is not None and ODD
