@@ -9,7 +9,7 @@ from ..operators import context, documents, evidence, memory, ranking, sessions
 from ..operators import vector_search as vs
 from ..plans import retrieve as plan
 from ..plans import search as search_plan
-from ..session import cut_lineage
+from ..session import cut_lineage, fetch
 from . import fixtures as fx
 from .fixtures import chain_sql, collapse_sql, lit, trim_sql
 from .registry import query
@@ -108,7 +108,7 @@ def similarity_join_blocks(spark, sf_dir):
 )
 def local_search(spark, sf_dir):
     queries, corpus = inputs(spark, sf_dir)
-    found = vs.local_search(queries, corpus, k=5, **OWN).join(corpus.select("doc_id", "chunk_text"), "doc_id")
+    found = fetch(vs.local_search(queries, corpus, k=5, **OWN), corpus.select("doc_id", "chunk_text"), "doc_id")
     return documents.previews(
         found.select("query_id", "doc_id", F.col("chunk_text").alias("text"), F.col("similarity").alias("score")),
         "query_id",
@@ -267,7 +267,7 @@ def rag_search(spark, sf_dir):
 def memory_result_shape(spark, sf_dir):
     queries, corpus = inputs(spark, sf_dir)
     found = vs.match_vectors(queries, corpus, top=5, floor=0.3, **OWN)
-    found = found.join(corpus.select("doc_id", F.col("chunk_text").alias("text")), "doc_id")
+    found = fetch(found, corpus.select("doc_id", F.col("chunk_text").alias("text")), "doc_id")
     return documents.memory_results(queries, found.withColumnRenamed("doc_id", "id"))
 
 
@@ -806,9 +806,8 @@ def memory_weights(spark, sf_dir):
 def recalled(spark, sf_dir, k=15):
     """Memories found per query with score, priority and time."""
     queries, corpus = inputs(spark, sf_dir)
-    found = vs.local_search(queries, corpus, k=k, **OWN).join(
-        corpus.select("doc_id", F.col("chunk_text").alias("text")), "doc_id"
-    )
+    texts = corpus.select("doc_id", F.col("chunk_text").alias("text"))
+    found = fetch(vs.local_search(queries, corpus, k=k, **OWN), texts, "doc_id")
     return found.select(
         "query_id",
         F.col("doc_id").alias("id"),

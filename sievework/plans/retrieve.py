@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, entities, rx, signals, text
 from ..operators import access, ranking
 from ..operators.vector_search import embed_distinct, match_vectors
-from ..session import broadcast_if_short, cut_lineage
+from ..session import cut_lineage, fetch
 
 FETCH_FLOOR = 0.10
 
@@ -48,7 +48,7 @@ def candidates(
         own_key=own_key,
     )
     texts = corpus.select(key, "filename", "chunk_text")
-    return texts.join(broadcast_if_short(cut_lineage(hits)), key)
+    return fetch(hits, texts, key)
 
 
 def shape(found: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rx
 from ..operators import access
 from ..operators.vector_search import match_vectors
+from ..session import fetch
 
 RAG_FLOOR, RAG_TOP = 0.1, 5
 
@@ -47,7 +48,7 @@ def rag_search(queries: DataFrame, corpus: DataFrame, *, key: str, own_key: str
         own_key=own_key,
     )
     texts = corpus.select(key, F.col("chunk_text").alias("chunk"))
-    return found.join(texts, key).select(
+    return fetch(found, texts, key).select(
         "query_id",
         key,
         "pos",

@@ -66,6 +66,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+def fetch(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Hits with the columns of their rows. The hits are written once; while they are short they are broadcast, and the
+    rows, whole texts mostly, are read in place instead of being shuffled."""
+    return rows.join(broadcast_if_short(cut_lineage(hits)), key)
+
+
 def broadcast_if_short(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table of a few numbers per row for broadcast when it is short enough, about 60 MB at the limit."""
     return F.broadcast(written) if written.count() <= limit else written
