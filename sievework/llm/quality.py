@@ -27,6 +27,7 @@ BUCKETS = 1 << 22
 MIN_COUNT = 5
 CERTAIN = 6.0
 RIDGE = 1e-4
+STRONG = 30.0
 STEPS = 300
 RATE = 0.1
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
@@ -88,13 +89,15 @@ def fit_ordinal(ids: np.ndarray, sizes: np.ndarray, grades: np.ndarray, ridge: f
     row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     # only features that go with some grade beyond chance; the others would learn single rows by heart
     seen = np.bincount(ids, minlength=BUCKETS)
-    tells = np.zeros(BUCKETS, dtype=bool)
+    strength = np.zeros(BUCKETS)
     for code in range(k):
         share = (codes == code).mean()
         with_it = np.bincount(ids[(codes == code)[row]], minlength=BUCKETS)
         spread = np.sqrt(seen * (1 - seen / n) * share * (1 - share) + 1e-9)
-        tells |= np.abs(with_it - seen * share) > CERTAIN * spread
-    kept = np.flatnonzero(tells & (seen >= MIN_COUNT))
+        np.maximum(strength, np.abs(with_it - seen * share) / spread, out=strength)
+    kept = np.flatnonzero((strength > CERTAIN) & (seen >= MIN_COUNT))
+    # the less a feature tells, the more its weight is held down
+    penalty = ridge * (STRONG / strength[kept]) ** 2
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     column = place[ids]
@@ -116,7 +119,7 @@ def fit_ordinal(ids: np.ndarray, sizes: np.ndarray, grades: np.ndarray, ridge: f
         by_cut = np.array([(d_low[codes == j + 1].sum() - d_high[codes == j].sum()) / n for j in range(k - 1)])
         gaps = np.exp(theta[1 : k - 1])
         tail = np.cumsum(by_cut[::-1])[::-1]
-        g_w = np.bincount(column, weights=(d_high - d_low)[row], minlength=len(kept)) / n + ridge * w
+        g_w = np.bincount(column, weights=(d_high - d_low)[row], minlength=len(kept)) / n + penalty * w
         gradient = np.concatenate([tail[:1], tail[1:] * gaps, g_w])
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
