@@ -59,7 +59,8 @@ def limit_stream(spark, sf_dir):
 
 @query(
     "session_state_stream",
-    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_count FROM conversations",
+    """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_count,
+ max(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS last_turn FROM conversations""",
 )
 def session_stream(spark, sf_dir):
     messages = stream_table(spark, sf_dir, "conversations")

@@ -17,25 +17,30 @@ LIMIT_SCHEMA = "user_id long, event_id long, ts_us long, allowed boolean, remain
 
 
 def decide(accepted: list, now: int, limit: int, window: int):
-    """One request against the accepted times of the last window; times in microseconds.
+    """One request against the accepted times within a window of it; times in microseconds.
 
-    Returns the accepted times to keep, whether the request is allowed, how many are left, and the seconds to wait.
+    Returns the accepted times to keep, whether the request is allowed, how many are left, and the seconds to wait. A
+    request that comes late counts the accepted ones on both sides of it, so no window ever holds more than the limit;
+    decisions already given stay.
     """
-    recent = [t for t in accepted if now - t < window]
-    allowed = len(recent) < limit
+    near = [t for t in accepted if abs(now - t) < window]
+    allowed = len(near) < limit
     if allowed:
-        recent.append(now)
-    wait = -(-(window - (now - recent[0])) // 1_000_000) if recent else 0
-    return recent, allowed, max(0, limit - len(recent)), wait
+        near, accepted = sorted([*near, now]), sorted([*accepted, now])
+    wait = -(-(window - (now - near[0])) // 1_000_000) if near else 0
+    newest = max([now, *accepted])
+    return [t for t in accepted if newest - t < window], allowed, max(0, limit - len(near)), wait
 
 
 class RateLimiter(StatefulProcessor):
-    """State per user: the accepted times of the last window, at most limit of them."""
+    """State per user: the accepted times of the last window, at most limit of them, dropped when the watermark has
+    passed the last one by a window."""
 
     def __init__(self, limit, window_us):
         self.limit, self.window_us = limit, window_us
 
     def init(self, handle):
+        self.handle = handle
         state = T.StructType([T.StructField("accepted", T.ArrayType(T.LongType()))])
         self.state = handle.getValueState("accepted", state)
 
@@ -43,28 +48,50 @@ class RateLimiter(StatefulProcessor):
         accepted = list(self.state.get()[0]) if self.state.exists() else []
         # decisions need time order: two numbers per request of one user and trigger; the source's limit per trigger
         # (maxFilesPerTrigger and the like) bounds them
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
+        batch = pd.concat([r[["ts_us", "event_id"]] for r in rows]).sort_values(["ts_us", "event_id"])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if watermark > 0:
+            batch = batch[batch["ts_us"] >= watermark * 1000]
         out = []
         for now, event_id in zip(batch["ts_us"].tolist(), batch["event_id"].tolist()):
             accepted, allowed, remaining, wait = decide(accepted, now, self.limit, self.window_us)
             out.append((key[0], event_id, now, allowed, remaining, wait))
         self.state.update((accepted,))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if accepted:
+            self.handle.registerTimer((accepted[-1] + self.window_us) // 1000 + 1)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "ts_us", "allowed", "remaining", "retry_after"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame([], columns=["user_id", "event_id", "ts_us", "allowed", "remaining", "retry_after"])
+
     def close(self):
         pass
 
 
-def stream_rate_limit(requests: DataFrame, limit: int = 20, window_seconds: int = 60) -> DataFrame:
-    """Decisions for a stream of (user_id, event_id, ts). Times must not run backwards between triggers."""
-    shaped = requests.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+def stream_rate_limit(
+    requests: DataFrame, limit: int = 20, window_seconds: int = 60, late_seconds: int = 3600
+) -> DataFrame:
+    """Decisions for a stream of (user_id, event_id, ts).
+
+    Within a trigger requests are decided in order of time. A request up to late_seconds behind the newest one seen is
+    decided when it comes (see decide); an older one is left out, as its window may have been forgotten.
+    """
+    shaped = requests.select(
+        "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("ts").cast("timestamp").alias("ts")
+    ).withWatermark("ts", f"{late_seconds} seconds")
     return shaped.groupBy("user_id").transformWithStateInPandas(
-        RateLimiter(limit, window_seconds * 1_000_000), LIMIT_SCHEMA, "Append", "None"
+        RateLimiter(limit, window_seconds * 1_000_000), LIMIT_SCHEMA, "Append", "EventTime"
     )
 
 
 class SessionCounter(StatefulProcessor):
-    """State per session: number of messages and last turn. Only turn numbers enter it; texts take no part."""
+    """State per session: number of messages and highest turn. Only turn numbers enter it; texts take no part.
+
+    Messages count in the order in which triggers bring them, within a trigger by turn; last_turn is the highest so far.
+    """
 
     def __init__(self, ttl_ms):
         self.ttl_ms = ttl_ms
@@ -77,9 +104,9 @@ class SessionCounter(StatefulProcessor):
         n, updated = self.state.get() if self.state.exists() else (0, -1)
         turns = pd.concat(list(rows))["turn"].sort_values().tolist()
         counts = list(range(n + 1, n + 1 + len(turns)))
-        updated = max(updated, turns[-1])
-        self.state.update((counts[-1], updated))
-        yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns, "message_count": counts})
+        highest = [max(updated, t) for t in turns]
+        self.state.update((counts[-1], highest[-1]))
+        yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns, "message_count": counts, "last_turn": highest})
 
     def close(self):
         pass
@@ -95,7 +122,7 @@ def stream_session_state(messages: DataFrame, ttl_hours: int | None = None) -> D
         .groupBy("conv_id")
         .transformWithStateInPandas(
             SessionCounter(ttl_hours * 3_600_000 if ttl_hours else None),
-            "conv_id long, turn long, message_count long",
+            "conv_id long, turn long, message_count long, last_turn long",
             "Append",
             "ProcessingTime" if ttl_hours else "None",
         )

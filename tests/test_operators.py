@@ -317,3 +317,34 @@ def test_a_second_ingest_into_the_same_folder_adds_nothing(spark, tmp_path):
     assert ingest(more, *paths, created_at=at) == {"documents": 1, "chunks": 1}
     chunks = spark.read.parquet(paths[1])
     assert chunks.count() == 6 and chunks.select("chunk_id").distinct().count() == 6
+
+
+def test_stream_limits_over_triggers_drop_old_state(spark, tmp_path):
+    """Out-of-order requests over several triggers, late ones, and state that goes away behind the watermark."""
+    second = 1_000_000
+    triggers = [
+        [(u, 100 + u, t * second) for u in range(40) for t in (3, 1, 2)],
+        [(1, 7, 2 * second), (1, 8, 30 * second)],  # in time though behind the newest
+        [(99, 1, 10_000 * second)],  # moves the watermark past all windows
+        [(99, 2, 10_000 * second + 1), (1, 9, 5 * second)],  # the second is too late and left out
+        [(99, 3, 20_000 * second)],
+    ]
+    source = tmp_path / "in"
+    schema = "user_id long, event_id long, ts timestamp"
+    for n, rows in enumerate(triggers):
+        df = spark.createDataFrame(rows, "user_id long, event_id long, us long").withColumn("ts", F.timestamp_micros("us"))
+        df.drop("us").coalesce(1).write.parquet(str(source / f"t={n}"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+    limited = stateful.stream_rate_limit(stream, limit=2, window_seconds=60, late_seconds=100)
+    query = (
+        limited.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    states = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    got = {(r["user_id"], r["event_id"], r["ts_us"] // second): r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert all(got[u, 100 + u, t] == (t < 3) for u in range(40) for t in (1, 2, 3))
+    assert got[1, 7, 2] is False and got[1, 8, 30] is False
+    assert got[99, 1, 10_000] and got[99, 3, 20_000] and (1, 9, 5) not in got
+    assert max(states) >= 40 and states[-1] <= 4
