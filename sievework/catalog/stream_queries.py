@@ -34,17 +34,27 @@ def run_to_end(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-LIMIT_SQL = f"""WITH RECURSIVE numbered AS (SELECT user_id, event_id, epoch_us(ts) AS t,
+def limit_sql(limit: int, window: int) -> str:
+    return f"""WITH RECURSIVE numbered AS (SELECT user_id, event_id, epoch_us(ts) AS t,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  walk AS (SELECT user_id, 0::BIGINT AS n, []::BIGINT[] AS held, NULL::BIGINT AS event_id, NULL::BIGINT AS t,
    false AS allowed FROM (SELECT DISTINCT user_id FROM events)
   UNION ALL
-  SELECT user_id, n, CASE WHEN len(recent) < {LIMIT} THEN list_append(recent, t) ELSE recent END, event_id, t,
-   len(recent) < {LIMIT}
-  FROM (SELECT w.user_id, e.n, e.event_id, e.t, list_filter(w.held, lambda x: e.t - x < {WINDOW}000000) AS recent
+  SELECT user_id, n, CASE WHEN len(recent) < {limit} THEN list_append(recent, t) ELSE recent END, event_id, t,
+   len(recent) < {limit}
+  FROM (SELECT w.user_id, e.n, e.event_id, e.t, list_filter(w.held, lambda x: e.t - x < {window}000000) AS recent
    FROM walk w JOIN numbered e ON e.user_id = w.user_id AND e.n = w.n + 1))
- SELECT user_id, event_id, t AS ts_us, allowed, greatest(0, {LIMIT} - len(held)) AS remaining,
-  CAST(ceil(({WINDOW}000000 - (t - held[1])) / 1000000.0) AS BIGINT) AS retry_after FROM walk WHERE n > 0"""
+ SELECT user_id, event_id, t AS ts_us, allowed, greatest(0, {limit} - len(held)) AS remaining,
+  CAST(ceil(({window}000000 - (t - held[1])) / 1000000.0) AS BIGINT) AS retry_after FROM walk WHERE n > 0"""
+
+
+LIMIT_SQL = limit_sql(LIMIT, WINDOW)
+
+
+@query("rate_limit_per_minute", limit_sql(20, 60))
+def limit_per_minute(spark, sf_dir):
+    """The usual twenty requests a minute."""
+    return rate_limit.rate_limit(fx.table(spark, sf_dir, "events"))
 
 
 @query("rate_limit", LIMIT_SQL)

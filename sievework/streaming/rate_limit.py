@@ -3,7 +3,8 @@
 Refused requests do not count, so a decision depends on the decisions before it and a window aggregate is wrong. A user
 with a large part of all requests must not end up in one task, so the time line is cut into slices at least one window
 long. Only the accepted requests of the slice before can reach into a slice. All slices are decided side by side from
-what is known of their predecessors' tails; slices whose predecessor's tail changed are decided again until none did.
+what is known of their predecessors' tails; slices whose predecessor's tail changed are decided again until none did, in
+as many rounds as slices without a pause follow one another.
 Then every slice started from the right state, which by induction from each user's first slice is the exact result.
 """
 
@@ -61,14 +62,23 @@ def _handed_on(decided: DataFrame, window: int, width: int) -> DataFrame:
     )
 
 
+def _instead(table: DataFrame, newer: DataFrame) -> DataFrame:
+    """The table with the slices of newer exchanged."""
+    return table.join(newer.select("user_id", "slice").distinct(), ["user_id", "slice"], "left_anti").unionByName(newer)
+
+
 def rate_limit(
     requests: DataFrame,
     limit: int = 20,
     window_seconds: int = 60,
     slice_windows: int = 64,
-    max_rounds: int = 6,
 ) -> DataFrame:
-    """Decision per request of (user_id, event_id, ts), ordered by ts, then event_id."""
+    """Decision per request of (user_id, event_id, ts), ordered by ts, then event_id.
+
+    A pause of a window or more forgets what was before, so a slice with a pause hands on the right tail whatever it
+    started from. Rounds go on only through slices without a pause, as many as such slices follow one another, and each
+    touches only the slices whose start has changed. No task ever holds more than a slice.
+    """
     window = window_seconds * 1_000_000
     width = window * slice_windows
     rows = requests.select(
@@ -76,37 +86,30 @@ def rate_limit(
         F.col("event_id").cast("long").alias("event_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
     ).withColumn("slice", F.floor(F.col("ts_us") / width).cast("long"))
+    empty = F.array().cast("array<long>")
     no_seeds = rows.sparkSession.createDataFrame([], "user_id long, slice long, seed array<long>")
-    decided = cut_lineage(_decide(rows, no_seeds, limit, window))
-
-    used = no_seeds
-    for round_number in range(max_rounds + 1):
-        seeds = _handed_on(decided, window, width)
-        known = used.withColumnRenamed("seed", "old")
-        empty = F.array().cast("array<long>")
-        stale = (
-            seeds.join(known, ["user_id", "slice"], "left")
+    first = cut_lineage(_decide(rows, no_seeds, limit, window))
+    slices = first.select("user_id", "slice").distinct()
+    handed = _handed_on(first, window, width)
+
+    # slices whose predecessor hands something on have started from the wrong state
+    stale = cut_lineage(handed.where(F.size("seed") > 0).join(slices, ["user_id", "slice"], "left_semi"))
+    used, again = stale, None
+    while not stale.isEmpty():
+        redone = cut_lineage(
+            _decide(rows.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_semi"), stale, limit, window)
+        )
+        again = redone if again is None else cut_lineage(_instead(again, redone))
+        # what the redone slices hand on, against what their successors were last given
+        given = used.withColumnRenamed("seed", "old")
+        changed = (
+            _handed_on(redone, window, width)
+            .join(given, ["user_id", "slice"], "left")
             .where(F.coalesce("seed", empty) != F.coalesce("old", empty))
             .select("user_id", "slice", "seed")
-            .join(decided.select("user_id", "slice").distinct(), ["user_id", "slice"], "left_semi")
-        )
-        stale = cut_lineage(stale)
-        if stale.isEmpty():
-            break
-        if round_number == max_rounds:
-            # users that do not settle: one ordered pass over their requests, still held in constant memory
-            users = stale.select("user_id").distinct()
-            again = rows.join(users, "user_id", "left_semi").withColumn("slice", F.lit(0).cast("long"))
-            whole = again.withColumn("seed", F.lit(None).cast("array<long>"))
-            whole = whole.repartition("user_id").sortWithinPartitions("user_id", "ts_us", "event_id")
-            redone = whole.mapInPandas(_fold(limit, window), FOLDED)
-            decided = decided.join(users, "user_id", "left_anti").unionByName(redone)
-            break
-        redone = _decide(
-            rows.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_semi"), stale, limit, window
+            .join(slices, ["user_id", "slice"], "left_semi")
         )
-        kept = decided.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_anti")
-        decided = cut_lineage(kept.unionByName(redone))
-        used = used.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_anti").unionByName(stale)
-        used = cut_lineage(used)
-    return decided.drop("slice")
+        stale = cut_lineage(changed)
+        if not stale.isEmpty():
+            used = cut_lineage(_instead(used, stale))
+    return (first if again is None else _instead(first, again)).drop("slice")
