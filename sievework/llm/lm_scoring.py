@@ -22,7 +22,6 @@ from .common import kind, rows, shape, slices, steady, texts
 
 EDGE = 0xFF
 SMOOTH = 20.0
-TABLE = 1 << 24
 
 
 def trigrams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +55,18 @@ def count(df: DataFrame, text: str, in_target: str) -> Counts:
         for batch in slices(batches, "t", 8 << 20):
             codes, sizes = trigrams(texts(batch, "t"))
             chosen = np.repeat(batch.column("chosen").to_numpy(zero_copy_only=False).astype(bool), sizes)
-            both = np.bincount(codes, minlength=0)
+            # counted over the bytes that occur, so the arrays stay small
+            held = np.flatnonzero(np.bincount(codes >> 16, minlength=256) + np.bincount(codes & 255, minlength=256))
+            rank = np.zeros(256, dtype=np.int32)
+            rank[held] = np.arange(len(held))
+            dense = (rank[codes >> 16] * len(held) + rank[codes >> 8 & 255]) * len(held) + rank[codes & 255]
+            both = np.bincount(dense, minlength=1)
             place = np.flatnonzero(both)
-            own = np.bincount(codes[chosen], minlength=len(both))
-            yield rows(code=place.astype(np.int32), background=both[place], target=own[place])
+            own = np.bincount(dense[chosen], minlength=len(both))
+            upper, third = np.divmod(place, max(1, len(held)))
+            first, second = np.divmod(upper, max(1, len(held)))
+            code = (held[first] << 16 | held[second] << 8 | held[third]) if len(held) else place
+            yield rows(code=code.astype(np.int32), background=both[place], target=own[place])
 
     given = df.select(F.col(text).alias("t"), F.coalesce(F.col(in_target), F.lit(False)).alias("chosen"))
     counted = given.mapInArrow(run, "code int, background long, target long")
@@ -71,16 +78,18 @@ def count(df: DataFrame, text: str, in_target: str) -> Counts:
 
 def log_probabilities(codes: np.ndarray, counts: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
     """log P(third byte | first two) for all 256^3 triples, each order interpolated with the lower one."""
-    full = np.zeros(TABLE)
-    full[codes] = counts
-    cube = full.reshape(256, 256, 256)
-    pairs = cube.sum(axis=0)
+    pairs = np.bincount(codes & 0xFFFF, weights=counts, minlength=1 << 16).reshape(256, 256)
     single = pairs.sum(axis=0)
     p1 = (single + 1) / (single.sum() + 256)
     p2 = (pairs + smooth * p1[None, :]) / (pairs.sum(axis=1, keepdims=True) + smooth)
     out = np.empty((256, 256, 256), dtype=np.float32)
+    # codes are in order: one first byte at a time
+    cuts = np.searchsorted(codes, np.arange(257) << 16)
     for first in range(256):
-        own = cube[first]
+        part = slice(cuts[first], cuts[first + 1])
+        own = np.zeros(1 << 16)
+        own[codes[part] & 0xFFFF] = counts[part]
+        own = own.reshape(256, 256)
         out[first] = np.log((own + smooth * p2) / (own.sum(axis=1, keepdims=True) + smooth))
     return out.reshape(-1)
 
