@@ -38,30 +38,55 @@ def step(value: float, edges: tuple[float, ...]) -> int:
 
 
 STEMS = (4, 5, 6)
+CACHED = 400_000
 SHARES = (0.01, 0.03, 0.06, 0.1, 0.2, 0.4)
 SIZES = (5, 20, 80, 320, 1280, 5120)
 
 
-def features(text: str) -> list[int]:
-    """Sorted distinct bucket numbers of a text."""
-    tokens = text.split()
+def word_buckets(word: str) -> list[int]:
+    """Buckets of a word (or sign run) and of its beginnings, which stand for words that appear in many inflected forms."""
+    crc, found = zlib.crc32, [zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS]
+    if len(word) > 3:
+        found += [crc(f"{word[:size]}\x00".encode("utf-8", "replace")) % BUCKETS for size in STEMS if size <= len(word)]
+    return found
+
+
+def shape_buckets(text: str) -> list[int]:
+    tokens, lines = text.split(), text.split("\n")
     n = len(tokens) or 1
-    names = set(TOKEN.findall(text.lower()))
-    # beginnings stand for words that appear in many inflected forms
-    names.update([f"{w[:size]}\x00" for w in names if len(w) > 3 for size in STEMS if size <= len(w)])
-    lines = text.split("\n")
     capitals = sum(t.isupper() and len(t) > 1 for t in tokens) / n
     odd = sum(not t[-1].isalnum() and t[-1] not in ".,;:?)\"'" for t in tokens) / n
     repeats = 1 - len(set(lines)) / len(lines)
     alike = 1 - len(set(tokens)) / n
-    shape_names = (
+    names = (
         f"\x00caps{step(capitals, SHARES)}", f"\x00odd{step(odd, SHARES)}", f"\x00lines{step(repeats, SHARES)}",
         f"\x00alike{step(alike, SHARES)}", f"\x00size{step(n, SIZES)}",
     )
-    crc = zlib.crc32
-    found = {crc(t.encode("utf-8", "replace")) % BUCKETS for t in names}
-    found.update(crc(t.encode()) % BUCKETS for t in shape_names)
-    return sorted(found)
+    return [zlib.crc32(t.encode()) % BUCKETS for t in names]
+
+
+class Features:
+    """Sorted distinct buckets of texts. With `known`, only those it holds; what a word gives is kept up to CACHED words."""
+
+    def __init__(self, known=None):
+        self.known, self.of_word = known, {}
+
+    def __call__(self, text: str) -> list[int]:
+        found, known, of_word = set(), self.known, self.of_word
+        if len(of_word) > CACHED:
+            of_word.clear()
+        for word in set(TOKEN.findall(text.lower())):
+            own = of_word.get(word)
+            if own is None:
+                own = of_word[word] = tuple(b for b in word_buckets(word) if known is None or b in known)
+            if own:
+                found.update(own)
+        found.update(b for b in shape_buckets(text) if known is None or b in known)
+        return sorted(found)
+
+
+def features(text: str) -> list[int]:
+    return Features()(text)
 
 
 @dataclass
@@ -141,8 +166,9 @@ def fit(
 
     @steady
     def run(batches):
+        features_of = Features()
         for batch in slices(batches, "text"):
-            found = [features(t) for t in texts(batch, "text")]
+            found = [features_of(t) for t in texts(batch, "text")]
             yield rows(own=batch.column("own"), grade=batch.column("grade").cast(pa.int64()), ids=pa.array(found, type=pa.list_(pa.int32())))
 
     shaped = rows_.select("own", F.col("grade").cast("long").alias("grade"), "text")
@@ -174,21 +200,25 @@ def grade_texts(df: DataFrame, model: Ordinal | None, key: str = "doc_id", text:
 
     @steady
     def run(batches):
-        ordinal = shared.value
+        predict = predictor(shared.value)
         for batch in slices(batches, text):
-            grade, tail = predicted(ordinal, texts(batch, text))
+            grade, tail = predict(texts(batch, text))
             yield rows(**{key: batch.column(key), "expected_grade": grade, "tail": tail})
 
     return shape(df, key, text).mapInArrow(run, f"`{key}` {kind(df, key)}, expected_grade double, tail double")
 
 
-def predicted(model: Ordinal | None, found: list[str]) -> tuple[pa.Array, pa.Array]:
+def predictor(model: Ordinal | None):
+    """Function from texts to their (expected grades, probabilities of the top grade); nulls without a model."""
     if model is None:
-        return (pa.nulls(len(found), pa.float64()),) * 2
-    weight = model.weights.get
-    scores = np.array([sum([weight(f, 0.0) for f in features(t)]) for t in found], dtype=float)
-    grade, tail = model.predict(scores)
-    return pa.array(grade), pa.array(tail)
+        return lambda found: (pa.nulls(len(found), pa.float64()),) * 2
+    features_of, weights = Features(model.weights), model.weights
+
+    def predict(found: list[str]) -> tuple[pa.Array, pa.Array]:
+        grade, tail = model.predict(np.array([sum([weights[b] for b in features_of(t)]) for t in found], dtype=float))
+        return pa.array(grade), pa.array(tail)
+
+    return predict
 
 
 def select_texts(df: DataFrame, model: Ordinal | None, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -199,8 +229,9 @@ def select_texts(df: DataFrame, model: Ordinal | None, text: str = "text", least
 
     @steady
     def run(batches):
+        predict = predictor(shared.value)
         for batch in slices(batches, text):
-            _, tail = predicted(shared.value, texts(batch, text))
+            _, tail = predict(texts(batch, text))
             yield batch.filter(pa.array(tail.to_numpy() >= least))
 
     return df.mapInArrow(run, df.schema)
