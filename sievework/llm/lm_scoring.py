@@ -55,18 +55,10 @@ def count(df: DataFrame, text: str, in_target: str) -> Counts:
         for batch in slices(batches, "t", 8 << 20):
             codes, sizes = trigrams(texts(batch, "t"))
             chosen = np.repeat(batch.column("chosen").to_numpy(zero_copy_only=False).astype(bool), sizes)
-            # counted over the bytes that occur, so the arrays stay small
-            held = np.flatnonzero(np.bincount(codes >> 16, minlength=256) + np.bincount(codes & 255, minlength=256))
-            rank = np.zeros(256, dtype=np.int32)
-            rank[held] = np.arange(len(held))
-            dense = (rank[codes >> 16] * len(held) + rank[codes >> 8 & 255]) * len(held) + rank[codes & 255]
-            both = np.bincount(dense, minlength=1)
+            both = np.bincount(codes, minlength=1)
             place = np.flatnonzero(both)
-            own = np.bincount(dense[chosen], minlength=len(both))
-            upper, third = np.divmod(place, max(1, len(held)))
-            first, second = np.divmod(upper, max(1, len(held)))
-            code = (held[first] << 16 | held[second] << 8 | held[third]) if len(held) else place
-            yield rows(code=code.astype(np.int32), background=both[place], target=own[place])
+            own = np.bincount(codes[chosen], minlength=len(both))
+            yield rows(code=place.astype(np.int32), background=both[place], target=own[place])
 
     given = df.select(F.col(text).alias("t"), F.coalesce(F.col(in_target), F.lit(False)).alias("chosen"))
     counted = given.mapInArrow(run, "code int, background long, target long")
