@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontamination, pii, quality, sentencepiece_viterbi, simhash
+from sievework.llm import decontamination, near_copies, pii, quality, sentencepiece_viterbi
 from sievework.llm.common import named, read, written
 
 
@@ -23,11 +23,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by SimHash the one with the smallest doc_id.
+    """Of each group of documents linked by five-word shingle similarity of 0.8 or more the one with the smallest doc_id.
 
     Documents without a doc_id can't be told apart and stay. Rows that repeat a doc_id are one document: one row stays.
     """
-    groups = written(simhash.simhash_components(docs).select("doc_id", "component_id"), "groups")
+    found = written(near_copies.near_copy_components(docs), "near-components")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = written(found.join(least, "component").select("doc_id", "component_id"), "groups")
     kept = by_id(docs, groups.where("doc_id <> component_id"), "left_anti")
     repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():

@@ -84,8 +84,8 @@ def segments_for(count: int, distance: int) -> int:
     return min(distance + 1, max(2, BITS // max(1, int(count).bit_length())))
 
 
-def bucket_rows(fps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
-    """Rows (bucket, fp, probe): table entries (probe false) and look-ups of the ball around them (probe true).
+def bucket_rows(fps: DataFrame, plan: list[tuple[int, int, int]], more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (bucket, fp, *more, probe): table entries (probe false) and look-ups of the ball around them (probe true).
 
     Of two values that differ, the one with a 0 at the lowest differing bit looks up the other.
     """
@@ -107,20 +107,21 @@ def bucket_rows(fps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
             low = F.filter(lits, lambda m: at.bitwiseAND(m).bitwiseAND(-m) == 0)
             balls.append(F.transform(low, lambda m: F.struct(bucket(i, at.bitwiseXOR(m)).alias("bucket"), F.lit(True).alias("probe"))))
     entries = F.array(*own)
-    return fps.select("fp", F.explode(F.concat(entries, *balls) if balls else entries).alias("e")).select("e.bucket", "fp", "e.probe")
+    exploded = fps.select("fp", *more, F.explode(F.concat(entries, *balls) if balls else entries).alias("e"))
+    return exploded.select("e.bucket", "fp", *more, "e.probe")
 
 
-def cut_blocks(table: DataFrame, block: int) -> DataFrame:
-    """Rows (bucket, tile, fp, probe): buckets of over `block` entries are cut; an entry looks up the later tiles too."""
+def cut_blocks(table: DataFrame, block: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (bucket, tile, fp, *more, probe): buckets of over `block` entries are cut; an entry looks up the later tiles too."""
     heavy = table.where(~F.col("probe")).groupBy(F.col("bucket").alias("heavy")).agg(F.count(F.lit(1)).alias("n"))
     heavy = written(heavy.where(F.col("n") > block).select("heavy", F.ceil(F.col("n") / block).cast("int").alias("tiles")), "heavy")
     if heavy.isEmpty():
-        return table.select("bucket", F.lit(0).alias("tile"), "fp", "probe")
+        return table.select("bucket", F.lit(0).alias("tile"), "fp", *more, "probe")
     joined = table.join(heavy, F.col("bucket") == F.col("heavy"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     home = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     first = F.when(F.col("probe"), F.lit(0)).otherwise(home)
     spread = joined.withColumn("home", home).withColumn("tile", F.explode(F.sequence(first, F.col("tiles") - 1)))
-    return spread.select("bucket", "tile", "fp", (F.col("probe") | (F.col("tile") != F.col("home"))).alias("probe"))
+    return spread.select("bucket", "tile", "fp", *more, (F.col("probe") | (F.col("tile") != F.col("home"))).alias("probe"))
 
 
 def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +144,8 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[moved], nodes[label[moved]]
 
 
-def links_within(group, fp, left_ok, is_table, distance: int):
-    """Links between rows and table rows of the same group, as arrays (a, b); rows are sorted by group, tables first."""
+def pairs_within(group, fp, left_ok, is_table, distance: int):
+    """Places (left, right) of rows and table rows of the same group within `distance` bits; rows are sorted by group, tables first."""
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     sizes = np.diff(np.append(starts, len(group)))
     tables = np.add.reduceat(is_table.astype(np.int64), starts) if len(starts) else np.empty(0, dtype=np.int64)
@@ -159,12 +160,19 @@ def links_within(group, fp, left_ok, is_table, distance: int):
         left = np.repeat(np.arange(row, stop), n)
         right = np.repeat(base[row:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         near = np.bitwise_count(fp[left] ^ fp[right]) <= distance
-        near &= fp[left] != fp[right]
         if near.any():
-            yield forest(fp[left[near]].view(np.int64), fp[right[near]].view(np.int64))
+            yield left[near], right[near]
         row = stop
 
 
+def links_within(group, fp, left_ok, is_table, distance: int):
+    """Links between different fingerprints that `pairs_within` finds, as arrays (a, b)."""
+    for left, right in pairs_within(group, fp, left_ok, is_table, distance):
+        differ = fp[left] != fp[right]
+        if differ.any():
+            yield forest(fp[left[differ]].view(np.int64), fp[right[differ]].view(np.int64))
+
+
 def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int | None = None) -> DataFrame:
     """Rows (a, b) over distinct fingerprints that connect all pairs within `distance` bits, and no others."""
     plan = layout(distance, segments or segments_for(fps.count(), distance))
