@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    conversation_repair,
     decontamination,
     embedding_dedup,
     language_id,
@@ -16,15 +17,22 @@ from . import (
     lm_scoring,
     pii,
     quality,
+    quality_rules,
     sentencepiece_viterbi,
     simhash,
     token_counts,
+    whitening,
 )
 from . import sql
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES = {"op4_embedding_dedup": sql.EMBEDDING_DEDUP, "op5_license_scan": sql.LICENSE_SCAN}
+ORACLES = {
+    "op4_embedding_dedup": sql.EMBEDDING_DEDUP,
+    "op5_license_scan": sql.LICENSE_SCAN,
+    "op12_conversation_repair": sql.CONVERSATION_REPAIR,
+    "op13_quality_rules": sql.QUALITY_RULES,
+}
 
 
 def query(build):
@@ -87,3 +95,18 @@ def op9_simhash(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_report(conversation_repair.damaged(read(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_quality_rules(spark, sf_dir):
+    return quality_rules.clean_texts(read(spark, sf_dir, "documents"), cleaned=False)
