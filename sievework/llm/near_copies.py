@@ -1,20 +1,33 @@
-"""Near copies by shingle similarity: SimHash finds candidates, the exact sets of five-word shingles decide.
+"""Near copies by shingle similarity: SimHash groups first, then texts that share least hashes; exact sets decide.
 
-Two texts are linked if the Jaccard similarity of their shingle sets is LEAST or more. Candidates are texts whose
-five-word fingerprints are within DISTANCE bits (multi-index hashing, SEGMENTS segments of radius DISTANCE // SEGMENTS) and whose
-numbers of shingles allow the similarity. Texts without words are copies of each other.
+Two texts are linked if the Jaccard similarity of their sets of five-word shingles is LEAST or more; texts without words
+are copies of each other. Every link is verified on the exact sets. Candidates come in two ways:
 
-Only connectivity is asked for. So texts that share one of MINIMA least hashes are first compared with one of them (the
-pivot), and what is linked by that takes no further part against its own component: a large group of near copies costs
-comparisons in the number of its texts, not its square. All other candidates are verified, none is left out.
+1. five-word SimHash fingerprints within `simhash.DISTANCE` bits, by multi-index hashing. This joins most near copies
+   at the cost of a spanning forest.
+2. At similarity 0.8 fingerprints differ in up to 14 bits and more, where no table of segments is selective. So the rest is
+   searched by least hashes: two sets of similarity s agree in the least member under a random order with probability s.
+   Texts that agree in two of MINIMA orders share a list; at s = 0.8 all but one pair in 12,000 do.
+
+Only connectivity is asked for. In each list every text is first compared with a pivot, a new one each round, and what
+that links is one component and is not compared again: a group of near copies costs comparisons in the number of its
+texts, not its square. What is left over after the rounds (pairs of a list in different components) is compared pair by
+pair. Sizes that can't have the similarity and fingerprints more than FAR bits apart (one such pair in 100,000) are
+passed over. Equal texts are compared once, whatever their number.
+
+Null texts count as empty; a null key takes part; repeated rows come out repeated; an empty table gives an empty one;
+further columns are left out. Long texts are held one at a time.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -22,10 +35,11 @@ from .common import kind, named, rows, shape, slices, steady, texts, written
 from .components import components
 
 SHINGLE = 5
-DISTANCE = 14
-SEGMENTS = 5
 LEAST = 0.8
 MINIMA = 8
+FAR = 22
+ROUNDS = 12
+FEW = 1
 ODD = np.random.default_rng(5).integers(1, 1 << 63, size=MINIMA, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -71,93 +85,172 @@ def prints(df: DataFrame, key: str, text: str) -> DataFrame:
     return shape(df, key, text).mapInArrow(run, f"`{key}` {kind(df, key)}, tid long, fp long, n int, minima array<long>")
 
 
-def sizes_allow(left: str, right: str):
-    """Sets of these sizes can have the similarity LEAST."""
-    return F.least(left, right) >= LEAST * F.greatest(left, right)
-
-
-def verified(df: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
-    """The rows (a, b) of pairs, ids of texts, whose shingle sets have similarity LEAST or more."""
-    pairs = written(pairs.distinct(), "candidates")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("wanted")
+def text_ids(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (tid, text): each text once per task."""
 
     @steady
-    def ids(batches):
+    def run(batches):
+        seen = set()
         for batch in slices(batches, "text"):
-            yield rows(tid=pa.array([text_id(t) for t in texts(batch, "text")], type=pa.int64()), text=batch.column("text"))
+            found = [text_id(t) for t in texts(batch, "text")]
+            fresh = []
+            for tid in found:
+                fresh.append(tid not in seen)
+                seen.add(tid)
+            at = pa.array(fresh, type=pa.bool_())
+            yield rows(tid=pa.array(found, type=pa.int64()).filter(at), text=batch.column("text").filter(at))
+
+    return df.select(named(text).alias("text")).mapInArrow(run, "tid long, text string")
+
+
+def only(df: DataFrame, kept: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df whose key and text id are among kept (key, tid), one of each; columns as in df."""
 
-    given = df.select(named(text).alias("text")).mapInArrow(ids, "tid long, text string")
-    # exact copies meet here: any one of them stands for all
-    held = given.join(wanted, F.col("tid") == F.col("wanted"), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    held = written(held, "candidate-texts")
+    @F.pandas_udf("long")
+    def tid(found: pd.Series) -> pd.Series:
+        return pd.Series([text_id(t or "") for t in found], dtype="int64")
+
+    own = "__tid"
+    while own in df.columns:
+        own += "_"
+    held = df.withColumn(own, tid(named(text)))
+    wanted = kept.select(named(key).alias("wanted_key"), F.col("tid").alias("wanted_tid"))
+    met = held.join(wanted, (held[f"`{key}`"] == F.col("wanted_key")) & (held[own] == F.col("wanted_tid")), "left_semi")
+    return met.dropDuplicates([key, own]).drop(own)
+
+
+def comparable(left: str, right: str) -> Column:
+    """Sizes (n) can have the similarity LEAST, and fingerprints (fp) are not too far apart for it."""
+    n, m = F.col(left + ".n"), F.col(right + ".n")
+    bits = F.bit_count(F.col(left + ".fp").bitwiseXOR(F.col(right + ".fp")))
+    return (F.least(n, m) >= LEAST * F.greatest(n, m)) & (bits <= FAR)
+
+
+def verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (a, b) of pairs of text ids whose shingle sets have similarity LEAST or more; held has each text once."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.join(held.toDF("a", "left"), "a").join(held.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     @steady
     def run(batches):
+        known: dict[int, np.ndarray] = {}
+
+        def sets(batch, name, column):
+            for tid, text in zip(batch.column(name).to_pylist(), texts(batch, column)):
+                if tid not in known:
+                    # a pivot meets many texts: its set is made once
+                    if len(known) >= 64:
+                        known.clear()
+                    known[tid] = shingle_set(text)
+                yield known[tid]
+
         for batch in slices(batches, "left"):
-            left, right = ([shingle_set(t) for t in texts(batch, c)] for c in ("left", "right"))
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)])
-            union = np.array([len(x) + len(y) for x, y in zip(left, right)]) - common
-            near = pa.array((common >= LEAST * union))
+            near = []
+            for x, y in zip(sets(batch, "a", "left"), sets(batch, "b", "right")):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(common >= LEAST * (len(x) + len(y) - common))
+            near = pa.array(near, type=pa.bool_())
             yield rows(a=batch.column("a").filter(near), b=batch.column("b").filter(near))
 
-    return both.mapInArrow(run, "a long, b long")
+    return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def pivots(distinct: DataFrame) -> DataFrame:
-    """Rows (a, b): per least hash each text with the one of smallest id among those that share it."""
-    entries = distinct.select("tid", "n", F.explode("minima").alias("at"))
-    least = entries.groupBy("at").agg(F.min(F.struct("tid", "n")).alias("p"), F.count(F.lit(1)).alias("met")).where("met > 1")
-    met = entries.join(least, "at").select("tid", "n", F.col("p.tid").alias("pivot"), F.col("p.n").alias("size"))
-    return met.where((F.col("tid") != F.col("pivot")) & sizes_allow("n", "size")).select(F.col("tid").alias("a"), F.col("pivot").alias("b"))
+def print_pairs(distinct: DataFrame) -> DataFrame:
+    """Rows (a, b): texts that a spanning forest of near fingerprints connects, by multi-index hashing."""
+    first = written(distinct.groupBy("fp").agg(F.min("tid").alias("least"), F.max("tid").alias("most")), "prints-distinct")
+    shared = first.where("least <> most").select("fp", "least")
+    equal = distinct.select("fp", "tid").join(shared, "fp").where("tid <> least").select(F.col("tid").alias("a"), F.col("least").alias("b"))
+    links = simhash.near_links(first.select("fp"))
+    ends = first.select("fp", "least")
+    near = links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return equal.union(near)
 
 
-def candidates(prints_of: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
-    """Rows (fp, root, fp2, root2): fingerprints (fp, root) within DISTANCE bits whose roots differ, each pair at least once."""
-    plan = simhash.layout(DISTANCE, SEGMENTS)
-    table = simhash.cut_blocks(simhash.bucket_rows(prints_of, plan, ("root",)), block, ("root",))
-    table = table.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "probe")
+def shared_lists(distinct: DataFrame) -> DataFrame:
+    """Rows (at, tid): the lists of two or more texts that agree in two least hashes."""
+    at = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("minima")[i], F.col("minima")[j]) for i, j in combinations(range(MINIMA), 2)])
+    entries = distinct.where("n > 0").select("tid", F.explode(at).alias("at"))
+    met = entries.groupBy("at").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("at")
+    return entries.join(met, "at").select("at", "tid")
 
-    @steady
-    def run(batches):
-        last, old_fp, old_root = None, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket, tile, fp, root, probe = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "tile", "fp", "root", "probe")
-            )
-            change = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])])
-            n = len(old_fp) if last == (bucket[0], tile[0]) else 0
-            group = np.concatenate([np.zeros(n, dtype=np.int64), np.cumsum(change) - 1])
-            fp, root = np.concatenate([old_fp[:n], fp.view(np.uint64)]), np.concatenate([old_root[:n], root])
-            is_table = np.concatenate([np.ones(n, dtype=bool), ~probe])
-            for left, right in simhash.pairs_within(group, fp, np.arange(len(fp)) >= n, is_table, DISTANCE):
-                apart = root[left] != root[right]
-                left, right = left[apart], right[apart]
-                if len(left):
-                    yield rows(fp=fp[left].view(np.int64), root=root[left], fp2=fp[right].view(np.int64), root2=root[right])
-            held = (group == group[-1]) & is_table
-            last, old_fp, old_root = (bucket[-1], tile[-1]), fp[held], root[held]
-
-    return table.mapInArrow(run, "fp long, root long, fp2 long, root2 long").distinct()
 
+def with_roots(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (tid, fp, n, root) of all texts."""
+    found = components(links, "a", "b")
+    rooted = distinct.join(found, F.col("tid") == F.col("node"), "left")
+    return written(rooted.select("tid", "fp", "n", F.coalesce("root", "tid").alias("root")), "rooted")
 
-def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, tid, component): component is a number shared by the texts that links connect. Repeated rows come out repeated."""
+
+def split_lists(lists: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Rows (at, tid, fp, n, root) of the lists that still hold texts of different components, one row per list and text."""
+    entries = lists.join(rooted, "tid")
+    mixed = entries.groupBy(F.col("at").alias("list")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
+    return written(entries.join(mixed, F.col("at") == F.col("list")).select("at", "tid", "fp", "n", "root"), "entries")
+
+
+def pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """Rows (a, b): each text of a list with the list's pivot of this round, if they are of different components."""
+    # the first pivot is the least text of the least component; later ones are drawn per round, the same for all lists
+    drawn = F.struct("root", "tid") if not turn else F.struct(F.xxhash64("tid", F.lit(turn)), F.col("tid"))
+    pivot = entries.groupBy(F.col("at").alias("list")).agg(F.min_by(F.struct("tid", "fp", "n", "root"), drawn).alias("p"))
+    met = entries.alias("e").join(pivot, F.col("at") == F.col("list"))
+    met = met.where((F.col("e.root") != F.col("p.root")) & comparable("e", "p"))
+    return met.select(F.col("e.tid").alias("a"), F.col("p.tid").alias("b"))
+
+
+def left_pairs(entries: DataFrame) -> DataFrame:
+    """Rows (a, b): the pairs of each list that are of different components."""
+    met = entries.alias("l").join(entries.alias("r"), (F.col("l.at") == F.col("r.at")) & (F.col("l.root") < F.col("r.root")))
+    return met.where(comparable("l", "r")).select(F.col("l.tid").alias("a"), F.col("r.tid").alias("b"))
+
+
+def few_left(entries: DataFrame) -> bool:
+    """Whether the pairs left are in number within FEW times the entries, so that comparing them all costs no more than
+    another round."""
+    parts = entries.groupBy("at", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    lists = parts.groupBy("at").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    got = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
+    return not got[1] or got[0] <= FEW * got[1]
+
+
+def roots(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: rows (key, tid) of all rows, and rows (tid, root, ...) of all different texts."""
     given = written(prints(df, key, text), "near-prints")
     distinct = written(given.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("fp", "n", "minima")]), "near-distinct")
-    # texts without words have one id, so each link is between texts with shingles
-    first = written(verified(df, text, pivots(distinct)), "pivot-links")
-    found = components(first, "a", "b")
-    rooted = distinct.drop("minima").join(found, F.col("tid") == F.col("node"), "left")
-    rooted = written(rooted.select("tid", "fp", "n", F.coalesce("root", "tid").alias("root")).where("n > 0"), "near-rooted")
-    close = candidates(rooted.select("fp", "root").distinct())
-    left, right = rooted.toDF("a", "fp", "n", "root"), rooted.toDF("b", "fp2", "n2", "root2")
-    more = close.join(left, ["fp", "root"]).join(right, ["fp2", "root2"]).where(sizes_allow("n", "n2"))
-    second = verified(df, text, more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    whole = components(first.union(second), "a", "b")
-    return (
-        given.join(whole, F.col("tid") == F.col("node"), "left")
-        .select(named(key), "tid", F.coalesce("root", "tid").alias("component"))
-    )
+    lists = written(shared_lists(distinct), "lists")
+    pairs = written(print_pairs(distinct), "print-pairs")
+    wanted = lists.select("tid").union(pairs.select("a")).union(pairs.select("b")).distinct().toDF("wanted")
+    held = text_ids(df, text).join(wanted, F.col("tid") == F.col("wanted"), "left_semi")
+    held = written(held.groupBy("tid").agg(F.first("text").alias("text")), "near-texts")
+    links = verified(held, pairs)
+    rooted = with_roots(distinct, links)
+    entries = split_lists(lists, rooted)
+    for turn in range(ROUNDS):
+        if turn and few_left(entries):
+            break
+        more = verified(held, pivot_pairs(entries, turn))
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        rooted = with_roots(distinct, links)
+        entries = split_lists(entries.select("at", "tid"), rooted)
+    last = verified(held, left_pairs(entries))
+    return given.select(named(key), "tid"), with_roots(distinct, links.union(last))
+
+
+def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, tid, component): component is a number shared by the texts that links connect."""
+    given, rooted = roots(df, key, text)
+    return given.join(rooted, "tid").select(named(key), "tid", F.col("root").alias("component"))
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables of rows (key, tid): all of df, and per component the one of smallest key, then smallest text id.
+
+    Rows without a key represent nothing. Keys are first reduced per text, so a text with many copies is no hot group.
+    """
+    given, rooted = roots(df, key, text)
+    least = given.where(named(key).isNotNull()).groupBy("tid").agg(F.min(named(key)).alias("least"))
+    best = F.min(F.struct("least", "tid")).alias("best")
+    chosen = least.join(rooted.select("tid", "root"), "tid").groupBy("root").agg(best)
+    return given, chosen.select(F.col("best.least").alias(key), F.col("best.tid").alias("tid"))

@@ -44,18 +44,58 @@ def test_near_copies_beyond_four_bits_go(spark, table):
     assert kept == sorted(set(root.values()))
 
 
-def test_candidates_are_all_pairs_within_the_radius(spark):
-    pick = random.Random(2)
-    prints = [pick.getrandbits(64) for _ in range(20)]
-    for at in list(prints):
-        for bits in (1, 7, 13, 14, 15):
-            near = at
-            for bit in pick.sample(range(64), bits):
-                near ^= 1 << bit
-            prints.append(near)
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    df = spark.createDataFrame([(p, i) for i, p in enumerate(signed)], "fp long, root long")
-    for block in (3, 4096):
-        got = {tuple(sorted((r["root"], r["root2"]))) for r in near_copies.candidates(df, block).collect()}
-        want = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 14}
-        assert got == want
+def ids(df):
+    return sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=lambda i: (i is None, i))
+
+
+def test_components_equal_the_plain_comparison(spark, table):
+    rows = edited(2, groups=15, size=9) + [(1000 + i, t) for i, t in enumerate(["", None, " ", "one", "one", "ONE", "two words", "a b c d e"])]
+    rows += [(2000 + i, "shared passage of words that many texts hold in common " * 2 + " ".join(f"y{i}x{k}" for k in range(40))) for i in range(30)]
+    plain = [(i, t or "") for i, t in rows]
+    root = plain_roots([i for i, _ in plain], plain_links(plain))
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_copy_components(table(rows)).collect()}
+    assert len(got) == len(rows)
+    for i, _ in rows:
+        for j, _ in rows:
+            assert (root[i] == root[j]) == (got[i] == got[j]), (i, j)
+
+
+def test_a_large_group_needs_few_comparisons(spark, table, monkeypatch):
+    pick = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        # every text is near the base, few are near each other: no pivot alone links them all
+        for at in pick.sample(range(0, 120, 10), 2):
+            words[at] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows.append((600, " ".join(base)))
+    asked = []
+    real = near_copies.verified
+
+    def counted(held, pairs):
+        asked.append(pairs.select("a", "b").distinct().count())
+        return real(held, pairs)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    assert ids(cp.drop_near_copies(spark, table(rows), "")) == [0]
+    assert sum(asked) < 12 * len(rows)
+
+
+def test_rows_that_share_an_id(spark, table):
+    pick = random.Random(6)
+    long = lambda s: " ".join(f"{s}{pick.randrange(10**6)}" for _ in range(80))
+    a, b, c = long("a"), long("b"), long("c")
+    rows = [(5, a), (5, b), (5, b), (7, a), (8, c), (8, c + " end"), (9, b), (None, a), (None, a)]
+    out = cp.drop_near_copies(spark, table(rows), "")
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    kept_c = [t for i, t in got if i == 8]
+    assert len(kept_c) == 1 and kept_c[0] in (c, c + " end")
+    assert sorted([g for g in got if g[0] != 8], key=repr) == sorted([(5, a), (5, b), (None, a), (None, a)], key=repr)
+
+
+def test_odd_rows(odd, nothing):
+    got = near_copies.near_copy_components(odd)
+    assert got.count() == 10 and got.where("component IS NULL").count() == 0
+    assert near_copies.near_copy_components(nothing).count() == 0

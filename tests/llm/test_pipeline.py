@@ -10,8 +10,9 @@ from tests.compare import check, connect
 
 from .conftest import ODD
 from .test_decontamination import plain_distance
+from .test_near_copies import plain_links
 from .test_pii import plain as plain_spans
-from .test_simhash import expected
+from .test_simhash import plain_roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,7 +35,8 @@ def test_stages_equal_plain_versions(spark, docs):
 
     now, rows = after, [(r["doc_id"], r["text"]) for r in after.collect()]
     after = cp.drop_near_copies(spark, now, SF)
-    assert ids(after) == sorted({root for _, root in expected(rows).values()})
+    root = plain_roots([i for i, _ in rows], plain_links(rows))
+    assert ids(after) == sorted(set(root.values()))
     assert after.columns == docs.columns
 
     now, rows = after, [(r["doc_id"], r["text"]) for r in after.collect()]
