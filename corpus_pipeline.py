@@ -25,17 +25,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingle similarity of 0.8 or more the one with the smallest doc_id.
 
-    Documents without a doc_id can't be told apart and stay. Rows that repeat a doc_id are one document: one row stays.
+    Rows are told apart by doc_id and words: of rows that share a doc_id those of other groups stay, equal ones stay once.
+    Rows without a doc_id stay.
     """
-    found = written(near_copies.near_copy_components(docs), "near-components")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    groups = written(found.join(least, "component").select("doc_id", "component_id"), "groups")
-    kept = by_id(docs, groups.where("doc_id <> component_id"), "left_anti")
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    given, kept = near_copies.representatives(docs)
+    kept, keyed = written(kept, "kept"), given.where("doc_id IS NOT NULL")
+    gone = written(keyed.distinct().join(kept, ["doc_id", "tid"], "left_anti"), "gone")
+    repeated = written(keyed.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
-        return kept
-    # the rare rows that repeat an id are sorted out apart; all others are not shuffled again
-    return by_id(kept, repeated, "left_anti").union(by_id(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+        return by_id(docs, gone, "left_anti")
+    # the rows that repeat an id are sorted out apart, by their words
+    once = by_id(docs, gone.select("doc_id").union(repeated), "left_anti")
+    return once.union(near_copies.only(by_id(docs, repeated, "left_semi"), kept))
 
 
 def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
