@@ -3,17 +3,20 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is LEAST or more; texts without words
 are copies of each other. Every link is verified on the exact sets. Candidates come in two ways:
 
-1. five-word SimHash fingerprints within `simhash.DISTANCE` bits, by multi-index hashing. This joins most near copies
+1. five-word SimHash fingerprints within four bits, by multi-index hashing. This joins most near copies
    at the cost of a spanning forest.
 2. At similarity 0.8 fingerprints differ in up to 14 bits and more, where no table of segments is selective. So the rest is
    searched by least hashes: two sets of similarity s agree in the least member under a random order with probability s.
    Texts that agree in two of MINIMA orders share a list; at s = 0.8 all but one pair in 12,000 do.
 
-Only connectivity is asked for. In each list every text is first compared with a pivot, a new one each round, and what
+A text can have a partner only if four fifths of its shingles occur in another text of the lists: the others, as texts that
+share no more than a common passage, go before any are compared.
+
+Only connectivity is asked for. In each list every text is first compared with PIVOTS of its texts, others each round, and what
 that links is one component and is not compared again: a group of near copies costs comparisons in the number of its
 texts, not its square. What is left over after the rounds (pairs of a list in different components) is compared pair by
-pair. Sizes that can't have the similarity and fingerprints more than FAR bits apart (one such pair in 100,000) are
-passed over. Equal texts are compared once, whatever their number.
+pair. Passed over are sizes that can't have the similarity, fingerprints more than FAR bits apart (one pair of similarity
+0.8 in 100,000) and sketches of 256 least hashes, a byte each, that differ in more than UNLIKE places (one in 70,000). Equal texts are compared once, whatever their number.
 
 Null texts count as empty; a null key takes part; repeated rows come out repeated; an empty table gives an empty one;
 further columns are left out. Long texts are held one at a time.
@@ -30,16 +33,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import simhash
 from .common import kind, named, rows, shape, slices, steady, texts, written
 from .components import components
+from .simhash import majority, near_links, shingle_hashes
 
 SHINGLE = 5
 LEAST = 0.8
 MINIMA = 8
 FAR = 22
-ROUNDS = 12
-FEW = 1
+PLACES = 256
+UNLIKE = 78
+PIVOTS = 6
+ROUNDS = 2
+FEW = 4
 ODD = np.random.default_rng(5).integers(1, 1 << 63, size=MINIMA, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -50,7 +56,7 @@ def text_id(text: str) -> int:
 
 
 def shingle_set(text: str) -> np.ndarray:
-    return np.unique(simhash.shingle_hashes(text, SHINGLE))
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
 def minima(found: np.ndarray) -> list[int]:
@@ -65,6 +71,22 @@ def minima(found: np.ndarray) -> list[int]:
     return np.array(out, dtype=np.uint64).view(np.int64).tolist()
 
 
+ORDERS = np.random.default_rng(6).integers(1, 1 << 63, size=PLACES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+SKETCHED = 1 << 12
+
+
+def sketch(found: np.ndarray) -> list[int]:
+    """One byte of the least member under each of PLACES orders, eight to a number; nothing for an empty set."""
+    if not len(found):
+        return []
+    least = np.full(PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(found), SKETCHED):
+        mixed = found[start : start + SKETCHED, None] * ORDERS
+        mixed ^= mixed >> np.uint64(29)
+        np.minimum(least, (mixed * ORDERS).min(axis=0), out=least)
+    return (least & np.uint64(255)).astype(np.uint8).view("<i8").tolist()
+
+
 def prints(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, tid long, fp long, n int, minima array<long>): n is the number of different shingles."""
 
@@ -72,12 +94,12 @@ def prints(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         for batch in slices(batches, text):
             found = texts(batch, text)
-            hashes = [simhash.shingle_hashes(t, SHINGLE) for t in found]
+            hashes = [shingle_hashes(t, SHINGLE) for t in found]
             sets = [np.unique(h) for h in hashes]
             yield rows(**{
                 key: batch.column(key),
                 "tid": pa.array([text_id(t) for t in found], type=pa.int64()),
-                "fp": simhash.majority(hashes).view(np.int64),
+                "fp": majority(hashes).view(np.int64),
                 "n": np.array([len(s) for s in sets], dtype=np.int32),
                 "minima": pa.array([minima(s) for s in sets], type=pa.list_(pa.int64())),
             })
@@ -119,11 +141,24 @@ def only(df: DataFrame, kept: DataFrame, key: str = "doc_id", text: str = "text"
     return met.dropDuplicates([key, own]).drop(own)
 
 
+def unlike(left: Column, right: Column) -> Column:
+    """In how many bytes two sketches differ."""
+    total = F.lit(0)
+    for i in range(PLACES // 8):
+        x = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        # the lowest bit of each byte has gathered the byte's bits
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def comparable(left: str, right: str) -> Column:
-    """Sizes (n) can have the similarity LEAST, and fingerprints (fp) are not too far apart for it."""
+    """Sizes (n) can have the similarity LEAST; fingerprints (fp) and sketches are not too far apart for it."""
     n, m = F.col(left + ".n"), F.col(right + ".n")
     bits = F.bit_count(F.col(left + ".fp").bitwiseXOR(F.col(right + ".fp")))
-    return (F.least(n, m) >= LEAST * F.greatest(n, m)) & (bits <= FAR)
+    apart = unlike(F.col(left + ".sketch"), F.col(right + ".sketch"))
+    return (F.least(n, m) >= LEAST * F.greatest(n, m)) & (bits <= FAR) & (apart <= UNLIKE)
 
 
 def verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,44 +190,122 @@ def verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def shared_shingles(held: DataFrame) -> DataFrame:
+    """Rows (tid, k): how many shingles of a text occur in other texts too; texts without any have no row.
+
+    Shingles that several texts of a slice hold are counted there and go on as one mark, so a shingle that all texts hold is
+    no hot key.
+    """
+
+    @steady
+    def run(batches):
+        for batch in slices(batches, "text"):
+            tids = batch.column("tid").to_numpy(zero_copy_only=False)
+            sets = [shingle_set(t) for t in texts(batch, "text")]
+            found = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+            owner = np.repeat(np.arange(len(tids)), [len(x) for x in sets])
+            _, first, code, times = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
+            alone = times[code] == 1
+            k = np.bincount(owner[~alone], minlength=len(tids))
+            marks = found[first[times > 1]].view(np.int64)
+            yield rows(
+                h=pa.array(np.concatenate([found[alone].view(np.int64), marks, np.zeros(len(tids), dtype=np.int64)])),
+                tid=pa.array(np.concatenate([tids[owner[alone]], np.zeros(len(marks), dtype=np.int64), tids])),
+                # 0: a shingle of one text, 1: a shingle known to be shared, 2: a text's count
+                part=pa.array(np.repeat(np.array([0, 1, 2], dtype=np.int8), [alone.sum(), len(marks), len(tids)])),
+                k=pa.array(np.concatenate([np.zeros(alone.sum() + len(marks), dtype=np.int64), k])),
+            )
+
+    @steady
+    def meet(batches):
+        carried = None
+        for batch in batches:
+            h, tid, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "tid", "part"))
+            if carried is not None:
+                h, tid, part = (np.concatenate(pair) for pair in zip(carried, (h, tid, part)))
+            if not len(h):
+                continue
+            # the last run may go on in the next batch
+            cut = int(np.searchsorted(h, h[-1]))
+            carried = h[cut:], tid[cut:], part[cut:]
+            yield counted(h[:cut], tid[:cut], part[:cut])
+        if carried is not None:
+            yield counted(*carried)
+
+    def counted(h, tid, part):
+        if len(h):
+            _, code, times = np.unique(h, return_inverse=True, return_counts=True)
+            known = np.zeros(len(times), dtype=bool)
+            known[code[part == 1]] = True
+            tid = tid[((times > 1) | known)[code] & (part == 0)]
+        found, k = np.unique(tid, return_counts=True)
+        return rows(tid=pa.array(found, type=pa.int64()), k=pa.array(k, type=pa.int64()))
+
+    made = written(held.mapInArrow(run, "h long, tid long, part byte, k long"), "shingles")
+    sorted_ = made.where("part < 2").select("h", "tid", "part").repartition("h").sortWithinPartitions("h")
+    counts = sorted_.mapInArrow(meet, "tid long, k long").union(made.where("part = 2").select("tid", "k"))
+    return counts.groupBy("tid").agg(F.sum("k").alias("k"))
+
+
 def print_pairs(distinct: DataFrame) -> DataFrame:
     """Rows (a, b): texts that a spanning forest of near fingerprints connects, by multi-index hashing."""
     first = written(distinct.groupBy("fp").agg(F.min("tid").alias("least"), F.max("tid").alias("most")), "prints-distinct")
     shared = first.where("least <> most").select("fp", "least")
     equal = distinct.select("fp", "tid").join(shared, "fp").where("tid <> least").select(F.col("tid").alias("a"), F.col("least").alias("b"))
-    links = simhash.near_links(first.select("fp"))
+    links = near_links(first.select("fp"))
     ends = first.select("fp", "least")
     near = links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return equal.union(near)
 
 
 def shared_lists(distinct: DataFrame) -> DataFrame:
-    """Rows (at, tid): the lists of two or more texts that agree in two least hashes."""
+    """Rows (at, tid, degree): the lists of two or more texts that agree in two least hashes; degree adds up the sizes of a
+    text's lists."""
     at = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("minima")[i], F.col("minima")[j]) for i, j in combinations(range(MINIMA), 2)])
     entries = distinct.where("n > 0").select("tid", F.explode(at).alias("at"))
     met = entries.groupBy("at").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("at")
-    return entries.join(met, "at").select("at", "tid")
+    found = written(entries.join(met, "at").select("at", "tid"), "met")
+    sizes = found.groupBy("at").agg(F.count(F.lit(1)).alias("size"))
+    degree = found.join(sizes, "at").groupBy("tid").agg(F.sum("size").alias("degree"))
+    return found.join(degree, "tid").select("at", "tid", "degree")
+
+
+def sketches(held: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Rows (tid, fp, n, sketch) of the texts held."""
+
+    @steady
+    def run(batches):
+        for batch in slices(batches, "text"):
+            found = [sketch(shingle_set(t)) for t in texts(batch, "text")]
+            yield rows(tid=batch.column("tid"), sketch=pa.array(found, type=pa.list_(pa.int64())))
+
+    made = held.mapInArrow(run, "tid long, sketch array<long>")
+    return written(made.join(distinct.select("tid", "fp", "n"), "tid").select("tid", "fp", "n", "sketch"), "sketches")
 
 
-def with_roots(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (tid, fp, n, root) of all texts."""
+def with_roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (tid, fp, n, sketch, root) of the nodes."""
     found = components(links, "a", "b")
-    rooted = distinct.join(found, F.col("tid") == F.col("node"), "left")
-    return written(rooted.select("tid", "fp", "n", F.coalesce("root", "tid").alias("root")), "rooted")
+    rooted = nodes.join(found, F.col("tid") == F.col("node"), "left")
+    return written(rooted.select("tid", "fp", "n", "sketch", F.coalesce("root", "tid").alias("root")), "rooted")
 
 
 def split_lists(lists: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Rows (at, tid, fp, n, root) of the lists that still hold texts of different components, one row per list and text."""
+    """Rows (at, tid, degree, fp, n, sketch, root) of the lists that still hold texts of different components, one row per list and text."""
     entries = lists.join(rooted, "tid")
     mixed = entries.groupBy(F.col("at").alias("list")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
-    return written(entries.join(mixed, F.col("at") == F.col("list")).select("at", "tid", "fp", "n", "root"), "entries")
+    return written(entries.join(mixed, F.col("at") == F.col("list")).select("at", "tid", "degree", "fp", "n", "sketch", "root"), "entries")
 
 
 def pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Rows (a, b): each text of a list with the list's pivot of this round, if they are of different components."""
-    # the first pivot is the least text of the least component; later ones are drawn per round, the same for all lists
-    drawn = F.struct("root", "tid") if not turn else F.struct(F.xxhash64("tid", F.lit(turn)), F.col("tid"))
-    pivot = entries.groupBy(F.col("at").alias("list")).agg(F.min_by(F.struct("tid", "fp", "n", "root"), drawn).alias("p"))
+    """Rows (a, b): each text of a list with the list's pivots of this round that are of other components."""
+    # the first is the text that meets most others, as the original of a group of edited copies does; the rest are drawn per
+    # round, the same ones for all lists that hold them
+    drawn = [F.struct(F.xxhash64("tid", F.lit(turn * PIVOTS + i)), F.col("tid")) for i in range(PIVOTS - 1)]
+    drawn.append(F.struct(-F.col("degree"), F.col("tid")))
+    chosen = [F.min_by(F.struct("tid", "fp", "n", "sketch", "root"), d).alias(f"p{i}") for i, d in enumerate(drawn)]
+    pivot = entries.groupBy(F.col("at").alias("list")).agg(*chosen)
+    pivot = pivot.select("list", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
     met = entries.alias("e").join(pivot, F.col("at") == F.col("list"))
     met = met.where((F.col("e.root") != F.col("p.root")) & comparable("e", "p"))
     return met.select(F.col("e.tid").alias("a"), F.col("p.tid").alias("b"))
@@ -214,7 +327,7 @@ def few_left(entries: DataFrame) -> bool:
 
 
 def roots(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: rows (key, tid) of all rows, and rows (tid, root, ...) of all different texts."""
+    """Two written tables: rows (key, tid) of all rows, and rows (tid, root) of all different texts."""
     given = written(prints(df, key, text), "near-prints")
     distinct = written(given.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("fp", "n", "minima")]), "near-distinct")
     lists = written(shared_lists(distinct), "lists")
@@ -222,8 +335,13 @@ def roots(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     wanted = lists.select("tid").union(pairs.select("a")).union(pairs.select("b")).distinct().toDF("wanted")
     held = text_ids(df, text).join(wanted, F.col("tid") == F.col("wanted"), "left_semi")
     held = written(held.groupBy("tid").agg(F.first("text").alias("text")), "near-texts")
+    kept = shared_shingles(held).join(distinct.select("tid", "n"), "tid").where(F.col("k") >= LEAST * F.col("n")).select("tid")
+    kept = written(kept, "sharing")
+    held, lists = written(held.join(kept, "tid"), "sharing-texts"), written(lists.join(kept, "tid"), "sharing-lists")
+    pairs = pairs.join(kept.toDF("a"), "a", "left_semi").join(kept.toDF("b"), "b", "left_semi")
+    nodes = sketches(held, distinct)
     links = verified(held, pairs)
-    rooted = with_roots(distinct, links)
+    rooted = with_roots(nodes, links)
     entries = split_lists(lists, rooted)
     for turn in range(ROUNDS):
         if turn and few_left(entries):
@@ -232,10 +350,11 @@ def roots(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
         if more.isEmpty():
             break
         links = links.union(more)
-        rooted = with_roots(distinct, links)
-        entries = split_lists(entries.select("at", "tid"), rooted)
-    last = verified(held, left_pairs(entries))
-    return given.select(named(key), "tid"), with_roots(distinct, links.union(last))
+        rooted = with_roots(nodes, links)
+        entries = split_lists(entries.select("at", "tid", "degree"), rooted)
+    found = components(links.union(verified(held, left_pairs(entries))), "a", "b")
+    whole = distinct.join(found, F.col("tid") == F.col("node"), "left").select("tid", F.coalesce("root", "tid").alias("root"))
+    return given.select(named(key), "tid"), written(whole, "near-roots")
 
 
 def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,6 +18,8 @@ gives an empty one; further columns, whatever their names, are left out.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -49,41 +51,58 @@ NOTICES = (
     "click here to", "page not found",
 )
 
-_stacked = re.compile(STACKED)
-_separator = re.compile(f"[{re.escape(SEPARATORS)}]+")
-_notice = re.compile("|".join(map(re.escape, NOTICES)))
+_stacked = re.compile(STACKED.encode())
+_bars = re.compile(f"[{re.escape(SEPARATORS)}]")
+_bar = re.compile("(?:" + "|".join(re.escape(c) for c in SEPARATORS) + ")+")
 _menu = frozenset(MENU)
-_lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-_spaces = str.maketrans({c: " " for c in WHITE})
+_notices = [n.encode() for n in NOTICES]
+_ends = tuple(ENDS)
 
 
-def split_words(text: str) -> list[str]:
-    """Runs of anything but ASCII white space."""
-    return [w for w in text.translate(_spaces).split(" ") if w]
+def split_words(text: str) -> list[bytes]:
+    """Runs of anything but ASCII white space, as bytes: there split knows no other white space."""
+    return text.encode("utf-8", "surrogatepass").split()
 
 
-def broken_rule(line: str, words: list[str]) -> str | None:
-    """The first rule a line with words breaks."""
-    if not line.rstrip(WHITE + CLOSERS).endswith(tuple(ENDS)):
-        return "punctuation"
-    runs = len(_stacked.findall(line))
-    if runs >= 3 and 10 * runs > 3 * len(words):
+def word_chars(text: str) -> int:
+    return len(text) - sum(map(text.count, WHITE))
+
+
+def signs_of(text: str) -> tuple[bool, bool, list[bytes]]:
+    """What of stacked marks, separators and notices the text holds anywhere; its lines need no search for the others."""
+    raw = text.encode("utf-8", "surrogatepass")
+    lower = raw.lower()
+    return bool(_stacked.search(raw)), bool(_bars.search(text)), [n for n in _notices if n in lower]
+
+
+def broken_rule(line: str, words: list[bytes], signs: tuple[bool, bool, list[bytes]]) -> str | None:
+    """The first rule a line with words breaks; signs are those of its text."""
+    stacked, barred, notices = signs
+    if not line.rstrip(WHITE + CLOSERS).endswith(_ends):
         return "punctuation"
-    bars = sum(_separator.fullmatch(w) is not None for w in words)
-    if bars >= 2 and len(words) <= 8 * bars:
-        return "navigation"
-    lower = line.translate(_lower)
-    if all(w.rstrip(ENDS) in _menu for w in split_words(lower)):
+    if stacked:
+        runs = len(_stacked.findall(line.encode("utf-8", "surrogatepass")))
+        if runs >= 3 and 10 * runs > 3 * len(words):
+            return "punctuation"
+    if barred:
+        bars = sum(_bar.fullmatch(w.decode("utf-8", "surrogatepass")) is not None for w in words)
+        if bars >= 2 and len(words) <= 8 * bars:
+            return "navigation"
+    if all(w.lower().decode("utf-8", "surrogatepass").rstrip(ENDS) in _menu for w in words):
         return "navigation"
-    return "boilerplate" if _notice.search(lower) else None
+    if notices:
+        lower = line.encode("utf-8", "surrogatepass").lower()
+        if any(n in lower for n in notices):
+            return "boilerplate"
+    return None
 
 
-def repeated_words(words: list[str]) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """How many words lie in a window of three words that the text holds twice or more."""
     if len(words) <= WINDOW:
         return 0
-    seen: dict[str, int] = {}
-    codes = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=len(words))
+    seen = defaultdict(count().__next__)
+    codes = np.array([*map(seen.__getitem__, words)], dtype=np.int64)
     windows = len(words) - WINDOW + 1
     key = codes[:windows]
     for i in range(1, WINDOW):
@@ -96,46 +115,42 @@ def repeated_words(words: list[str]) -> int:
     return int(held.sum())
 
 
+LONGS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_punctuation", "n_navigation",
+    "n_boilerplate", "lost_chars",
+)
+
+
 def judge(text: str, most_lost: int = MOST_LOST) -> dict:
     """Counts, cleaned text and verdict of one text."""
-    words = split_words(text)
-    out = {
-        "n_words": len(words),
-        "word_chars": sum(map(len, words)),
-        "n_symbols": sum(map(text.count, SYMBOLS)),
-        "n_dup_lines": 0,
-        "n_repeat_words": repeated_words(words),
-        "n_lines": 0,
-        "n_punctuation": 0,
-        "n_navigation": 0,
-        "n_boilerplate": 0,
-        "lost_chars": 0,
-    }
-    seen, kept = set(), []
+    counts, signs = dict.fromkeys(LONGS, 0), signs_of(text)
+    words, seen, kept = [], set(), []
     for line in text.split("\n"):
         held = split_words(line)
         if held:
-            out["n_lines"] += 1
-            out["n_dup_lines"] += line in seen
+            words += held
+            counts["n_lines"] += 1
+            counts["n_dup_lines"] += line in seen
             seen.add(line)
-            rule = broken_rule(line, held)
+            rule = broken_rule(line, held, signs)
             if rule:
-                out["n_" + rule] += 1
-                out["lost_chars"] += sum(map(len, held))
+                counts["n_" + rule] += 1
+                counts["lost_chars"] += word_chars(line)
                 continue
         kept.append(line)
+    # no word holds a line end, so the lines' words are the text's
+    out = counts | {
+        "n_words": len(words),
+        "word_chars": word_chars(text),
+        "n_symbols": sum(map(text.count, SYMBOLS)),
+        "n_repeat_words": repeated_words(words),
+    }
     out["base_failed"] = out["n_words"] < LEAST_WORDS or 100 * out["n_repeat_words"] > MOST_REPEATED * out["n_words"]
     out["kept"] = not out["base_failed"] and 100 * out["lost_chars"] <= most_lost * out["word_chars"]
     out["cleaned"] = "\n".join(kept)
     return out
 
 
-LONGS = (
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_punctuation", "n_navigation",
-    "n_boilerplate", "lost_chars",
-)
-
-
 def clean_texts(df: DataFrame, key: str = "doc_id", text: str = "text", most_lost: int = MOST_LOST, cleaned: bool = True) -> DataFrame:
     """Rows (key, counts long, base_failed, kept, cleaned): cleaned is the text without the removed lines, for kept and
     rejected texts alike; leave it out with cleaned=False."""

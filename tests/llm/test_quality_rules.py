@@ -42,7 +42,7 @@ def test_lines_and_their_rules():
         "The cookies are on the table.": None,
     }
     for line, rule in cases.items():
-        assert qr.broken_rule(line, qr.split_words(line)) == rule, line
+        assert qr.broken_rule(line, qr.split_words(line), qr.signs_of(line)) == rule, line
 
 
 def test_texts_that_lose_too_much_go():
