@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import context, documents, evidence, memory, ranking, sessions
 from ..operators import vector_search as vs
+from ..operators.vector_index import open_index
 from ..plans import retrieve as plan
 from ..plans import search as search_plan
-from ..session import cut_lineage, fetch
+from ..session import cut_lineage, fetch, new_workspace
 from . import fixtures as fx
 from .fixtures import chain_sql, collapse_sql, lit, trim_sql
 from .registry import query
@@ -101,6 +102,19 @@ def similarity_join_blocks(spark, sf_dir):
     return vs.match_vectors(queries, corpus, top=20, floor=0.10, broadcast_limit=0, **OWN)
 
 
+@query(
+    "match_documents_index",
+    f"""{BASE}, {hits_cte("hits", "5", scoped=True, floor="0.10")}
+ SELECT query_id, doc_id, round(similarity, 6) AS similarity, pos FROM hits""",
+)
+def match_documents_index(spark, sf_dir):
+    """The same hits from a stored index, opened again."""
+    queries, corpus = inputs(spark, sf_dir)
+    path = new_workspace(spark, "index")
+    vs.store_index(corpus, path, key="doc_id", block=256)
+    return vs.match_index(queries, open_index(spark, path), top=5, floor=0.10, **OWN)
+
+
 @query(
     "local_search",
     f"""{BASE}, {hits_cte("hits", "5", scoped=False, floor=None)}

@@ -66,7 +66,7 @@ def _matrix(column, width):
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     good = lengths == width
     values = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(-1, width), good
+    return values.reshape(int(good.sum()), width), good
 
 
 def _unit(rows):
@@ -148,6 +148,8 @@ class QueryBlock:
         for start in range(0, len(positions), 256):
             block = positions[start : start + 256]
             table = np.round(units @ self.units[block].T, SCORE_DIGITS) + 0.0
+            # a vector that is no vector of numbers is no hit and hides none beside it
+            table[np.isnan(table)] = -np.inf
             for column in np.flatnonzero(self.has_own[block]):
                 own = self.own_keys[block[column]]
                 low, high = (np.searchsorted(keys, own, side, sorter=sorted_rows) for side in ("left", "right"))

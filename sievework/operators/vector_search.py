@@ -5,10 +5,11 @@ block and keeps the k best per query, so only k rows per query and task are shuf
 
 * up to ``MAX_BROADCAST_QUERIES`` queries of ``MAX_BROADCAST_BYTES`` in all (checked by a limited read) they are broadcast
   and the vectors stay in place; scopes that no query names are not read;
-* beyond, both sides of each namespace are cut into blocks of bounded size by hash, and every query block meets every
-  vector block of its namespace once. A namespace holding most vectors just has more blocks.
+* beyond, or when a stored index is given, queries go only to the blocks of clustered vectors that can hold a better hit
+  (see ``vector_index``). Where every score is needed, for sums, both sides of each namespace are cut into blocks of bounded
+  size by hash, and every query block meets every vector block of its namespace once.
 
-Both give the same rows. Scores are rounded to 9 digits before ranking, so ties do not depend on how data are split.
+All give the same rows. Scores are rounded to 9 digits before ranking, so ties do not depend on how data are split.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..session import cut_lineage
+from ..sources import tables
+from . import vector_index
 
 MAX_BROADCAST_QUERIES = 16384
 MAX_BROADCAST_BYTES = 64 << 20
@@ -50,8 +53,8 @@ def _shape_queries(df: DataFrame, vector: str, scope: str | None, top: Column, f
     return shaped.where(F.col("scope").isNotNull()) if scope else shaped
 
 
-def _found_schema(queries: DataFrame, corpus: DataFrame) -> str:
-    id_type, key_type = queries.schema["query_id"].dataType.simpleString(), corpus.schema["key"].dataType.simpleString()
+def _found_schema(queries: DataFrame) -> str:
+    id_type, key_type = (queries.schema[c].dataType.simpleString() for c in ("query_id", "own_key"))
     return f"query_id {id_type}, key {key_type}, similarity double, top int, part int, scored long, exp_sum double"
 
 
@@ -127,12 +130,35 @@ def _block_scan(
     )
 
 
-def _scan(queries: DataFrame, corpus: DataFrame, scoped: bool, sums: bool, limit: int | None = None) -> DataFrame:
+def _pruned_scan(queries: DataFrame, index: vector_index.Index, scoped: bool, largest: int) -> DataFrame | None:
+    """Hits of two passes over an index, None if it has too many blocks to be held by a task."""
+    stats = index.blocks.limit(vector_index.STATS_ROWS + 1).toArrow()
+    if stats.num_rows > vector_index.STATS_ROWS:
+        return None
+    schema = _found_schema(queries)
+    parts = max(1, -(-queries.count() // vector_index.QUERY_PART))
+
+    def hits(asked: DataFrame) -> DataFrame:
+        return vector_index.meet(index, vector_index.planned(asked, stats, index.centres, scoped, parts), schema)
+
+    first = cut_lineage(hits(queries))
+    best = keep_top(first.drop("scored", "exp_sum"), largest, F.col("top")).groupBy("query_id")
+    bars = best.agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("worst"), F.max("top").alias("most"))
+    bars = bars.select("query_id", F.when(F.col("n") >= F.col("most"), F.col("worst")).alias("bar"))
+    return first.unionByName(hits(queries.join(bars, "query_id", "left")))
+
+
+def _scan(
+    queries: DataFrame, corpus: DataFrame, scoped: bool, sums: bool, limit: int | None = None, largest: int | None = None
+) -> DataFrame:
     limit = MAX_BROADCAST_QUERIES if limit is None else limit
-    schema = _found_schema(queries, corpus)
+    schema = _found_schema(queries)
     table = queries.limit(limit + 1).toArrow()
     if table.num_rows <= limit and table.nbytes <= MAX_BROADCAST_BYTES:
         return _broadcast_scan(table, corpus, schema, scoped, sums)
+    found = None if sums else _pruned_scan(queries, vector_index.build_index(corpus), scoped, largest)
+    if found is not None:
+        return found
     return _block_scan(queries, corpus, schema, scoped, sums, QUERY_BLOCK, VECTOR_BLOCK)
 
 
@@ -175,10 +201,34 @@ def match_vectors(
         raise ValueError("a column limit needs its largest value")
     vectors_ = _shape_vectors(corpus, key, vector, scope)
     shaped = _shape_queries(queries, query_vector, scope, top, floor, own_key, vectors_.schema["key"].dataType.simpleString())
-    hits = _scan(shaped, vectors_, scope is not None, False, broadcast_limit)
+    hits = _scan(shaped, vectors_, scope is not None, False, broadcast_limit, largest)
     return _ranked(hits, largest, key)
 
 
+def store_index(corpus: DataFrame, path: str, *, key: str, vector: str = "embedding", scope: str | None = "namespace", **options):
+    """Write an index of the vectors that `match_index` searches; open it again with `vector_index.open_index`."""
+    return vector_index.build_index(_shape_vectors(corpus, key, vector, scope), path, **options)
+
+
+def match_index(
+    queries: DataFrame,
+    index: vector_index.Index,
+    *,
+    key: str,
+    query_vector: str = "query_vector",
+    scope: str | None = "namespace",
+    top: int = 5,
+    floor: float | Column | None = None,
+    own_key: str | None = None,
+) -> DataFrame:
+    """`match_vectors` over a stored index: the same rows, blocks that can't hold one of them are not read."""
+    shaped = _shape_queries(queries, query_vector, scope, F.lit(top), floor, own_key, index.table.schema["key"].dataType.simpleString())
+    hits = _pruned_scan(shaped, index, scope is not None, top)
+    if hits is None:
+        hits = _block_scan(shaped, index.table, _found_schema(shaped), scope is not None, False, QUERY_BLOCK, VECTOR_BLOCK)
+    return _ranked(hits, top, key)
+
+
 def _ranked(hits: DataFrame, largest: int, key: str) -> DataFrame:
     kept = keep_top(hits.drop("scored", "exp_sum"), largest, F.col("top"))
     return kept.select(
@@ -214,15 +264,44 @@ def local_search_confidence(
     )
 
 
+BAND = 16.0
+
+
 def softmax(df: DataFrame, score: str, by: str, out: str = "confidence") -> DataFrame:
-    """exp(s - max) / sum over each group; two aggregations instead of a window, so a large group is summed in parts."""
-    top = df.groupBy(by).agg(F.max(score).alias("_max"))
-    shifted = df.join(top, by).withColumn("_exp", F.exp(F.col(score) - F.col("_max")))
-    total = shifted.groupBy(by).agg(F.sum("_exp").alias("_sum"))
-    return shifted.join(total, by).withColumn(out, F.col("_exp") / F.col("_sum")).drop("_max", "_exp", "_sum")
+    """exp(s - max) / sum over each group, by one aggregation that is joined back once.
+
+    Scores are summed as exp(s - BAND * band) per band of BAND, which can't overflow and merges in any order; a group's few
+    bands are then brought to its highest. A group of any size is summed in parts, before the shuffle.
+    """
+    band = F.floor(F.col(score) / BAND)
+    parts = df.groupBy(by, band.alias("_band")).agg(
+        F.sum(F.exp(F.col(score) - band * BAND)).alias("_sum"), F.max(score).alias("_max")
+    )
+    listed = parts.groupBy(by).agg(F.max("_max").alias("_max"), F.collect_list(F.struct("_band", "_sum")).alias("_bands"))
+    total = F.aggregate(
+        "_bands", F.lit(0.0), lambda held, x: held + x["_sum"] * F.exp(x["_band"] * BAND - F.col("_max"))
+    )
+    sums = listed.select(by, "_max", total.alias("_total"))
+    return df.join(sums, by).withColumn(out, F.exp(F.col(score) - F.col("_max")) / F.col("_total")).drop("_max", "_total")
 
 
 def embed_distinct(df: DataFrame, text: str, embed, out: str = "embedding") -> DataFrame:
     """Embed each distinct text once and give the vector back to all its rows."""
     vectors_of = df.select(text).distinct().withColumn(out, embed(F.col(text)))
     return df.join(vectors_of, text, "left")
+
+
+def embed_stored(df: DataFrame, text: str, embed, path: str, out: str = "embedding") -> DataFrame:
+    """Embed each text once for all runs: vectors are kept in a table at `path` by the digest of their text.
+
+    Only texts the table doesn't hold go through the model and are appended; then the wanted rows are read from it. The
+    caller normalises texts that should share a vector. Blank texts have what the model hook gives them.
+    """
+    spark, digest = df.sparkSession, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    wanted = df.select(digest.alias("_digest"), F.col(text)).dropDuplicates(["_digest"])
+    unknown = wanted
+    if tables.exists(spark, path):
+        unknown = wanted.join(spark.read.parquet(path).select("_digest"), "_digest", "left_anti")
+    unknown.select("_digest", embed(F.col(text)).alias(out)).write.mode("append").parquet(path)
+    held = spark.read.parquet(path).join(wanted.select("_digest"), "_digest", "left_semi").dropDuplicates(["_digest"])
+    return df.withColumn("_digest", digest).join(held, "_digest", "left").drop("_digest")
