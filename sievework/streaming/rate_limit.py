@@ -3,8 +3,9 @@
 Refused requests do not count, so a decision depends on the decisions before it and a window aggregate is wrong. A user
 with a large part of all requests must not end up in one task, so the time line is cut into slices at least one window
 long. Only the accepted requests of the slice before can reach into a slice. All slices are decided side by side from
-what is known of their predecessors' tails; slices whose predecessor's tail changed are decided again until none did, in
-as many rounds as slices without a pause follow one another.
+what is known of their predecessors' tails; slices whose predecessor's tail changed are decided again. That settles all but
+users busy without a pause over many slices, whose decisions hang on one another one by one. After ROUNDS rounds their
+requests from the first unsettled slice on are read once in order of time, a batch and at most `limit` times held.
 Then every slice started from the right state, which by induction from each user's first slice is the exact result.
 """
 
@@ -17,6 +18,7 @@ from ..session import cut_lineage
 from .stateful import LIMIT_SCHEMA, decide
 
 FOLDED = LIMIT_SCHEMA + ", slice long"
+ROUNDS = 3
 
 
 def _fold(limit: int, window: int):
@@ -76,8 +78,8 @@ def rate_limit(
     """Decision per request of (user_id, event_id, ts), ordered by ts, then event_id.
 
     A pause of a window or more forgets what was before, so a slice with a pause hands on the right tail whatever it
-    started from. Rounds go on only through slices without a pause, as many as such slices follow one another, and each
-    touches only the slices whose start has changed. No task ever holds more than a slice.
+    started from. A round touches only the slices whose start has changed; what is unsettled after ROUNDS of them, whatever
+    its length, takes one pass.
     """
     window = window_seconds * 1_000_000
     width = window * slice_windows
@@ -95,7 +97,9 @@ def rate_limit(
     # slices whose predecessor hands something on have started from the wrong state
     stale = cut_lineage(handed.where(F.size("seed") > 0).join(slices, ["user_id", "slice"], "left_semi"))
     used, again = stale, None
-    while not stale.isEmpty():
+    for _ in range(ROUNDS):
+        if stale.isEmpty():
+            break
         redone = cut_lineage(
             _decide(rows.join(stale.select("user_id", "slice"), ["user_id", "slice"], "left_semi"), stale, limit, window)
         )
@@ -110,6 +114,17 @@ def rate_limit(
             .join(slices, ["user_id", "slice"], "left_semi")
         )
         stale = cut_lineage(changed)
-        if not stale.isEmpty():
-            used = cut_lineage(_instead(used, stale))
-    return (first if again is None else _instead(first, again)).drop("slice")
+        used = _instead(used, stale)
+    decided = first if again is None else _instead(first, again)
+    return (decided if stale.isEmpty() else _in_order(rows, decided, stale, limit, window)).drop("slice")
+
+
+def _in_order(rows: DataFrame, decided: DataFrame, stale: DataFrame, limit: int, window: int) -> DataFrame:
+    """The decisions with those of each stale user from the first stale slice on taken anew, one after the other."""
+    start = stale.groupBy(F.col("user_id").alias("u")).agg(F.min("slice").alias("start"))
+    unsettled = (F.col("user_id") == F.col("u")) & (F.col("slice") >= F.col("start"))
+    # all later slices are one: the fold goes through them with the state of the one before
+    rest = rows.join(start, unsettled).select("user_id", "event_id", "ts_us", F.col("start").alias("slice"))
+    seeds = stale.join(start, (F.col("user_id") == F.col("u")) & (F.col("slice") == F.col("start")), "left_semi")
+    settled = decided.join(start, unsettled, "left_anti")
+    return settled.unionByName(_decide(rest, seeds, limit, window))

@@ -159,6 +159,24 @@ def test_rate_limit_across_slices_equals_brute_force(spark, slice_windows):
     assert got == want
 
 
+def test_a_user_without_pause_takes_few_rounds(spark, monkeypatch):
+    pick, t, times = random.Random(4), 0.0, []
+    while t < 4000 * 60:
+        t += pick.choice([3.0, 7.0, 11.5, 17.25])
+        times.append(t)
+    rounds, real = [], rate_limit._decide
+
+    def counted(*args):
+        rounds.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(rate_limit, "_decide", counted)
+    rows = [(1, i, t) for i, t in enumerate(times)] + [(2, 10**6 + i, 70.0 * i) for i in range(50)]
+    want = dict(enumerate(decisions(times, 3, 60))) | {10**6 + i: True for i in range(50)}
+    assert limited(spark, rows, limit=3, window_seconds=60, slice_windows=1) == want
+    assert len(rounds) <= 2 + rate_limit.ROUNDS
+
+
 def test_decide_reports_remaining_and_wait():
     held, allowed, remaining, wait = stateful.decide([0], 30_000_000, 2, 60_000_000)
     assert (held, allowed, remaining, wait) == ([0, 30_000_000], True, 0, 30)
