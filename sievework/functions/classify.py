@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rx
+from .masking import LEAK_EMAIL
 from .text import LITERAL_PHRASES
 
 # fixed values: (class, words that may occur anywhere, words that may start the text), first hit wins
@@ -207,9 +208,7 @@ def simple_case(c: Column, identity_answer: str) -> Column:
     low = rx.trim(F.lower(message))
     return (
         F.when(low.isin("who are you", "who are you?"), F.lit(identity_answer))
-        .when(
-            rx.found(message, r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "i"), F.lit("Email detected. No context.")
-        )
+        .when(LEAK_EMAIL.occurs(message), F.lit("Email detected. No context."))
         .when(F.length(low) <= 10, F.lit("No subject."))
     )
 

@@ -34,6 +34,9 @@ class Rule:
             return masked(c)
         return rx.let(c, lambda t: F.when(self._possible(t), masked(t)).otherwise(t))
 
+    def occurs(self, c: Column) -> Column:
+        return self._possible(c) & rx.found(c, self.linear[0] if self.linear else self.pattern, self.flags)
+
     def hits(self, c: Column) -> Column:
         pattern = self.linear[0] if self.linear else self.pattern
         matches = F.regexp_count(c, F.lit(rx.ecma(pattern, self.flags)))
@@ -42,14 +45,59 @@ class Rule:
         return F.when(self._possible(c), matches).otherwise(F.lit(0))
 
 
+@dataclass(frozen=True)
+class StreetRule(Rule):
+    """A rule whose match lies in one run of `inside` characters and ends in a street word.
+
+    The text is cut into such runs and the rest. In each run only what stands before the end of its last street word is
+    searched: there a house number finds a street word at once, so no number makes the engine walk the rest of the run in
+    vain. A neighbouring underscore is lent to the run, as it decides whether a word ends.
+    """
+
+    inside: str = ""
+    street: str = ""
+
+    def _each(self, c: Column, use) -> Column:
+        """use(part, reach) for every part: reach is its beginning up to the last street word, empty if there is none."""
+        parts = F.regexp_extract_all(c, F.lit(rx.ecma(f"[{self.inside}]++|[^{self.inside}]++")), F.lit(0))
+        last = rx.ecma(rf".*\s(?:{self.street})(?!\w)", "is")
+
+        def of_part(listed: Column, part: Column, i: Column) -> Column:
+            fore = F.when(F.right(F.get(listed, i - 1), F.lit(1)) == "_", "_").otherwise("")
+            aft = F.when(F.left(F.get(listed, i + 1), F.lit(1)) == "_", "_").otherwise("")
+            whole = F.concat(F.when(i > 0, fore).otherwise(F.lit("")), part, aft)
+            return rx.let(whole, lambda w: use(part, w, F.regexp_extract(w, last, 0)))
+
+        return rx.let(parts, lambda listed: F.transform(listed, lambda part, i: of_part(listed, part, i)))
+
+    def apply(self, c: Column) -> Column:
+        def one(part: Column, whole: Column, reach: Column) -> Column:
+            masked = F.concat(rx.sub(reach, self.pattern, self.replacement, self.flags), F.substring(whole, F.length(reach) + 1, F.length(whole)))
+            # the underscores lent stand in no match
+            start = F.when(F.left(whole, F.lit(1)) == "_", 1).otherwise(0)
+            end = F.when(F.right(whole, F.lit(1)) == "_", 1).otherwise(0)
+            kept = rx.let(masked, lambda m: F.substring(m, start + 1, F.length(m) - start - end))
+            return F.when(reach == "", part).otherwise(kept)
+
+        return rx.let(c, lambda t: F.when(self._possible(t), F.array_join(self._each(t, one), "")).otherwise(t))
+
+    def hits(self, c: Column) -> Column:
+        def one(part: Column, whole: Column, reach: Column) -> Column:
+            return F.regexp_count(reach, F.lit(rx.ecma(self.pattern, self.flags)))
+
+        counted = F.aggregate(self._each(c, one), F.lit(0), lambda total, n: total + n)
+        return F.when(self._possible(c), counted).otherwise(F.lit(0))
+
+
 def _once(local: str, rest: str, mark: str) -> tuple[str, str]:
     """An address begins where no member of its class stands before, or where the last match ended."""
     return rf"(?:(?<!{local})|\G){local}++{rest}", mark
 
 
 def _once_at_word(local: str, rest: str, mark: str) -> tuple[str, str]:
-    """The same, beginning at a word's edge: signs of the class before the first word character stay as they are."""
-    return rf"((?:(?<!{local})|\G)[.%+-]*+)\b{local}++{rest}", "$1" + mark
+    """The same, beginning at a word's edge: signs of the class before the first word character stay as they are. Where a
+    match ended there is such an edge already."""
+    return rf"((?<!{local})[.%+-]*+\b|\G\b){local}++{rest}", "$1" + mark
 
 
 # fixed values: patterns and marks, three rule sets that differ on purpose
@@ -57,12 +105,14 @@ CLINICAL = (
     Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]", needs="@",
          linear=_once("[A-Za-z0-9._%+-]", r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]")),
     Rule("phone", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE REDACTED]", needs=r"\d{4}"),
-    Rule(
+    StreetRule(
         "address",
         r"\b\d{1,5}\s+[A-Za-z0-9\s]+\s+(Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln)\b",
         "[ADDRESS REDACTED]",
         "i",
         needs=r"\s(Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln)\b",
+        inside=r"A-Za-z0-9\s",
+        street="Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln",
     ),
     Rule("clinician_abbreviated", r"\bDr\.\s+[A-Za-z]+\b", "Clinician"),
     Rule("clinician", r"\bDoctor\s+[A-Za-z]+\b", "Clinician", "i"),
@@ -87,7 +137,11 @@ LEAK_EMAIL = Rule(
     "email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]", "i", needs="@",
     linear=_once_at_word("[A-Z0-9._%+-]", r"@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]"),
 )
-LEAK_PHONE = Rule("phone", r"\+?1?\s*\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]", needs=r"\d{4}")
+LEAK_PHONE = Rule(
+    "phone", r"\+?1?\s*\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]", needs=r"\d{4}",
+    # what fails at the start of a run of white space fails inside it too
+    linear=(r"(?!(?<=\s)\s)\+?1?\s*+\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]"),
+)
 LEAK_PHONE_TEN = Rule("phone_ten", r"\b\d{10}\b", "[REDACTED_PHONE]", needs=r"\d{4}")
 LEAK_ADDRESS = Rule(
     "address_short", rf"\b\d{{1,5}}\s+[A-Za-z]+\s+({STREET})\b", "[REDACTED_ADDRESS]", "i", needs=rf"\s({STREET})\b"
@@ -105,12 +159,14 @@ LEAK_FIRST_PASS = (
         "i",
         needs=rf"\s({STREET})\b",
     ),
-    Rule(
+    StreetRule(
         "address_long",
         rf"\b\d{{1,5}}\s+[A-Za-z0-9.\s]+?\s(?:{STREET})\b",
         "[REDACTED_ADDRESS]",
         "i",
         needs=rf"\s({STREET})\b",
+        inside=r"A-Za-z0-9.\s",
+        street=STREET,
     ),
     # nothing after the first redacted address is kept
     Rule("after_address", r"\[REDACTED_ADDRESS\].*", "[REDACTED_ADDRESS]", "is"),

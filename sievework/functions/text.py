@@ -46,14 +46,29 @@ def normalize_terms(c: Column) -> Column:
     return rx.collapse(rx.sub(F.lower(rx.text_or_empty(c)), r"[^\w\s]", ""))
 
 
+# the matches of (^|\n)\s*data:\s* in any case: a run of white space is entered at its start only, and what stands before its
+# first line end stays
+DATA_PREFIX = (
+    rf"(?i)\A[{rx.WHITE}]*+data:[{rx.WHITE}]*+|(?<![{rx.WHITE}])([{rx.WHITE}&&[^\n]]*+)\n[{rx.WHITE}]*+data:[{rx.WHITE}]*+"
+)
+
+
+def strip_data_prefix(c: Column) -> Column:
+    """Text without `data:` at the start or after a line end, with the white space around."""
+    return F.regexp_replace(c, DATA_PREFIX, "$1")
+
+
 def strip_artifacts(c: Column) -> Column:
     """Invisible characters, transport prefixes and end marks, surplus lines, broken markdown, leaked literals."""
+    visible = rx.chain(
+        rx.text_or_empty(c),
+        # fixed values: the patterns of this chain and the next
+        (r"[\u00A0\u2007\u202F]", " "),
+        (r"[\u200B-\u200D\uFEFF]", ""),
+    )
     return rx.trim_start(
         rx.chain(
-            rx.text_or_empty(c),
-            (r"[\u00A0\u2007\u202F]", " "),
-            (r"[\u200B-\u200D\uFEFF]", ""),
-            (r"(^|\n)\s*data:\s*", "", "i"),
+            strip_data_prefix(visible),
             (r"\[DONE\]", "", "i"),
             (r"\n{3,}", "\n\n"),
             (r"\* \* \*", "***"),
@@ -64,6 +79,7 @@ def strip_artifacts(c: Column) -> Column:
 
 
 def normalize_typography(c: Column) -> Column:
+    # fixed values: the patterns of these chains
     text = rx.trim(rx.chain(rx.text_or_empty(c), (r"\r\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")))
     text = rx.chain(
         text,
@@ -97,6 +113,7 @@ def repair_tokens(c: Column) -> Column:
     return rx.trim(
         rx.chain(
             c,
+            # fixed values: the patterns of this chain
             (r"\u00A0", " "),
             (r"[\u2000-\u200F]", ""),
             ("([.!?,;:\\-’'])([A-Za-z])", "$1 $2"),
