@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "retrieval_queries", "store_queries", "stream_queries")
+MODULES = ("text_queries", "retrieval_queries", "store_queries", "stream_queries", "request_queries")
 
 
 def load():

@@ -141,7 +141,11 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select(
+    return files_of(documents(spark, sf_dir))
+
+
+def files_of(docs: DataFrame) -> DataFrame:
+    return docs.select(
         "doc_id",
         F.col("lang").alias("namespace"),
         pick(FILE_NAMES, F.col("doc_id")).alias("file_name"),

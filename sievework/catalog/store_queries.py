@@ -78,6 +78,7 @@ def vector_entries(spark, sf_dir):
     return b.join(e, b.item_id == e.vec_id).select("item_id", entry.alias("entry"))
 
 
+ENTRIES_PER_FILE = 1000
 JSON_SQL = """SELECT CAST(item_id AS VARCHAR) AS "docId", 'item' || CAST(item_id AS VARCHAR) || '.txt' AS filename, text,
  CAST(len(embedding) AS BIGINT) AS width, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS mass
  FROM benchmark JOIN embeddings ON item_id = vec_id"""
@@ -92,8 +93,10 @@ def json_summary(df):
 def json_memory_source(spark, sf_dir):
     path = new_workspace(spark, "arrays")
     rows = vector_entries(spark, sf_dir)
-    # a few files that each hold an array of many entries
-    groups = rows.groupBy((F.col("item_id") % 16).alias("g")).agg(F.to_json(F.collect_list("entry")).alias("value"))
+    # files that each hold an array of many entries, at most about ENTRIES_PER_FILE
+    count = max(16, -(-rows.count() // ENTRIES_PER_FILE))
+    group = F.pmod(F.xxhash64("item_id"), F.lit(count)).alias("g")
+    groups = rows.groupBy(group).agg(F.to_json(F.collect_list("entry")).alias("value"))
     one_file_each(groups.select("value"), path)
     return json_summary(files.json_memory_source(spark, path))
 
@@ -383,7 +386,9 @@ def memory_entries(spark, sf_dir):
     number = F.col("vec_id")
     return d.join(e, d.doc_id == e.vec_id, "left").select(
         F.when(number % 13 != 0, number).alias("id"),
-        F.when(number % 7 == 3, F.lit("plain")).otherwise(F.to_json(F.struct("source", "lang"))).alias("raw"),
+        # plain text, a broken object, an array and a number are no objects
+        F.when(number % 7 == 3, "plain").when(number % 7 == 4, "{not json").when(number % 7 == 5, '[{"a": 1}]')
+        .when(number % 7 == 6, " 12 ").otherwise(F.to_json(F.struct("source", "lang"))).alias("raw"),
         F.when(number % 11 == 5, F.lit(None)).when(number % 11 == 6, F.array()).otherwise(F.col("embedding")).alias(
             "embedding"
         ),
@@ -391,7 +396,7 @@ def memory_entries(spark, sf_dir):
     )
 
 
-ENTRIES = """entries AS (SELECT CASE WHEN vec_id % 13 <> 0 THEN vec_id END AS id, vec_id % 7 = 3 AS plain, text,
+ENTRIES = """entries AS (SELECT CASE WHEN vec_id % 13 <> 0 THEN vec_id END AS id, vec_id % 7 IN (3, 4, 5, 6) AS plain, text,
   CASE WHEN vec_id IS NULL OR vec_id % 11 IN (5, 6) THEN 0 ELSE len(embedding) END AS width
  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
 

@@ -70,6 +70,14 @@ def authorize(requests: DataFrame, matrix: DataFrame) -> DataFrame:
     )
 
 
+def with_permission(requests: DataFrame, matrix: DataFrame, action: str, out: str = "permitted") -> DataFrame:
+    """Add whether the role may take the action in the caller's own namespace to (role, own_namespace)."""
+    held = matrix.withColumnRenamed("namespaces", "_spaces").withColumnRenamed("actions", "_actions")
+    spaces = F.array_contains("_spaces", F.lit("*")) | F.array_contains("_spaces", F.col("own_namespace"))
+    allowed = F.coalesce(spaces & F.array_contains("_actions", F.lit(action)), F.lit(False))
+    return requests.join(held, "role", "left").withColumn(out, allowed).drop("_spaces", "_actions")
+
+
 def namespace_gate(role: Column, namespace: Column, own: Column) -> Column:
     """True when the role may read the namespace: its own, or any for the super administrator."""
     named = F.coalesce(namespace, F.lit("")) != ""

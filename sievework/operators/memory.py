@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rx
+from ..functions import objects, rx
 from .context import or_empty, ordered_join, two_decimals
 from .ranking import DIGITS, per_query
 from .vector_search import local_search
@@ -92,7 +92,7 @@ def clean_memory(df: DataFrame) -> DataFrame:
     """Add valid: a numeric id, an object as raw JSON, and a vector that is not empty."""
     valid = (
         F.col("id").isNotNull()
-        & F.coalesce(F.col("raw").rlike(r"^\s*\{"), F.lit(False))
+        & objects.is_object(F.col("raw"))
         & (F.coalesce(F.size("embedding"), F.lit(0)) > 0)
     )
     return df.withColumn("valid", valid)

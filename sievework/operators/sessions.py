@@ -61,3 +61,23 @@ def session_payload(
         "updated_at",
         F.coalesce("memory", F.lit("No relevant memory retrieved.")).alias("memory"),
     )
+
+
+INSTRUCTIONS = "This is the contextual payload for the session."
+
+
+def payload_parts(
+    history: DataFrame, memories: DataFrame, session: str = "conv_id", rank: Column | None = None, block: int = BLOCK_TURNS
+) -> DataFrame:
+    """The payload with its messages: rows (session, part, messages, and what `session_payload` gives).
+
+    messages is an array of (role, content) in order; a session of more than `block` messages has several parts, so no row
+    grows with its session.
+    """
+    placed = running_count(history, session, "turn", "position", block)
+    parts = placed.groupBy(session, F.floor((F.col("position") - 1) / block).cast("int").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "role", "content"))).alias("listed")
+    )
+    messages = F.transform("listed", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    head = session_payload(history, memories, session, rank)
+    return parts.select(session, "part", messages.alias("messages")).join(head, session)

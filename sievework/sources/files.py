@@ -37,6 +37,16 @@ def text_source(spark: SparkSession, path: str, glob: str = "*.{txt,md}") -> Dat
     )
 
 
+def text_stream(spark: SparkSession, path: str, glob: str = "*.{txt,md}", files_per_trigger: int = 1000) -> DataFrame:
+    """Whole text files as a stream of (path, text, modified): files that arrive while it runs or between two runs."""
+    stream = spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("wholetext", True)
+    return stream.option("maxFilesPerTrigger", files_per_trigger).format("text").load(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("value").alias("text"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+    )
+
+
 def extension(name: Column) -> Column:
     return F.lower(F.element_at(F.split(name, r"\.", -1), -1))
 

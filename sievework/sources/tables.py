@@ -6,9 +6,10 @@ caller publishes by name. A failed job leaves the old state untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import masking, objects
 from ..functions.hashing import document_id
 
 DEFAULT_NAME = "Uploaded Document"
@@ -24,12 +25,18 @@ def document_rows(df: DataFrame, created_at: Column, *key: str) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, path: str, *partition: str, mode: str = "append") -> None:
-    """Write partitioned; rebalancing lets AQE cut a large namespace into several files of even size."""
-    if partition:
-        df.hint("rebalance", *[F.col(p) for p in partition]).write.mode(mode).partitionBy(*partition).parquet(path)
-    else:
-        df.write.mode(mode).parquet(path)
+def write_table(df: DataFrame, path: str, *partition: str, mode: str = "append", **counts: Column) -> dict[str, int]:
+    """Write partitioned; rebalancing lets AQE cut a large namespace into several files of even size.
+
+    Returns `rows`, the number of rows written, and further named aggregates of them, observed by the job that writes.
+    """
+    dealt = df.hint("rebalance", *[F.col(p) for p in partition]) if partition else df
+    seen = Observation()
+    # above the shuffle: tasks of the writing stage count, and a task that is run again counts once
+    dealt = dealt.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counts.items()])
+    writer = dealt.write.mode(mode)
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+    return seen.get
 
 
 def append_new(df: DataFrame, path: str, key: tuple[str, ...], *partition: str) -> int:
@@ -37,16 +44,26 @@ def append_new(df: DataFrame, path: str, key: tuple[str, ...], *partition: str)
 
     A second run of the same input adds nothing.
     """
-    spark, fresh, before = df.sparkSession, df.dropDuplicates(list(key)), 0
-    if _exists(spark, path):
+    spark, fresh = df.sparkSession, df.dropDuplicates(list(key))
+    if exists(spark, path):
         held = spark.read.parquet(path)
-        before = held.count()  # from the files' footers
         fresh = fresh.join(held.select(*key), list(key), "left_anti").select(*df.columns)
-    write_table(fresh, path, *partition)
-    return spark.read.parquet(path).count() - before
+    return write_table(fresh, path, *partition).get("rows", 0)
+
+
+def write_masked(df: DataFrame, column: str, path: str, rules: tuple[masking.Rule, ...], *partition: str) -> dict[str, int]:
+    """Write the rows with the column masked; one job writes and counts the rows and the hits of each rule."""
+    counted = masking.count_hits(df, column, rules)
+    hits = [f"hits_{rule.name}" for rule in rules]
+    seen = Observation()
+    sums = [F.coalesce(F.sum(h), F.lit(0)).alias(rule.name) for h, rule in zip(hits, rules)]
+    observed = counted.observe(seen, F.count(F.lit(1)).alias("rows"), *sums).drop(*hits)
+    writer = observed.write.mode("append")
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+    return seen.get
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
@@ -90,6 +107,22 @@ def delete_documents(
     )
 
 
+def delete_answers(documents: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row per delete request (request_id, role, document_id, namespace): status and the document that goes.
+
+    Only the super administrator deletes; a document that isn't there is no error, its answer has no row.
+    """
+    status = F.when(F.coalesce(F.col("role"), F.lit("")) != "super_admin", 403).when(
+        F.coalesce(F.col("document_id"), F.lit("")) == "", 400
+    ).otherwise(200)
+    asked = requests.withColumn("status", status)
+    held = documents.select(F.col("id").alias("document_id"), "namespace", F.struct(*documents.columns).alias("deleted_document"))
+    answered = asked.join(held, ["document_id", "namespace"], "left")
+    return answered.select(
+        "request_id", "status", F.when(F.col("status") == 200, F.col("deleted_document")).alias("deleted_document")
+    )
+
+
 def memory_entries(df: DataFrame, written_ms: Column) -> DataFrame:
     """id, raw JSON, time and metadata of payload rows; a payload's own id or timestamp wins over the given ones.
 
@@ -106,6 +139,21 @@ def memory_entries(df: DataFrame, written_ms: Column) -> DataFrame:
     )
 
 
+def payload_entries(df: DataFrame, payload: Column, written_ms: Column) -> DataFrame:
+    """id, raw, timestamp and metadata of rows whose payload is the text of a JSON object; all others are left out.
+
+    A payload's own id or timestamp wins over the given ones, as in `memory_entries`.
+    """
+    rows = df.withColumn("_raw", payload).where(objects.is_object(F.col("_raw")))
+    metadata = F.try_variant_get(objects.parsed(F.col("_raw")), "$.metadata", "variant")
+    return rows.select(
+        F.coalesce(objects.field(F.col("_raw"), "id", "long"), written_ms).alias("id"),
+        F.col("_raw").alias("raw"),
+        F.coalesce(objects.field(F.col("_raw"), "timestamp", "long"), written_ms).alias("timestamp"),
+        F.coalesce(F.to_json(metadata), F.lit("{}")).alias("metadata"),
+    )
+
+
 def append_memory(df: DataFrame, path: str, written_ms: Column) -> None:
     memory_entries(df, written_ms).write.mode("append").json(path)
 
@@ -113,3 +161,10 @@ def append_memory(df: DataFrame, path: str, written_ms: Column) -> None:
 def merge_object(df: DataFrame, sequence: str, object_key: str = "object_id") -> DataFrame:
     """Rows (object, key, value): the last written value per key, reduced before the shuffle."""
     return df.groupBy(object_key, "key").agg(F.max_by("value", F.struct(F.col(sequence), F.col("value"))).alias("value"))
+
+
+def merge_json(df: DataFrame, payload: str, sequence: str, object_key: str = "object_id") -> DataFrame:
+    """Rows (object, key, value) of objects that were written as JSON texts one over the other: the last value per key, as
+    JSON text. Texts that are no object change nothing."""
+    fields = df.select(object_key, sequence, F.explode(objects.entries(F.col(payload))).alias("_entry"))
+    return merge_object(fields.select(object_key, sequence, "_entry.key", "_entry.value"), sequence, object_key)

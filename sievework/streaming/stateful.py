@@ -88,42 +88,80 @@ def stream_rate_limit(
 
 
 class SessionCounter(StatefulProcessor):
-    """State per session: number of messages and highest turn. Only turn numbers enter it; texts take no part.
+    """State per session: number of messages, highest turn and latest time. Texts take no part.
 
-    Messages count in the order in which triggers bring them, within a trigger by turn; last_turn is the highest so far.
+    Messages count in the order in which they come: triggers one after the other, within a trigger Arrow batch by batch, in a
+    batch by turn. So a task holds one batch, however many messages a session has in a trigger; last_turn is the highest so
+    far. With a gap the state goes when the watermark has passed the latest message by it.
     """
 
-    def __init__(self, ttl_ms):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms, gap_us=None):
+        self.ttl_ms, self.gap_us = ttl_ms, gap_us
 
     def init(self, handle):
-        state = T.StructType([T.StructField("n", T.LongType()), T.StructField("updated", T.LongType())])
-        self.state = handle.getValueState("session", state, self.ttl_ms)
+        self.handle = handle
+        fields = [T.StructField(name, T.LongType()) for name in ("n", "updated", "newest")]
+        self.state = handle.getValueState("session", T.StructType(fields), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        n, updated = self.state.get() if self.state.exists() else (0, -1)
-        turns = pd.concat(list(rows))["turn"].sort_values().tolist()
-        counts = list(range(n + 1, n + 1 + len(turns)))
-        highest = [max(updated, t) for t in turns]
-        self.state.update((counts[-1], highest[-1]))
-        yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns, "message_count": counts, "last_turn": highest})
+        n, updated, newest = self.state.get() if self.state.exists() else (0, -1, None)
+        for frame in rows:
+            turns = frame["turn"].sort_values().tolist()
+            if not turns:
+                continue
+            counts = list(range(n + 1, n + 1 + len(turns)))
+            highest = []
+            for turn in turns:
+                updated = max(updated, turn)
+                highest.append(updated)
+            n = counts[-1]
+            if self.gap_us is not None:
+                newest = max([int(frame["ts_us"].max())] + ([newest] if newest is not None else []))
+            yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns, "message_count": counts, "last_turn": highest})
+        self.state.update((n, updated, newest))
+        if self.gap_us is not None and newest is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((newest + self.gap_us) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame([], columns=["conv_id", "turn", "message_count", "last_turn"])
 
     def close(self):
         pass
 
 
+SESSION_SCHEMA = "conv_id long, turn long, message_count long, last_turn long"
+
+
 def stream_session_state(messages: DataFrame, ttl_hours: int | None = None) -> DataFrame:
     """Running message count for a stream of (conv_id, turn); the messages themselves are appended by a plain stream.
 
-    ttl_hours drops the state of silent sessions; Spark then needs a trigger that keeps running.
+    ttl_hours drops the state of silent sessions by the clock; Spark then needs a trigger that keeps running. Without it
+    state stays: use `stream_sessions` where messages have times.
     """
     return (
         messages.select("conv_id", "turn")
         .groupBy("conv_id")
         .transformWithStateInPandas(
             SessionCounter(ttl_hours * 3_600_000 if ttl_hours else None),
-            "conv_id long, turn long, message_count long, last_turn long",
+            SESSION_SCHEMA,
             "Append",
             "ProcessingTime" if ttl_hours else "None",
         )
     )
+
+
+def stream_sessions(messages: DataFrame, gap_seconds: int = 1800, late_seconds: int = 600) -> DataFrame:
+    """The same for a stream of (conv_id, turn, ts) by event time.
+
+    Messages may come late_seconds behind the newest one seen; older ones are left out. A session that was silent for
+    gap_seconds of event time ends, and its state goes; a message after that begins a session of the same name anew.
+    """
+    timed = messages.select(
+        "conv_id", "turn", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
+    ).withWatermark("ts", f"{late_seconds} seconds")
+    return timed.where(F.col("conv_id").isNotNull()).groupBy("conv_id").transformWithStateInPandas(
+        SessionCounter(None, gap_seconds * 1_000_000), SESSION_SCHEMA, "Append", "EventTime"
+    )
