@@ -143,14 +143,15 @@ def only(df: DataFrame, kept: DataFrame, key: str = "doc_id", text: str = "text"
 
 def unlike(left: Column, right: Column) -> Column:
     """In how many bytes two sketches differ."""
-    total = F.lit(0)
-    for i in range(PLACES // 8):
-        x = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))
+
+    def differing(x: Column) -> Column:
+        # the lowest bit of each byte gathers the byte's bits
         for shift in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        # the lowest bit of each byte has gathered the byte's bits
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    apart = F.zip_with(left, right, lambda a, b: a.bitwiseXOR(b))
+    return F.aggregate(apart, F.lit(0), lambda total, x: total + differing(x))
 
 
 def comparable(left: str, right: str) -> Column:
