@@ -64,13 +64,13 @@ def test_a_large_group_needs_few_comparisons(spark, table, monkeypatch):
     pick = random.Random(5)
     base = [f"w{k}" for k in range(120)]
     rows = []
-    for i in range(600):
+    for i in range(150):
         words = list(base)
         # every text is near the base, few are near each other: no pivot alone links them all
         for at in pick.sample(range(0, 120, 10), 2):
             words[at] = f"x{i}"
         rows.append((i, " ".join(words)))
-    rows.append((600, " ".join(base)))
+    rows.append((150, " ".join(base)))
     asked = []
     real = near_copies.verified
 
@@ -80,7 +80,8 @@ def test_a_large_group_needs_few_comparisons(spark, table, monkeypatch):
 
     monkeypatch.setattr(near_copies, "verified", counted)
     assert ids(cp.drop_near_copies(spark, table(rows), "")) == [0]
-    assert sum(asked) < 12 * len(rows)
+    # in the number of texts: all pairs grow with its square
+    assert sum(asked) < (2 * near_copies.ROUNDS * near_copies.PIVOTS + near_copies.FEW) * len(rows)
 
 
 def test_rows_that_share_an_id(spark, table):
