@@ -13,10 +13,11 @@ A text can have a partner only if four fifths of its shingles occur in another t
 share no more than a common passage, go before any are compared.
 
 Only connectivity is asked for. In each list every text is first compared with PIVOTS of its texts, others each round, and what
-that links is one component and is not compared again: a group of near copies costs comparisons in the number of its
-texts, not its square. What is left over after the rounds (pairs of a list in different components) is compared pair by
-pair. Passed over are sizes that can't have the similarity, fingerprints more than FAR bits apart (one pair of similarity
-0.8 in 100,000) and sketches of 256 least hashes, a byte each, that differ in more than UNLIKE places (one in 70,000). Equal texts are compared once, whatever their number.
+that links is one component and is not compared again: texts that a few others of their group link cost comparisons in
+the number of texts, not its square. What is left over after the rounds (texts of a list in different components) meets in tiles
+of bounded size, by counting common shingles; no pair becomes a row. Passed over are sizes that can't have the similarity,
+fingerprints more than FAR bits apart (one pair of similarity 0.8 in 100,000) and sketches of 1,024 least hashes, a bit
+each, that differ in more than UNLIKE places (one in 60,000). Equal texts are compared once, whatever their number.
 
 Null texts count as empty; a null key takes part; repeated rows come out repeated; an empty table gives an empty one;
 further columns are left out. Long texts are held one at a time.
@@ -24,6 +25,7 @@ further columns are left out. Long texts are held one at a time.
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 import numpy as np
@@ -41,11 +43,11 @@ SHINGLE = 5
 LEAST = 0.8
 MINIMA = 8
 FAR = 22
-PLACES = 256
-UNLIKE = 78
+PLACES = 1024
+UNLIKE = 143
 PIVOTS = 6
-ROUNDS = 2
-FEW = 4
+ROUNDS = 1
+TILE = 1 << 17
 ODD = np.random.default_rng(5).integers(1, 1 << 63, size=MINIMA, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -72,19 +74,21 @@ def minima(found: np.ndarray) -> list[int]:
 
 
 ORDERS = np.random.default_rng(6).integers(1, 1 << 63, size=PLACES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-SKETCHED = 1 << 12
+SKETCHED = 1 << 9
 
 
 def sketch(found: np.ndarray) -> list[int]:
-    """One byte of the least member under each of PLACES orders, eight to a number; nothing for an empty set."""
+    """One bit of the least member under each of PLACES orders, 64 to a number; nothing for an empty set."""
     if not len(found):
         return []
     least = np.full(PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for start in range(0, len(found), SKETCHED):
         mixed = found[start : start + SKETCHED, None] * ORDERS
         mixed ^= mixed >> np.uint64(29)
-        np.minimum(least, (mixed * ORDERS).min(axis=0), out=least)
-    return (least & np.uint64(255)).astype(np.uint8).view("<i8").tolist()
+        mixed *= ORDERS
+        np.minimum(least, mixed.min(axis=0), out=least)
+    # the low bits of an odd multiple say little; a middle one does
+    return np.packbits(((least >> np.uint64(21)) & np.uint64(1)).astype(np.uint8)).view("<i8").tolist()
 
 
 def prints(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -142,16 +146,9 @@ def only(df: DataFrame, kept: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def unlike(left: Column, right: Column) -> Column:
-    """In how many bytes two sketches differ."""
-
-    def differing(x: Column) -> Column:
-        # the lowest bit of each byte gathers the byte's bits
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-
-    apart = F.zip_with(left, right, lambda a, b: a.bitwiseXOR(b))
-    return F.aggregate(apart, F.lit(0), lambda total, x: total + differing(x))
+    """In how many bits two sketches differ; null if one is empty."""
+    apart = [F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(PLACES // 64)]
+    return functools.reduce(lambda x, y: x + y, apart)
 
 
 def comparable(left: str, right: str) -> Column:
@@ -312,19 +309,65 @@ def pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
     return met.select(F.col("e.tid").alias("a"), F.col("p.tid").alias("b"))
 
 
-def left_pairs(entries: DataFrame) -> DataFrame:
-    """Rows (a, b): the pairs of each list that are of different components."""
-    met = entries.alias("l").join(entries.alias("r"), (F.col("l.at") == F.col("r.at")) & (F.col("l.root") < F.col("r.root")))
-    return met.where(comparable("l", "r")).select(F.col("l.tid").alias("a"), F.col("r.tid").alias("b"))
-
+def tile_links(tids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what pairs of similarity LEAST or more connect beyond the roots; no set is empty."""
+    sizes = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    part = np.unique(roots, return_inverse=True)[1]
+    mark = np.zeros(code.max() + 1, dtype=bool)
+    links = []
+    for i in range(len(sets) - 1):
+        small, great = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        other = np.flatnonzero((part[i + 1 :] != part[i]) & (small >= LEAST * great)) + i + 1
+        if not len(other):
+            continue
+        own = code[starts[i] : starts[i + 1]]
+        mark[own] = True
+        rest = starts[i + 1]
+        common = np.add.reduceat(mark[code[rest:]], starts[i + 1 :] - rest, dtype=np.int64)[other - i - 1]
+        mark[own] = False
+        for j in other[common >= LEAST * (sizes[i] + sizes[other] - common)].tolist():
+            if part[j] != part[i]:
+                links.append((int(tids[i]), int(tids[j])))
+                part[part == part[j]] = part[i]
+    return links
+
+
+def left_links(held: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows (a, b): verified links between texts of a list that are of different components.
+
+    A list is cut into parts of TILE shingles by the text's id; a tile holds two parts, so no task holds a whole list.
+    Texts without a comparable partner in their list don't go into a tile. Pairs are met in the tile and never become rows.
+    """
+    other = entries.alias("o")
+    own = entries.alias("e")
+    met = own.join(other, (F.col("e.at") == F.col("o.at")) & (F.col("e.root") != F.col("o.root")) & comparable("e", "o"), "left_semi")
+    met = written(met.select("at", "tid", "n", "root"), "left")
 
-def few_left(entries: DataFrame) -> bool:
-    """Whether the pairs left are in number within FEW times the entries, so that comparing them all costs no more than
-    another round."""
-    parts = entries.groupBy("at", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    lists = parts.groupBy("at").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
-    got = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
-    return not got[1] or got[0] <= FEW * got[1]
+    @steady
+    def sets(batches):
+        for batch in slices(batches, "text"):
+            found = [shingle_set(t).view(np.int64) for t in texts(batch, "text")]
+            yield rows(tid=batch.column("tid"), found=pa.array(found, type=pa.list_(pa.int64())))
+
+    def tile(table):
+        table = table.sort_by("tid")
+        found = [x.values.to_numpy() for x in table.column("found")]
+        links = tile_links(table.column("tid").to_numpy(), table.column("root").to_numpy(), found)
+        return pa.table({
+            "a": pa.array([a for a, _ in links], type=pa.int64()),
+            "b": pa.array([b for _, b in links], type=pa.int64()),
+        })
+
+    parts = met.groupBy(F.col("at").alias("list")).agg(F.ceil(F.sum("n") / TILE).cast("int").alias("parts"))
+    cut = met.join(parts, F.col("at") == F.col("list")).withColumn("own", F.pmod(F.xxhash64("tid"), "parts").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("tid", "root", "at", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    wanted = met.select(F.col("tid").alias("wanted")).distinct()
+    made = held.join(wanted, F.col("tid") == F.col("wanted"), "left_semi").mapInArrow(sets, "tid long, found array<long>")
+    given = cut.join(made, "tid").select("at", "x", "y", "tid", "root", "found")
+    return written(given.groupBy("at", "x", "y").applyInArrow(tile, "a long, b long"), "left-links")
 
 
 def roots(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -345,15 +388,11 @@ def roots(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     rooted = with_roots(nodes, links)
     entries = split_lists(lists, rooted)
     for turn in range(ROUNDS):
-        if turn and few_left(entries):
-            break
         more = verified(held, pivot_pairs(entries, turn))
-        if more.isEmpty():
-            break
         links = links.union(more)
         rooted = with_roots(nodes, links)
         entries = split_lists(entries.select("at", "tid", "degree"), rooted)
-    found = components(links.union(verified(held, left_pairs(entries))), "a", "b")
+    found = components(links.union(left_links(held, entries)), "a", "b")
     whole = distinct.join(found, F.col("tid") == F.col("node"), "left").select("tid", F.coalesce("root", "tid").alias("root"))
     return given.select(named(key), "tid"), written(whole, "near-roots")
 

@@ -60,6 +60,45 @@ def test_components_equal_the_plain_comparison(spark, table):
             assert (root[i] == root[j]) == (got[i] == got[j]), (i, j)
 
 
+def test_tiles_alone_find_all_links(spark, table, monkeypatch):
+    # no pivots, several tiles a list
+    monkeypatch.setattr(near_copies, "ROUNDS", 0)
+    monkeypatch.setattr(near_copies, "TILE", 400)
+    rows = edited(3, groups=10, size=8)
+    root = plain_roots([i for i, _ in rows], plain_links(rows))
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_copy_components(table(rows)).collect()}
+    for i, _ in rows:
+        for j, _ in rows:
+            assert (root[i] == root[j]) == (got[i] == got[j]), (i, j)
+
+
+def test_tile_links_equal_plain_pairs():
+    pick = np.random.default_rng(7)
+    sets = [np.unique(pick.choice(40, size=pick.integers(1, 40))) for _ in range(60)]
+    sets += [np.unique(np.concatenate([x, pick.choice(40, size=2)])) for x in sets[:30]]
+    tids, roots = np.arange(len(sets)), np.arange(len(sets))
+    roots[5] = 3
+    near = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    ]
+    links = near_copies.tile_links(tids, roots, sets)
+    assert {(max(x), min(x)) for x in links} <= set(near)
+    ids = tids.tolist()
+    assert plain_roots(ids, [*links, (5, 3)]) == plain_roots(ids, [*near, (5, 3)])
+
+
+def test_sketches_differ_by_dissimilarity():
+    pick = np.random.default_rng(8)
+    for common, own in ((800, 100), (300, 350)):
+        pool = pick.integers(1, 1 << 63, size=common + 2 * own).astype(np.uint64)
+        x, y = pool[: common + own], np.concatenate([pool[:common], pool[common + own :]])
+        bits = sum((a ^ b).bit_count() if a >= 0 and b >= 0 else ((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(near_copies.sketch(x), near_copies.sketch(y)))
+        apart = 1 - common / (common + 2 * own)
+        assert abs(bits - near_copies.PLACES * apart / 2) < 60
+        assert (bits <= near_copies.UNLIKE) == (apart <= 0.2)
+
+
 def test_a_large_group_needs_few_comparisons(spark, table, monkeypatch):
     pick = random.Random(5)
     base = [f"w{k}" for k in range(120)]
@@ -81,7 +120,7 @@ def test_a_large_group_needs_few_comparisons(spark, table, monkeypatch):
     monkeypatch.setattr(near_copies, "verified", counted)
     assert ids(cp.drop_near_copies(spark, table(rows), "")) == [0]
     # in the number of texts: all pairs grow with its square
-    assert sum(asked) < (2 * near_copies.ROUNDS * near_copies.PIVOTS + near_copies.FEW) * len(rows)
+    assert sum(asked) < (2 * near_copies.ROUNDS * near_copies.PIVOTS + 4) * len(rows)
 
 
 def test_rows_that_share_an_id(spark, table):
