@@ -1,10 +1,11 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
 A template is a set of words; a block of a text meets it if it holds at least `least` of them (containment). For a template of m
-words in running text the blocks are words [i*m, i*m + 2m), so every run of m words lies in one. Template words are ordered
-by how many texts hold them, rarest first (counted over all texts). A block that meets the template must hold one of its
-first |T| - need + 1 words (prefix), must have `need` distinct words (length), and what may still match behind
-the first common word must suffice (position); the rest is counted in full.
+words in running text a block is any run of 2m words, at every start: a block that begins with another word holds no more
+than the one that begins at its first template word, so those are looked at. Template words are ordered by how many texts hold them,
+rarest first (counted over all texts). A block that meets the template must hold one of its first |T| - need + 1 words
+(prefix), must have `need` template words at all (length), and what may still match behind its first word in that order must suffice (position);
+the rest is counted in full, the words in a block being kept up to date from start to start.
 
 Phrases are templates that must be contained whole; a block that passes is then searched for the places where the phrase's
 words stand one after the other. Two narrow passes over the texts; the templates are fixed and small.
@@ -61,29 +62,39 @@ class Template:
         self.need = max(1, math.ceil(least * len(ranked) - 1e-9))
         self.prefix = frozenset(ranked[: len(ranked) - self.need + 1])
 
-    def candidates(self, found: list[bytes]):
-        """Starts of the blocks that hold a prefix word."""
-        m, starts = self.size, set()
-        for i, word in enumerate(found):
-            if word in self.prefix:
-                starts.update(s for s in (i // m * m, i // m * m - m) if s >= 0)
-        return sorted(starts)
-
-    def containment(self, block: list[bytes]) -> float:
-        """Share of the template's words in a block, 0 if it can't or doesn't suffice."""
-        distinct = set(block)
-        if len(distinct) < self.need:
-            return 0.0
-        held = sorted(self.place[w] for w in distinct if w in self.place)
-        # all before the first common word are missing
-        if not held or min(len(self.place) - held[0], len(held)) < self.need:
-            return 0.0
-        return len(held) / len(self.place)
-
-    def places(self, found: list[bytes], start: int, end: int):
-        """Starts of the template's word sequence within a block."""
-        n = self.size
-        return [i for i in range(start, end - n + 1) if found[i : i + n] == self.sequence]
+    def blocks(self, hits: list[tuple[int, bytes]]):
+        """(start, containment) of all blocks that meet the template and start at a template word; hits are the places of known words."""
+        own = [(i, self.place[w], w in self.prefix) for i, w in hits if w in self.place]
+        if len(own) < self.need or not any(p for _, _, p in own):
+            return
+        times, distinct, prefixed, end = [0] * len(self.place), 0, 0, 0
+        for start, (first, rank, is_prefix) in enumerate(own):
+            while end < len(own) and own[end][0] < first + 2 * self.size:
+                times[own[end][1]] += 1
+                distinct += times[own[end][1]] == 1
+                prefixed += own[end][2]
+                end += 1
+            # prefix and length; then position: all before the first common word are missing
+            if prefixed and end - start >= self.need and distinct >= self.need:
+                least = next(i for i, n in enumerate(times) if n)
+                if len(times) - least >= self.need:
+                    yield first, distinct / len(times)
+            times[rank] -= 1
+            distinct -= times[rank] == 0
+            prefixed -= is_prefix
+
+
+def apart(blocks: list[tuple[int, float]], length: int) -> list[tuple[int, float]]:
+    """Of each run of overlapping blocks the one of highest containment, the first among equals."""
+    out, last = [], -length
+    for start, share in blocks:
+        if out and start < last + length:
+            if share > out[-1][1]:
+                out[-1] = (start, share)
+        else:
+            out.append((start, share))
+        last = start
+    return out
 
 
 def vocabulary(phrases=PHRASES, templates=TEMPLATES) -> frozenset[bytes]:
@@ -111,7 +122,7 @@ def license_blocks(
     templates: dict[str, str] | None = None, least: float = LEAST,
 ) -> DataFrame:
     """Rows (key, n_words long, places, blocks): phrase places (label, start) and template blocks (label, start, end,
-    containment), words counted from 0, end exclusive.
+    containment), words counted from 0, end exclusive. Of blocks of one template that overlap the best is given.
 
     Null and empty texts have no words and nothing found. Repeated rows give repeated rows.
     """
@@ -122,6 +133,7 @@ def license_blocks(
     joined = [Template(label, t, 1.0, order, True) for t, label in phrases.items()]
     joined += [Template(label, t, least, order, False) for label, t in templates.items()]
     any_prefix = frozenset().union(*[t.prefix for t in joined])
+    known = vocabulary(phrases, templates)
     place_type = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
     block_type = pa.list_(
         pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())])
@@ -131,18 +143,19 @@ def license_blocks(
         places, blocks = [], []
         if any_prefix.isdisjoint(found):
             return places, blocks
+        hits = [(i, w) for i, w in enumerate(found) if w in known]
+        held = {w for _, w in hits}
         for template in joined:
-            starts: set[int] = set()
-            for start in template.candidates(found):
-                end = min(len(found), start + 2 * template.size)
-                share = template.containment(found[start:end])
-                if not share:
-                    continue
-                if template.phrase:
-                    starts.update(template.places(found, start, end))
-                else:
-                    blocks.append({"label": template.label, "start": start, "end": end, "containment": share})
-            places += [{"label": template.label, "start": s} for s in sorted(starts)]
+            if template.prefix.isdisjoint(held):
+                continue
+            met, n = list(template.blocks(hits)), template.size
+            if template.phrase:
+                places += [{"label": template.label, "start": i} for i, _ in met if found[i : i + n] == template.sequence]
+            else:
+                blocks += [
+                    {"label": template.label, "start": i, "end": min(len(found), i + 2 * n), "containment": share}
+                    for i, share in apart(met, 2 * n)
+                ]
         return places, blocks
 
     @steady

@@ -38,7 +38,7 @@ LICENSE_SCAN = f"""WITH t(label, wanted, m) AS (VALUES {_TEMPLATES}),
    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
  p AS (SELECT doc_id, words, {" || ".join(_places(p) for p in ls.PHRASES)} AS starts, {_LABELLED} AS base FROM w),
  b AS (SELECT doc_id, label, len(list_intersect(list_distinct(words[s + 1 : s + 2 * m]), wanted)) / len(wanted) AS share
-  FROM w, t, LATERAL (SELECT unnest(range(0, greatest(1, len(words)), m)) AS s)),
+  FROM w, t, LATERAL (SELECT unnest(range(0, len(words))) AS s) WHERE list_contains(wanted, words[s + 1])),
  met AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM b WHERE share >= {ls.LEAST} GROUP BY doc_id)
  SELECT doc_id, len(words) AS n_words, len(starts) AS n_base, list_min(starts) - 1 AS first_word, list_max(starts) - 1 AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels,

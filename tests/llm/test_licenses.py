@@ -20,7 +20,7 @@ def plain(text):
     shares = {}
     for label, template in ls.TEMPLATES.items():
         wanted, m = set(plain_words(template)), len(plain_words(template))
-        best = max((len(wanted & set(words[s : s + 2 * m])) / len(wanted) for s in range(0, max(1, len(words)), m)), default=0)
+        best = max((len(wanted & set(words[s : s + 2 * m])) / len(wanted) for s in range(len(words))), default=0)
         if best >= ls.LEAST:
             shares[label] = best
     starts = [p for p, _ in places]
@@ -54,6 +54,19 @@ def test_equals_plain_search(table):
         assert got[i][:-1] == want[:-1] and abs(got[i][-1] - want[-1]) < 1e-12, text
 
 
+def test_a_notice_is_found_at_every_place(table):
+    texts = ["w " * n + "Released under a b c d the MIT License" + " z" * k for n in range(12) for k in (0, 3)]
+    got = report(table(enumerate(texts)))
+    for i, text in enumerate(texts):
+        assert got[i][:-1] == plain(text)[:-1] and got[i][5] == "mit,mit-notice", text
+
+
+def test_of_overlapping_blocks_the_best_is_given(table):
+    text = "z " * 4 + "Released under the MIT License " * 2 + "y " * 30 + "under the mit license"
+    row = ls.license_blocks(table([(1, text)])).first()
+    assert [(b["label"], b["start"], b["end"], b["containment"]) for b in row["blocks"]] == [("mit-notice", 4, 14, 1.0), ("mit-notice", 44, 48, 0.8)]
+
+
 def test_odd_rows(odd, nothing):
     got = report(odd)
     assert got[1] == got[2] == (0, 0, None, None, "", "", 0.0)
