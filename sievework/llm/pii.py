@@ -5,12 +5,14 @@ a local parser expands to the span's boundaries and checks it (octets, Luhn, dig
 text behind the end of its last span or run, so the work is linear in the text. A narrow pass without shuffle.
 
 Kinds: email, ip, card, phone (leftmost, not overlapping within a kind; a failing run is dropped whole), and found
-by cue: iban (mod 97), account (6 to 17 digits), ssn, login (user information in an address with a scheme).
+by cue in any case: iban (country's length, mod 97), account (6 to 17 digits), ssn, login (user information of any length in
+an address with a scheme).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -27,12 +29,21 @@ RUN = re.compile(r"[0-9]+")
 OCTETS = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-GAP = r"(?:[\x20]?(?:number|Number|NUMBER|no\.?|No\.?|nr\.?|Nr\.?))?[\x20:#=.]{0,4}"
-IBAN = re.compile(GAP + r"([A-Za-z]{2}[0-9]{2}(?:[\x20]?[A-Za-z0-9]){11,30})(?![A-Za-z0-9])")
+GAP = r"(?:[\x20]?(?i:number|no\.?|nr\.?))?[\x20:#=.]{0,4}"
+IBAN = re.compile(GAP + r"([A-Za-z]{2}[0-9]{2}(?:[\x20]?[A-Za-z0-9]){11,30})")
 ACCOUNT = re.compile(GAP + r"([0-9]{6,17})(?![0-9])")
 SSN = re.compile(GAP + r"((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
-LOGIN = re.compile(r"([^\s/?#@:]{1,64}:[^\s/?#@]{1,128})@[A-Za-z0-9]")
-CUES = {"iban": ("iban", "Iban", "IBAN"), "account": ("account", "Account", "ACCOUNT"), "ssn": ("ssn", "SSN")}
+# a stretch without slash or at-sign is read once: no limit on its length
+LOGIN = re.compile(r"([^\s/?#@:]++:[^\s/?#@]++)@[A-Za-z0-9]")
+CUES = ("iban", "account", "ssn")
+
+# Characters of an IBAN by country; other countries are tried at every end of a group.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24,
+    "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "TR": 26,
+}
 
 
 def luhn(digits: str) -> bool:
@@ -48,6 +59,21 @@ def mod97(number: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the account number from start ends, at most at end: at the country's length, else the last end of a group
+    with a right check sum; None if there is none. A number goes on to no letter or digit."""
+    size = IBAN_SIZES.get(text[start : start + 2].upper())
+    number, passing = "", None
+    for at in range(start, end):
+        if text[at] == " ":
+            continue
+        number += text[at].upper()
+        whole = at + 1 == len(text) or not (text[at + 1].isascii() and text[at + 1].isalnum())
+        if whole and len(number) >= 15 and (size is None or len(number) == size) and mod97(number):
+            passing = at + 1
+    return passing
+
+
 def octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -59,9 +85,10 @@ def anchors():
     built = ahocorasick.Automaton()
     for sign, what in (("@", "email"), ("+", "phone"), ("://", "login"), *((d, "digit") for d in "0123456789")):
         built.add_word(sign, what)
-    for what, forms in CUES.items():
-        for form in forms:
-            built.add_word(form, what)
+    for what in CUES:
+        # capitals anywhere in a cue
+        for form in itertools.product(*[(c, c.upper()) for c in what]):
+            built.add_word("".join(form), what)
     built.make_automaton()
     return built
 
@@ -100,10 +127,11 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int]]:
                 if 9 <= sum(map(number[0].count, "0123456789")) <= 15:
                     found["phone"].append(number.span())
         elif last >= free[what] and (cued := BY_CUE[what].match(text, last + 1)):
-            if what == "iban" and not mod97(cued[1].replace(" ", "").upper()):
+            start, end = cued.span(1)
+            if what == "iban" and (end := iban_end(text, start, end)) is None:
                 continue
-            found[what].append(cued.span(1))
-            free[what] = cued.end(1)
+            found[what].append((start, end))
+            free[what] = end
     return [(k, *span) for k in KINDS for span in found[k]]
 
 

@@ -56,6 +56,21 @@ def test_cued_kinds():
     assert "12345678" not in hidden and "[IBAN]" in hidden and hidden.startswith("IBAN: [IBAN]; iban DE89")
 
 
+def test_account_numbers_in_running_text_and_logins_of_any_length():
+    automaton = pii.anchors()
+    secret = "t" * 5000
+    for text, wanted in [
+        ("IBAN DE89370400440532013000 is fine", [("iban", "DE89370400440532013000")]),
+        ("iBaN: DE89 3704 0044 0532 0130 00 and more words to come", [("iban", "DE89 3704 0044 0532 0130 00")]),
+        ("IBAN DE893704004405320130001 no", []),
+        ("IBAN NO9386011117947", [("iban", "NO9386011117947")]),
+        ("iban XK05 1212 0123 4567 8906 was paid", [("iban", "XK05 1212 0123 4567 8906")]),
+        ("Ssn 123-45-6789", [("ssn", "123-45-6789")]),
+        (f"https://me:{secret}@host.example", [("login", f"me:{secret}")]),
+    ]:
+        assert [(k, text[a:b]) for k, a, b in pii.find_spans(text, automaton) if k not in (*pii.BASE, "account")] == wanted, text
+
+
 def test_report_and_masking(table):
     texts = {1: "mail a.b@c.de now", 2: "nothing", 3: None, 4: "ip 10.0.0.1 and 10.0.0.2"}
     report = {r["doc_id"]: r for r in pii.pii_report(table(texts.items())).collect()}
@@ -78,7 +93,7 @@ def test_odd_rows(odd, nothing):
 
 def test_long_runs_take_linear_time():
     automaton = pii.anchors()
-    for run in ("1", "1.", "1 ", "+1", "a@", "account ", "IBAN DE89 ", "a.", "http://a:"):
+    for run in ("1", "1.", "1 ", "+1", "a@", "account ", "IBAN DE89 ", "a.", "http://a:", "://a:b", "iban DE89 1234 "):
         times = []
         for size in (20_000, 80_000):
             start = time.perf_counter()
