@@ -19,9 +19,10 @@ LIMIT, WINDOW = 3, 86400
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its Parquet files."""
+    """A table, one Parquet file or a folder of them, as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # a pattern that only the table's own path meets: for a plain path a stream wants a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
 def run_to_end(df: DataFrame, label: str) -> DataFrame:

@@ -60,7 +60,8 @@ class StreetRule(Rule):
     def _each(self, c: Column, use) -> Column:
         """use(part, reach) for every part: reach is its beginning up to the last street word, empty if there is none."""
         parts = F.regexp_extract_all(c, F.lit(rx.ecma(f"[{self.inside}]++|[^{self.inside}]++")), F.lit(0))
-        last = rx.ecma(rf".*\s(?:{self.street})(?!\w)", "is")
+        # anchored: where no street word is found, a search would begin anew at every character of the part
+        last = rx.ecma(rf"\A.*\s(?:{self.street})(?!\w)", "is")
 
         def of_part(listed: Column, part: Column, i: Column) -> Column:
             fore = F.when(F.right(F.get(listed, i - 1), F.lit(1)) == "_", "_").otherwise("")
