@@ -24,3 +24,9 @@ def test_stream_ingest_reads_tables_in_folders(spark, in_folders):
     chunks = [-(-len((f"Jane Smith wrote line {i}.\n" * (i % 40 + 1)).strip()) // 450) for i in range(120)]
     assert got.count() == sum(chunks)
     assert got.where("chunk_index = 0").count() == 120
+
+
+def test_stream_ingest_requests_reads_tables_in_folders(spark, in_folders):
+    streamed, once = (QUERIES[name](spark, in_folders) for name in ("stream_ingest_requests", "ingest_requests"))
+    assert streamed.count() == once.count() == 120
+    assert streamed.exceptAll(once).count() == 0
