@@ -15,7 +15,7 @@ from ..streaming import stateful
 from . import fixtures as fx
 from .registry import query
 from .retrieval_queries import BASE, hits_cte, recalled, session_messages
-from .store_queries import DOC_ID, FILES, NAMED, created, matrix_sql, one_file_each
+from .store_queries import DOC_ID, FILES, NAMED, created, matrix_sql
 from .stream_queries import run_to_end, stream_table
 from .text_queries import ENTITY_SQL, report_sql
 
@@ -111,7 +111,7 @@ def text_source_stream(spark, sf_dir):
     group = F.floor(F.col("page_id") / 64).alias("g")
     grouped = fx.table(spark, sf_dir, "pages").groupBy(group).agg(F.array_join(F.collect_list(page), "").alias("value"))
     for step in range(2):
-        one_file_each(grouped.where(F.col("g") % 2 == step).select("value"), f"{path}/in/{step}")
+        tables.write_each(grouped.where(F.col("g") % 2 == step).select("value"), f"{path}/in/{step}")
         writer = files.text_stream(spark, f"{path}/in").writeStream.format("parquet").option("path", f"{path}/out")
         writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     pieces = spark.read.parquet(f"{path}/out").select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), MARK)).alias("page"))

@@ -25,9 +25,9 @@ DOC_ID = f"sha256(namespace || '␟' || {NAMED} || '␟' || text || '␟' || CAS
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
-def one_file_each(values, path):
-    """One file per row in one folder, whatever the number of rows."""
-    values.write.option("maxRecordsPerFile", 1).text(path)
+def in_few_tasks(df):
+    """Spark reads some thirty small files in a task; here are very many, so each task takes several such groups."""
+    return df.coalesce(16 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 @query("text_source", "SELECT page_id, html || chr(10) AS text FROM pages")
@@ -35,8 +35,8 @@ def text_source(spark, sf_dir):
     """Every page written as a file of its own, its number in the first line, and read back whole."""
     path = new_workspace(spark, "pages")
     pages = fx.table(spark, sf_dir, "pages")
-    one_file_each(pages.select(F.concat_ws("\n", F.col("page_id").cast("string"), "html").alias("value")), path)
-    found = files.text_source(spark, path)
+    tables.write_each(pages.select(F.concat_ws("\n", F.col("page_id").cast("string"), "html").alias("value")), path)
+    found = in_few_tasks(files.text_source(spark, path))
     cut = F.instr("text", "\n")
     return found.select(
         F.expr("substring(text, 1, instr(text, '\n') - 1)").cast("long").alias("page_id"),
@@ -97,15 +97,15 @@ def json_memory_source(spark, sf_dir):
     count = max(16, -(-rows.count() // ENTRIES_PER_FILE))
     group = F.pmod(F.xxhash64("item_id"), F.lit(count)).alias("g")
     groups = rows.groupBy(group).agg(F.to_json(F.collect_list("entry")).alias("value"))
-    one_file_each(groups.select("value"), path)
-    return json_summary(files.json_memory_source(spark, path))
+    tables.write_each(groups.select("value"), path)
+    return json_summary(files.json_memory_source(spark, f"{path}/*"))
 
 
 @query("json_dir_source", JSON_SQL)
 def json_dir_source(spark, sf_dir):
     path = new_workspace(spark, "objects")
-    vector_entries(spark, sf_dir).select("entry.*").write.option("maxRecordsPerFile", 1).json(path)
-    return json_summary(files.json_dir_source(spark, path))
+    tables.write_each(vector_entries(spark, sf_dir).select("entry.*"), path, "json")
+    return json_summary(files.json_dir_source(spark, f"{path}/*"))
 
 
 @query(
@@ -123,10 +123,10 @@ def file_router(spark, sf_dir):
     said = F.concat(F.lit("id="), F.col("doc_id").cast("string"), F.lit(";\n"), F.col("text")).cast("binary")
     # a lone byte 0xE9 is no UTF-8
     broken = F.when(kind == 1, F.concat(said, F.lit(bytes([0xE9])), F.lit(" end").cast("binary"))).otherwise(said)
-    one_file_each(docs.where(kind < 2).select(broken.cast("string").alias("value")), f"{path}/text")
-    docs.where(kind == 2).select("doc_id").write.option("maxRecordsPerFile", 1).json(f"{path}/json")
-    docs.where(kind == 3).select("doc_id").write.option("maxRecordsPerFile", 1).csv(f"{path}/csv")
-    texts, rejects = files.binary_source(spark, path)
+    tables.write_each(docs.where(kind < 2).select(broken.cast("string").alias("value")), f"{path}/text")
+    tables.write_each(docs.where(kind == 2).select("doc_id"), f"{path}/json", "json")
+    tables.write_each(docs.where(kind == 3).select("doc_id"), f"{path}/csv", "csv")
+    texts, rejects = map(in_few_tasks, files.binary_source(spark, path))
     number = F.regexp_extract("text", r"^id=(\d+);", 1).cast("long")
     read = texts.select(number.alias("doc_id"), "text", F.lit(None).cast("string").alias("reason"), F.lit(1).alias("files"))
     counted = rejects.where(~F.col("path").contains("_SUCCESS")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))

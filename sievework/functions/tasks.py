@@ -1,6 +1,6 @@
-"""Python run inside Spark tasks on Arrow batches.
+"""Python run inside Spark tasks, mostly on Arrow batches.
 
-Only what Spark SQL has no linear-time expression for: Unicode NFKC, greedy packing, order-keeping line de-duplication.
+Only what Spark SQL has no linear-time expression for: Unicode NFKC, order-keeping line de-duplication; and many small files.
 The module is shipped by value, so executors need no copy of the package.
 """
 
@@ -29,30 +29,6 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(_nfkc)
 
 
-def _pack_words(text, limit):
-    """Words joined by spaces; a piece closes when its length plus the next word's exceeds the limit."""
-    if text is None:
-        return None
-    pieces, held, length = [], [], 0
-    for word in text.split(" "):
-        if length + len(word) > limit:
-            pieces.append(" ".join(held))
-            held, length = [], 0
-        length += len(word) + (1 if held else 0)
-        held.append(word)
-    if held:
-        pieces.append(" ".join(held))
-    return pieces
-
-
-def pack_words(limit: int = 800):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _pack_words(t, limit))
-
-    return run
-
-
 # fixed values: the members of the ECMAScript white-space class
 _WHITE = (
     "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -60,34 +36,6 @@ _WHITE = (
 )
 
 
-def _pack_lines(text, limit):
-    """Lines kept whole; a piece closes when it and the next line together exceed the limit."""
-    if text is None:
-        return None
-    pieces, held, length = [], [], 0
-    for line in text.split("\n"):
-        if length + len(line) > limit:
-            piece = "".join(held).strip(_WHITE)
-            # a piece of white space only is not closed: it stays in front of the next line
-            if piece:
-                pieces.append(piece)
-                held, length = [], 0
-        held.append(line + "\n")
-        length += len(line) + 1
-    piece = "".join(held).strip(_WHITE)
-    if piece:
-        pieces.append(piece)
-    return pieces
-
-
-def pack_lines(limit: int = 800):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _pack_lines(t, limit))
-
-    return run
-
-
 def _dedupe_lines(text):
     if text is None or "\n" not in text:
         return text
@@ -105,3 +53,27 @@ def _dedupe_lines(text):
 @F.pandas_udf(T.StringType())
 def dedupe_lines(texts: pd.Series) -> pd.Series:
     return texts.map(_dedupe_lines)
+
+
+FIRST_FOLDER = "00000-000000"
+
+
+def write_each(folder: str, extension: str):
+    """What `foreachPartition` calls on rows of one binary column: every row becomes a file of a folder shared by all
+    executors. Names depend on the task's place alone, so a task that is run again writes the same files anew."""
+
+    def run(rows):
+        import os
+
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for n, (content,) in enumerate(rows):
+            if n % 1000 == 0:
+                # folders of bounded size, which many tasks can list at once
+                place = os.path.join(folder, f"{task:05d}-{n // 1000:06d}")
+                os.makedirs(place, exist_ok=True)
+            with open(os.path.join(place, f"{n % 1000:03d}.{extension}"), "wb") as file:
+                file.write(content or b"")
+
+    return run

@@ -6,10 +6,12 @@ caller publishes by name. A failed job leaves the old state untouched.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import masking, objects
+from ..functions import masking, objects, tasks
 from ..functions.hashing import document_id
 
 DEFAULT_NAME = "Uploaded Document"
@@ -63,6 +65,32 @@ def write_masked(df: DataFrame, column: str, path: str, rules: tuple[masking.Rul
     return seen.get
 
 
+# fixed values: extensions that Spark gives the files of a format
+EXTENSIONS = {"text": "txt", "json": "json", "csv": "csv"}
+
+
+def write_each(df: DataFrame, path: str, kind: str = "text") -> None:
+    """Write each row as a file of its own, text, json or csv, into folders below path.
+
+    Hadoop's local file system starts a process for the rights of every file it makes, and Spark's committer renames every
+    file on the driver; below a `file:` path the tasks write the files themselves.
+    """
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    if place.getScheme() != "file":
+        df.write.option("maxRecordsPerFile", 1).format(kind).save(path)
+        return
+    # there even without rows
+    os.makedirs(os.path.join(place.getPath(), tasks.FIRST_FOLDER), exist_ok=True)
+    if kind == "text":
+        line = F.col(*df.columns)
+    else:
+        line = (F.to_json if kind == "json" else F.to_csv)(F.struct(*df.columns))
+    content = F.concat(F.coalesce(line.cast("binary"), F.lit(b"")), F.lit(b"\n"))
+    df.select(content).foreachPartition(tasks.write_each(place.getPath(), EXTENSIONS[kind]))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

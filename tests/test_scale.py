@@ -1,11 +1,12 @@
 """Tables in many files, and what large tables must not make slow or wide."""
 
-import random
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.catalog import load
+from sievework.sources import files, tables
 
 QUERIES, ORACLES = load()
 
@@ -30,3 +31,26 @@ def test_stream_ingest_requests_reads_tables_in_folders(spark, in_folders):
     streamed, once = (QUERIES[name](spark, in_folders) for name in ("stream_ingest_requests", "ingest_requests"))
     assert streamed.count() == once.count() == 120
     assert streamed.exceptAll(once).count() == 0
+
+
+def files_below(top):
+    return sorted(os.path.join(place, name) for place, _, names in os.walk(top) for name in names)
+
+
+def test_rows_become_files_written_by_tasks(spark, tmp_path):
+    rows = spark.range(2500).selectExpr("id", "concat('row ', id) AS value").repartition(2)
+    for kind, ending in (("text", ".txt"), ("json", ".json"), ("csv", ".csv")):
+        tables.write_each(rows.select("value") if kind == "text" else rows.select("id"), str(tmp_path / kind), kind)
+        found = files_below(tmp_path / kind)
+        # neither checksums nor marks of a committer, and no folder that one task must list whole
+        assert len(found) == 2500 and all(f.endswith(ending) for f in found)
+        assert max(len(names) for _, _, names in os.walk(tmp_path / kind)) <= 1000
+    assert sorted(r.text for r in files.text_source(spark, str(tmp_path / "text")).collect()) == sorted(f"row {i}\n" for i in range(2500))
+    assert spark.read.json(str(tmp_path / "json" / "*")).distinct().count() == 2500
+    texts, rejects = files.binary_source(spark, str(tmp_path))
+    assert (texts.count(), rejects.count()) == (2500, 5000)
+
+
+def test_no_rows_become_no_files(spark, tmp_path):
+    tables.write_each(spark.range(0).selectExpr("string(id) AS value"), str(tmp_path / "none"))
+    assert files.text_source(spark, str(tmp_path / "none")).count() == 0
