@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,31 +19,45 @@ class Rule:
     flags: str = ""
     # a linear-time condition without which the pattern cannot match; spares its backtracking on other rows
     needs: str | None = None
+    # literals one of which every match holds; looked for first, as this takes the least
+    words: tuple[str, ...] = ()
     # (pattern, replacement) with the same matches that looks at each run of characters once; pattern stays the definition
     linear: tuple[str, str] | None = None
 
-    def _possible(self, c: Column) -> Column:
-        if self.needs == "@":
-            return F.contains(c, F.lit("@"))
-        return rx.found(c, self.needs, self.flags)
+    def _possible(self, c: Column) -> Column | None:
+        """Cheap conditions without which nothing matches, None if the rule has none."""
+        tests = [rx.contains_any(c, self.words)] if self.words else []
+        if self.needs is not None:
+            tests.append(rx.found(c, self.needs, self.flags))
+        return reduce(Column.__and__, tests) if tests else None
+
+    def replaced(self, c: Column) -> Column:
+        """The text masked; right for any text, meant for those in which the rule matches."""
+        return rx.sub(c, *(self.linear or (self.pattern, self.replacement)), self.flags)
 
     def apply(self, c: Column) -> Column:
-        def masked(t: Column) -> Column:
-            return rx.sub(t, *(self.linear or (self.pattern, self.replacement)), self.flags)
+        def where_possible(t: Column) -> Column:
+            possible = self._possible(t)
+            return self.replaced(t) if possible is None else F.when(possible, self.replaced(t)).otherwise(t)
 
-        if self.needs is None:
-            return masked(c)
-        return rx.let(c, lambda t: F.when(self._possible(t), masked(t)).otherwise(t))
+        return rx.let(c, where_possible)
 
     def occurs(self, c: Column) -> Column:
-        return self._possible(c) & rx.found(c, self.linear[0] if self.linear else self.pattern, self.flags)
+        found = rx.found(c, self.linear[0] if self.linear else self.pattern, self.flags)
+        possible = self._possible(c)
+        return found if possible is None else possible & found
 
     def hits(self, c: Column) -> Column:
         pattern = self.linear[0] if self.linear else self.pattern
         matches = F.regexp_count(c, F.lit(rx.ecma(pattern, self.flags)))
-        if self.needs is None:
-            return matches
-        return F.when(self._possible(c), matches).otherwise(F.lit(0))
+        possible = self._possible(c)
+        return matches if possible is None else F.when(possible, matches).otherwise(F.lit(0))
+
+
+# what the house number of an address begins
+NUMBER = r"\d\s"
+# the end of every telephone number
+PHONE_END = r"\d{3}[\s.-]?\d{4}"
 
 
 @dataclass(frozen=True)
@@ -51,14 +66,19 @@ class StreetRule(Rule):
 
     The text is cut into such runs and the rest. In each run only what stands before the end of its last street word is
     searched: there a house number finds a street word at once, so no number makes the engine walk the rest of the run in
-    vain. A neighbouring underscore is lent to the run, as it decides whether a word ends.
+    vain. A neighbouring underscore is lent to the run, as it decides whether a word ends. Runs without a digit before white
+    space, which most are, are left alone.
     """
 
     inside: str = ""
     street: str = ""
 
-    def _each(self, c: Column, use) -> Column:
-        """use(part, reach) for every part: reach is its beginning up to the last street word, empty if there is none."""
+    def _possible(self, c: Column) -> Column:
+        return rx.found(c, NUMBER) & super()._possible(c)
+
+    def _each(self, c: Column, use, unused) -> Column:
+        """use(part, whole, reach) for every part that may match: whole is the part with what it was lent, reach its beginning
+        up to the last street word, empty if there is none; unused(part) for the others."""
         parts = F.regexp_extract_all(c, F.lit(rx.ecma(f"[{self.inside}]++|[^{self.inside}]++")), F.lit(0))
         # anchored: where no street word is found, a search would begin anew at every character of the part
         last = rx.ecma(rf"\A.*\s(?:{self.street})(?!\w)", "is")
@@ -67,11 +87,12 @@ class StreetRule(Rule):
             fore = F.when(F.right(F.get(listed, i - 1), F.lit(1)) == "_", "_").otherwise("")
             aft = F.when(F.left(F.get(listed, i + 1), F.lit(1)) == "_", "_").otherwise("")
             whole = F.concat(F.when(i > 0, fore).otherwise(F.lit("")), part, aft)
-            return rx.let(whole, lambda w: use(part, w, F.regexp_extract(w, last, 0)))
+            used = rx.let(whole, lambda w: rx.let(F.regexp_extract(w, last, 0), lambda reach: use(part, w, reach)))
+            return F.when(rx.found(part, NUMBER), used).otherwise(unused(part))
 
         return rx.let(parts, lambda listed: F.transform(listed, lambda part, i: of_part(listed, part, i)))
 
-    def apply(self, c: Column) -> Column:
+    def replaced(self, c: Column) -> Column:
         def one(part: Column, whole: Column, reach: Column) -> Column:
             masked = F.concat(rx.sub(reach, self.pattern, self.replacement, self.flags), F.substring(whole, F.length(reach) + 1, F.length(whole)))
             # the underscores lent stand in no match
@@ -80,13 +101,13 @@ class StreetRule(Rule):
             kept = rx.let(masked, lambda m: F.substring(m, start + 1, F.length(m) - start - end))
             return F.when(reach == "", part).otherwise(kept)
 
-        return rx.let(c, lambda t: F.when(self._possible(t), F.array_join(self._each(t, one), "")).otherwise(t))
+        return F.array_join(self._each(c, one, lambda part: part), "")
 
     def hits(self, c: Column) -> Column:
         def one(part: Column, whole: Column, reach: Column) -> Column:
             return F.regexp_count(reach, F.lit(rx.ecma(self.pattern, self.flags)))
 
-        counted = F.aggregate(self._each(c, one), F.lit(0), lambda total, n: total + n)
+        counted = F.aggregate(self._each(c, one, lambda part: F.lit(0)), F.lit(0), lambda total, n: total + n)
         return F.when(self._possible(c), counted).otherwise(F.lit(0))
 
 
@@ -103,9 +124,9 @@ def _once_at_word(local: str, rest: str, mark: str) -> tuple[str, str]:
 
 # fixed values: patterns and marks, three rule sets that differ on purpose
 CLINICAL = (
-    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]", needs="@",
+    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]", words=("@",),
          linear=_once("[A-Za-z0-9._%+-]", r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]")),
-    Rule("phone", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE REDACTED]", needs=r"\d{4}"),
+    Rule("phone", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE REDACTED]", needs=PHONE_END),
     StreetRule(
         "address",
         r"\b\d{1,5}\s+[A-Za-z0-9\s]+\s+(Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln)\b",
@@ -115,42 +136,43 @@ CLINICAL = (
         inside=r"A-Za-z0-9\s",
         street="Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln",
     ),
-    Rule("clinician_abbreviated", r"\bDr\.\s+[A-Za-z]+\b", "Clinician"),
-    Rule("clinician", r"\bDoctor\s+[A-Za-z]+\b", "Clinician", "i"),
-    Rule("patient", r"\b(Patient|Pt|Mr|Ms|Mrs)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b", "[PATIENT]"),
+    Rule("clinician_abbreviated", r"\bDr\.\s+[A-Za-z]+\b", "Clinician", words=("Dr.",)),
+    Rule("clinician", r"\bDoctor\s+[A-Za-z]+\b", "Clinician", "i", needs="doctor"),
+    Rule("patient", r"\b(Patient|Pt|Mr|Ms|Mrs)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b", "[PATIENT]", words=("Patient", "Pt", "Mr", "Ms")),
     Rule(
         "diagnosis",
         r"\b(\d{1,3})-year-old\s+(male|female)\s+diagnosed\s+with\s+[A-Za-z0-9\s-]+\b",
         "[PATIENT DIAGNOSIS REDACTED]",
         "i",
+        needs="-year-old",
     ),
 )
 
 PII = (
-    Rule("email", r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[REDACTED_EMAIL]", "i", needs="@",
+    Rule("email", r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[REDACTED_EMAIL]", "i", words=("@",),
          linear=_once("[A-Z0-9._%+-]", r"@[A-Z0-9.-]+\.[A-Z]{2,}", "[REDACTED_EMAIL]")),
-    Rule("phone", r"\b(\+?\d{1,2}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]", needs=r"\d{4}"),
-    Rule("name", r"\b(Dr\.?\s+[A-Z][a-z]+|Mr\.?\s+[A-Z][a-z]+|Ms\.?\s+[A-Z][a-z]+)\b", "[REDACTED_NAME]"),
+    Rule("phone", r"\b(\+?\d{1,2}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]", needs=PHONE_END),
+    Rule("name", r"\b(Dr\.?\s+[A-Z][a-z]+|Mr\.?\s+[A-Z][a-z]+|Ms\.?\s+[A-Z][a-z]+)\b", "[REDACTED_NAME]", words=("Dr", "Mr", "Ms")),
 )
 
 STREET = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Wy|Place|Pl"
 LEAK_EMAIL = Rule(
-    "email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]", "i", needs="@",
+    "email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]", "i", words=("@",),
     linear=_once_at_word("[A-Z0-9._%+-]", r"@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]"),
 )
 LEAK_PHONE = Rule(
-    "phone", r"\+?1?\s*\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]", needs=r"\d{4}",
+    "phone", r"\+?1?\s*\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]", needs=PHONE_END,
     # what fails at the start of a run of white space fails inside it too
     linear=(r"(?!(?<=\s)\s)\+?1?\s*+\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", "[REDACTED_PHONE]"),
 )
-LEAK_PHONE_TEN = Rule("phone_ten", r"\b\d{10}\b", "[REDACTED_PHONE]", needs=r"\d{4}")
+LEAK_PHONE_TEN = Rule("phone_ten", r"\b\d{10}\b", "[REDACTED_PHONE]", needs=r"\d{10}")
 LEAK_ADDRESS = Rule(
     "address_short", rf"\b\d{{1,5}}\s+[A-Za-z]+\s+({STREET})\b", "[REDACTED_ADDRESS]", "i", needs=rf"\s({STREET})\b"
 )
 LEAK_FIRST_PASS = (
     LEAK_EMAIL,
     LEAK_PHONE,
-    Rule("phone_split", r"\b\d{3}[\s.-]\d{3}[\s.-]\d{4}\b", "[REDACTED_PHONE]", needs=r"\d{4}"),
+    Rule("phone_split", r"\b\d{3}[\s.-]\d{3}[\s.-]\d{4}\b", "[REDACTED_PHONE]", needs=PHONE_END),
     LEAK_PHONE_TEN,
     LEAK_ADDRESS,
     Rule(
@@ -170,7 +192,7 @@ LEAK_FIRST_PASS = (
         street=STREET,
     ),
     # nothing after the first redacted address is kept
-    Rule("after_address", r"\[REDACTED_ADDRESS\].*", "[REDACTED_ADDRESS]", "is"),
+    Rule("after_address", r"\[REDACTED_ADDRESS\].*", "[REDACTED_ADDRESS]", "is", words=("[",)),
 )
 LEAK_SECOND_PASS = (LEAK_EMAIL, LEAK_PHONE, LEAK_PHONE_TEN, LEAK_ADDRESS)
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -195,9 +217,9 @@ def mask_pii(c: Column) -> Column:
 def count_hits(df: DataFrame, column: str, rules: tuple[Rule, ...]) -> DataFrame:
     """Mask the column and add hits_<rule>: matches on the text as the earlier rules have left it."""
     for rule in rules:
-        df = df.withColumn("hits_" + rule.name, rule.hits(F.col(column))).withColumn(
-            column, rule.apply(F.col(column))
-        )
+        hits, text = F.col("hits_" + rule.name), F.col(column)
+        df = df.withColumn("hits_" + rule.name, rule.hits(text))
+        df = df.withColumn(column, F.when(hits > 0, rule.replaced(text)).otherwise(text))
     return df
 
 

@@ -1,11 +1,13 @@
 """Tables in many files, and what large tables must not make slow or wide."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.catalog import load
+from sievework.functions import masking
 from sievework.sources import files, tables
 
 QUERIES, ORACLES = load()
@@ -54,3 +56,25 @@ def test_rows_become_files_written_by_tasks(spark, tmp_path):
 def test_no_rows_become_no_files(spark, tmp_path):
     tables.write_each(spark.range(0).selectExpr("string(id) AS value"), str(tmp_path / "none"))
     assert files.text_source(spark, str(tmp_path / "none")).count() == 0
+
+
+LONG = "12 elm " * 30_000 + ". 5 Elm Street"
+
+
+@pytest.fixture(scope="module")
+def long_text(spark):
+    """A long run of numbers and words without a street word, in a text that has one after it."""
+    df = spark.createDataFrame([("a", LONG)], "g string, t string").cache()
+    df.count()
+    return df
+
+
+def timed(run):
+    start = time.perf_counter()
+    run()
+    # searching the run again from every character takes minutes
+    assert time.perf_counter() - start < 30
+
+
+def test_leak_report_walks_a_run_once(long_text):
+    timed(lambda: masking.masking_report(long_text, "t", "g", masking.LEAK_FIRST_PASS).collect())
