@@ -78,3 +78,7 @@ def timed(run):
 
 def test_leak_report_walks_a_run_once(long_text):
     timed(lambda: masking.masking_report(long_text, "t", "g", masking.LEAK_FIRST_PASS).collect())
+
+
+def test_clinical_report_walks_a_run_once(long_text):
+    timed(lambda: masking.masking_report(long_text, "t", "g", masking.CLINICAL).collect())
