@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import rx, tasks
+from . import rx
 from .text import clean_light
 
 
@@ -48,11 +48,35 @@ def word_window(c: Column, size: int = 750, overlap: int = 100) -> Column:
 
 
 def word_pack(c: Column, limit: int = 800) -> Column:
-    return tasks.pack_words(limit)(rx.text_or_empty(c))
+    """Words joined by spaces; a piece closes when its length plus the next word's exceeds the limit.
+
+    The separator before a piece is matched with it. A piece with the space before its last word is one longer than the limit
+    at most; a longer word stands alone, and one that begins the text closes an empty piece.
+    """
+    piece = rf"(?s) (.{{0,{limit + 1}}}(?= |\z)|[^ ]*+)"
+    found = F.regexp_extract_all(F.concat(F.lit(" "), rx.text_or_empty(c)), F.lit(piece), F.lit(1))
+    return rx.let(found, lambda parts: F.when(F.length(F.get(parts, F.lit(0))) > limit, F.concat(led(c, limit), parts)).otherwise(parts))
+
+
+def led(c: Column, limit: int) -> Column:
+    """An empty piece in front if the first word is longer than the limit."""
+    long_word = rx.text_or_empty(c).rlike(rf"\A[^ ]{{{limit + 1}}}")
+    return F.when(long_word, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
 
 
 def line_pack(c: Column, limit: int = 800) -> Column:
-    return tasks.pack_lines(limit)(clean_light(c))
+    """Lines kept whole; a piece closes when it and the next line together exceed the limit.
+
+    A piece takes all lines that fit into the limit. If these are white space only, it is not closed: it goes on to the end
+    of the first line with anything else.
+    """
+    blank = f"[{rx.WHITE}&&[^\\n]]"
+    fits = rf".{{0,{limit}}}(?=\n|\z)"
+    # some line within the limit ends after more than white space
+    inked = rf"(?={fits}(?<=[^{rx.WHITE}]{blank}{{0,{limit}}}))"
+    piece = rf"(?s)\n({inked}{fits}|[{rx.WHITE}]*+[^\n]*+)"
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), clean_light(c)), F.lit(piece), F.lit(1))
+    return F.filter(F.transform(found, rx.trim), lambda p: p != "")
 
 
 def explode_chunks(df: DataFrame, chunks: Column, text: str = "chunk_text", index: str = "chunk_index") -> DataFrame:

@@ -1,13 +1,15 @@
 """Tables in many files, and what large tables must not make slow or wide."""
 
 import os
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from sievework.catalog import load
-from sievework.functions import masking
+from sievework.functions import chunking, masking, rx, text
 from sievework.sources import files, tables
 
 QUERIES, ORACLES = load()
@@ -82,3 +84,47 @@ def test_leak_report_walks_a_run_once(long_text):
 
 def test_clinical_report_walks_a_run_once(long_text):
     timed(lambda: masking.masking_report(long_text, "t", "g", masking.CLINICAL).collect())
+
+
+def pack_words(words, limit):
+    pieces, held, length = [], [], 0
+    for word in words:
+        if length + len(word) > limit:
+            pieces.append(" ".join(held))
+            held, length = [], 0
+        length += len(word) + (1 if held else 0)
+        held.append(word)
+    return pieces + [" ".join(held)]
+
+
+def pack_lines(lines, limit):
+    pieces, held, length = [], [], 0
+    for line in lines:
+        if length + len(line) > limit and (piece := "".join(held).strip(rx.WHITE_CHARACTERS)):
+            pieces.append(piece)
+            held, length = [], 0
+        held.append(line + "\n")
+        length += len(line) + 1
+    piece = "".join(held).strip(rx.WHITE_CHARACTERS)
+    return pieces + ([piece] if piece else [])
+
+
+PARTS = ["a", "bb", "ccc", "x" * 9, "x" * 10, "x" * 11, "x" * 23, "\U0001f600", "é", " ", " ", "  ", "\u00a0", "\u3000", "\n", "\n", "\n\n", "\n \n", "\t", "\r"]
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark):
+    pick = random.Random(3)
+    rows = ["".join(pick.choice(PARTS) for _ in range(pick.randrange(40))) for _ in range(3000)] + ["", " ", "\n", "x" * 11 + " "]
+    return spark.createDataFrame([(t,) for t in rows], "t string").repartition(8).cache()
+
+
+def in_python(df):
+    return "Python" in df._jdf.queryExecution().executedPlan().toString() or "ArrowEval" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 1, 5, 10, 11, 20])
+def test_words_are_packed_without_python(odd_texts, limit):
+    got = odd_texts.select("t", chunking.word_pack(F.col("t"), limit).alias("p"))
+    assert not in_python(got)
+    assert [(r.t, r.p) for r in got.collect() if r.p != pack_words(r.t.split(" "), limit)] == []
