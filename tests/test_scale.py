@@ -128,3 +128,10 @@ def test_words_are_packed_without_python(odd_texts, limit):
     got = odd_texts.select("t", chunking.word_pack(F.col("t"), limit).alias("p"))
     assert not in_python(got)
     assert [(r.t, r.p) for r in got.collect() if r.p != pack_words(r.t.split(" "), limit)] == []
+
+
+@pytest.mark.parametrize("limit", [1, 5, 10, 11, 20])
+def test_lines_are_packed_without_python(odd_texts, limit):
+    got = odd_texts.select(text.clean_light(F.col("t")).alias("t"), chunking.line_pack(F.col("t"), limit).alias("p"))
+    assert not in_python(got)
+    assert [(r.t, r.p) for r in got.collect() if r.p != pack_lines(r.t.split("\n"), limit)] == []
