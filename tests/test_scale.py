@@ -135,3 +135,16 @@ def test_lines_are_packed_without_python(odd_texts, limit):
     got = odd_texts.select(text.clean_light(F.col("t")).alias("t"), chunking.line_pack(F.col("t"), limit).alias("p"))
     assert not in_python(got)
     assert [(r.t, r.p) for r in got.collect() if r.p != pack_lines(r.t.split("\n"), limit)] == []
+
+
+def test_full_cleaning_walks_a_run_once(long_text):
+    timed(lambda: long_text.select(F.length(text.clean_full(F.col("t")))).collect())
+
+
+def test_collapse_equals_the_plain_pattern(odd_texts):
+    plain = F.trim(rx.sub(F.col("t"), r"\s+", " "))
+    assert odd_texts.where(rx.collapse(F.col("t")) != plain).count() == 0
+    # a guard by literals changes no result
+    marks = odd_texts.select(F.translate("t", "ab", "“•").alias("t"))
+    rules = (("[“”]", '"'), ("•", "- "))
+    assert marks.where(rx.chain_where(F.col("t"), ("“", "”", "•"), *rules) != rx.chain(F.col("t"), *rules)).count() == 0
