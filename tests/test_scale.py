@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.catalog import load
 from sievework.functions import chunking, masking, rx, text
+from sievework.plans.chat import finish
 from sievework.sources import files, tables
 
 QUERIES, ORACLES = load()
@@ -148,3 +149,8 @@ def test_collapse_equals_the_plain_pattern(odd_texts):
     marks = odd_texts.select(F.translate("t", "ab", "“•").alias("t"))
     rules = (("[“”]", '"'), ("•", "- "))
     assert marks.where(rx.chain_where(F.col("t"), ("“", "”", "•"), *rules) != rx.chain(F.col("t"), *rules)).count() == 0
+
+
+def test_finish_walks_a_run_once(long_text):
+    answers = long_text.select(F.col("t").alias("answer"), F.lit("m").alias("message"), F.lit("").alias("context"))
+    timed(lambda: finish(answers).select(F.length("answer")).collect())
