@@ -154,3 +154,7 @@ def test_collapse_equals_the_plain_pattern(odd_texts):
 def test_finish_walks_a_run_once(long_text):
     answers = long_text.select(F.col("t").alias("answer"), F.lit("m").alias("message"), F.lit("").alias("context"))
     timed(lambda: finish(answers).select(F.length("answer")).collect())
+
+
+def test_strip_walks_a_run_once(long_text):
+    timed(lambda: long_text.select(F.length(masking.strip_sensitive(F.col("t")))).collect())
