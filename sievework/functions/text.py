@@ -15,8 +15,9 @@ from .tasks import dedupe_lines, nfkc
 def clean_full(c: Column) -> Column:
     """Control characters, NFKC, quotes, bullets, dashes, clinical masking, one space between words."""
     plain = rx.sub(rx.text_or_empty(c), r"[\x00-\x09\x0B\x0C\x0E-\x1F]", " ")
-    plain = rx.chain(
+    plain = rx.chain_where(
         nfkc(plain),
+        ("“", "”", "‘", "’", "\uFFFD", "•", "—", "–"),
         ("[“”]", '"'),
         ("[‘’]", "'"),
         (r"\uFFFD", " "),
@@ -80,32 +81,33 @@ def strip_artifacts(c: Column) -> Column:
 
 def normalize_typography(c: Column) -> Column:
     # fixed values: the patterns of these chains
-    text = rx.trim(rx.chain(rx.text_or_empty(c), (r"\r\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")))
-    text = rx.chain(
-        text,
-        # bullets
-        ("[•*–]", "-"),
-        (r"-\s{0,}", "- "),
-        (r"- -\s+", "- "),
-        # sentence ends
-        (r"([a-zA-Z])\n([a-zA-Z])", "$1 $2"),
-        (r"([.?!])([A-Z])", "$1 $2"),
-        # markdown
-        (r"```\s*$", "```"),
-        (r"\*\*\s+(.*?)\s+\*\*", "**$1**"),
-        (r"`{3,}", "```"),
-        # characters; this also removes the line breaks left
-        (r"[\x00-\x1F\x7F]", ""),
-        ("[“”]", '"'),
-        ("[‘’]", "'"),
-        # wording
+    text = rx.chain_where(rx.text_or_empty(c), ("\r\n",), (r"\r\n", "\n"))
+    text = rx.chain_where(text, ("\n\n\n",), (r"\n{3,}", "\n\n"))
+    text = rx.trim_rare(rx.chain_where(text, ("  ", "\t"), (r"[ \t]+", " ")))
+    # bullets
+    text = rx.chain_where(text, ("•", "*", "–"), ("[•*–]", "-"))
+    text = rx.chain_where(text, ("-",), (r"-\s{0,}", "- "))
+    text = rx.chain_where(text, ("- -",), (r"- -\s+", "- "))
+    # sentence ends
+    text = rx.chain_where(text, ("\n",), (r"([a-zA-Z])\n([a-zA-Z])", "$1 $2"))
+    text = rx.sub(text, r"([.?!])([A-Z])", "$1 $2")
+    # markdown
+    text = rx.chain_where(text, ("```",), (r"```\s*$", "```"))
+    text = rx.chain_where(text, ("**",), (r"\*\*\s+(.*?)\s+\*\*", "**$1**"))
+    text = rx.chain_where(text, ("```",), (r"`{3,}", "```"))
+    # characters; this also removes the line breaks left
+    text = rx.sub(text, r"[\x00-\x1F\x7F]", "")
+    text = rx.chain_where(text, ("“", "”", "‘", "’"), ("[“”]", '"'), ("[‘’]", "'"))
+    wording = (
         (r"\bI(?:'m| am) sorry\b.*?(?=\.)", "", "i"),
         (r"\bAs an AI\b.*?(?=\.)", "", "i"),
         (r"\bmaybe\b", "possibly", "i"),
         (r"\bI think\b", "It appears", "i"),
         (r"\bI guess\b", "It suggests", "i"),
     )
-    return rx.trim(text)
+    # one pass finds the texts in which a rule of the wording may match
+    worded = rx.let(text, lambda t: F.when(rx.found(t, "sorry|as an ai|maybe|i think|i guess", "i"), rx.chain(t, *wording)).otherwise(t))
+    return rx.trim_rare(worded)
 
 
 def repair_tokens(c: Column) -> Column:

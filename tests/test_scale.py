@@ -158,3 +158,26 @@ def test_finish_walks_a_run_once(long_text):
 
 def test_strip_walks_a_run_once(long_text):
     timed(lambda: long_text.select(F.length(masking.strip_sensitive(F.col("t")))).collect())
+
+
+PLAIN_TYPOGRAPHY = (
+    ("[•*–]", "-"), (r"-\s{0,}", "- "), (r"- -\s+", "- "), (r"([a-zA-Z])\n([a-zA-Z])", "$1 $2"), (r"([.?!])([A-Z])", "$1 $2"),
+    (r"```\s*$", "```"), (r"\*\*\s+(.*?)\s+\*\*", "**$1**"), (r"`{3,}", "```"), (r"[\x00-\x1F\x7F]", ""), ("[“”]", '"'), ("[‘’]", "'"),
+    (r"\bI(?:'m| am) sorry\b.*?(?=\.)", "", "i"), (r"\bAs an AI\b.*?(?=\.)", "", "i"), (r"\bmaybe\b", "possibly", "i"),
+    (r"\bI think\b", "It appears", "i"), (r"\bI guess\b", "It suggests", "i"),
+)
+SIGNS = PARTS + [
+    "•", "*", "–", "-", "- -", ".", "?", "A", "b", "```", "`", "**", "\r\n", "“", "’", "\x7f", "I'm sorry", "i AM SORRY", "as an ai",
+    "Maybe", "I think", "i guess", ".", " ",
+]
+
+
+def test_typography_equals_the_plain_chain(spark):
+    pick = random.Random(4)
+    rows = [("".join(pick.choice(SIGNS) for _ in range(pick.randrange(40))),) for _ in range(6000)]
+    df, c = spark.createDataFrame(rows, "t string").repartition(8), F.col("t")
+    start = rx.trim(rx.chain(c, (r"\r\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")))
+    bad = df.select("t", text.normalize_typography(c).alias("a"), rx.trim(rx.chain(start, *PLAIN_TYPOGRAPHY)).alias("b")).where("a <> b")
+    assert bad.limit(3).collect() == []
+    # most patterns run only where a literal of theirs was found
+    assert "contains" in df.select(text.normalize_typography(c))._jdf.queryExecution().analyzed().toString().lower()
