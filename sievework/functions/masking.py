@@ -17,8 +17,8 @@ class Rule:
     pattern: str
     replacement: str
     flags: str = ""
-    # a linear-time condition without which the pattern cannot match; spares its backtracking on other rows
-    needs: str | None = None
+    # linear-time conditions without each of which the pattern cannot match; spares its backtracking on other rows
+    needs: str | tuple[str, ...] = ()
     # literals one of which every match holds; looked for first, as this takes the least
     words: tuple[str, ...] = ()
     # (pattern, replacement) with the same matches that looks at each run of characters once; pattern stays the definition
@@ -27,8 +27,8 @@ class Rule:
     def _possible(self, c: Column) -> Column | None:
         """Cheap conditions without which nothing matches, None if the rule has none."""
         tests = [rx.contains_any(c, self.words)] if self.words else []
-        if self.needs is not None:
-            tests.append(rx.found(c, self.needs, self.flags))
+        needs = (self.needs,) if isinstance(self.needs, str) else self.needs
+        tests += [rx.found(c, need, self.flags) for need in needs]
         return reduce(Column.__and__, tests) if tests else None
 
     def replaced(self, c: Column) -> Column:
@@ -167,8 +167,9 @@ LEAK_PHONE = Rule(
 )
 LEAK_PHONE_TEN = Rule("phone_ten", r"\b\d{10}\b", "[REDACTED_PHONE]", needs=r"\d{10}")
 LEAK_ADDRESS = Rule(
-    "address_short", rf"\b\d{{1,5}}\s+[A-Za-z]+\s+({STREET})\b", "[REDACTED_ADDRESS]", "i", needs=rf"\s({STREET})\b"
-)
+    "address_short", rf"\b\d{{1,5}}\s+[A-Za-z]+\s+({STREET})\b", "[REDACTED_ADDRESS]", "i",
+    needs=(NUMBER, rf"\s({STREET})\b"),
+)
 LEAK_FIRST_PASS = (
     LEAK_EMAIL,
     LEAK_PHONE,
@@ -180,7 +181,7 @@ LEAK_FIRST_PASS = (
         rf"\b\d{{1,5}}\s+\d{{1,3}}(?:st|nd|rd|th)\s+[A-Za-z]+\s+(?:{STREET})\b",
         "[REDACTED_ADDRESS]",
         "i",
-        needs=rf"\s({STREET})\b",
+        needs=(r"\d(?:st|nd|rd|th)\s", rf"\s({STREET})\b"),
     ),
     StreetRule(
         "address_long",

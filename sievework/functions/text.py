@@ -281,21 +281,17 @@ EMPTY_ANSWER = "I need more information."
 
 
 def normalize_answer(c: Column) -> Column:
-    return rx.trim(rx.chain(rx.text_or_empty(c), (r"\r\n", "\n"), (r"\n{3,}", "\n\n")))
+    text = rx.chain_where(rx.text_or_empty(c), ("\r\n",), (r"\r\n", "\n"))
+    return rx.trim_rare(rx.chain_where(text, ("\n\n\n",), (r"\n{3,}", "\n\n")))
 
 
 def clean_structural_noise(c: Column) -> Column:
-    return rx.trim(
-        rx.chain(
-            normalize_answer(c),
-            (r":\.", ":"),
-            (r"-\s*/\s*", "- "),
-            (r"\n\d+\.\s*\n", "\n"),
-            # per line; the white space after the dashes may reach over line ends
-            (r"^-+\s*$", "", "m"),
-            (r"\n{3,}", "\n\n"),
-        )
-    )
+    text = rx.chain_where(normalize_answer(c), (":.",), (r":\.", ":"))
+    text = rx.chain_where(text, ("/",), (r"-\s*/\s*", "- "))
+    text = rx.chain_where(text, ("\n",), (r"\n\d+\.\s*\n", "\n"))
+    # per line; the white space after the dashes may reach over line ends
+    text = rx.chain_where(text, ("-",), (r"^-+\s*$", "", "m"))
+    return rx.trim_rare(rx.chain_where(text, ("\n\n\n",), (r"\n{3,}", "\n\n")))
 
 
 def unique_lines(c: Column) -> Column:
@@ -304,7 +300,8 @@ def unique_lines(c: Column) -> Column:
 
 
 def cap_sentences(c: Column, limit: int = 10) -> Column:
-    sentences = F.filter(F.split(c, rx.ecma(r"(?<=[.!?])\s+"), -1), lambda s: s != "")
+    # white space is met less often than the look behind it is tried
+    sentences = F.filter(F.split(c, rx.ecma(r"\s(?<=[.!?]\s)\s*+"), -1), lambda s: s != "")
     return rx.let(
         F.struct(c.alias("text"), sentences.alias("parts")),
         lambda x: F.when(F.size(x["parts"]) <= limit, x["text"]).otherwise(

@@ -181,3 +181,15 @@ def test_typography_equals_the_plain_chain(spark):
     assert bad.limit(3).collect() == []
     # most patterns run only where a literal of theirs was found
     assert "contains" in df.select(text.normalize_typography(c))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_noise_and_sentences_equal_the_plain_chains(spark):
+    pick = random.Random(6)
+    signs = SIGNS + [":.", "/", "-", "---", "1.", "\n1.\n", "!", "? ", ". "]
+    df = spark.createDataFrame([("".join(pick.choice(signs) for _ in range(pick.randrange(40))),) for _ in range(6000)], "t string").repartition(8)
+    answer = rx.trim(rx.chain(F.col("t"), (r"\r\n", "\n"), (r"\n{3,}", "\n\n")))
+    noise = ((r":\.", ":"), (r"-\s*/\s*", "- "), (r"\n\d+\.\s*\n", "\n"), (r"^-+\s*$", "", "m"), (r"\n{3,}", "\n\n"))
+    assert df.where(text.clean_structural_noise(F.col("t")) != rx.trim(rx.chain(answer, *noise))).count() == 0
+    parts = F.filter(F.split("t", rx.ecma(r"(?<=[.!?])\s+"), -1), lambda s: s != "")
+    plain = F.when(F.size(parts) <= 2, F.col("t")).otherwise(rx.trim(F.array_join(F.slice(parts, 1, 2), " ")))
+    assert df.where(text.cap_sentences(F.col("t"), 2) != plain).count() == 0
