@@ -193,3 +193,11 @@ def test_noise_and_sentences_equal_the_plain_chains(spark):
     parts = F.filter(F.split("t", rx.ecma(r"(?<=[.!?])\s+"), -1), lambda s: s != "")
     plain = F.when(F.size(parts) <= 2, F.col("t")).otherwise(rx.trim(F.array_join(F.slice(parts, 1, 2), " ")))
     assert df.where(text.cap_sentences(F.col("t"), 2) != plain).count() == 0
+
+
+def test_text_source_reads_pages_written_by_tasks(spark, tmp_path):
+    pages = [(i, f"u{i}", f"<p>\n{i}</p>" if i % 5 else "") for i in range(300)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["text_source"](spark, str(tmp_path))
+    assert sorted(got.collect()) == [(i, html + "\n") for i, _, html in pages]
+    assert got.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism
