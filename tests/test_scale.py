@@ -201,3 +201,7 @@ def test_text_source_reads_pages_written_by_tasks(spark, tmp_path):
     got = QUERIES["text_source"](spark, str(tmp_path))
     assert sorted(got.collect()) == [(i, html + "\n") for i, _, html in pages]
     assert got.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism
+
+
+def test_clinical_masking_walks_a_run_once(long_text):
+    timed(lambda: long_text.select(F.length(masking.mask_clinical(F.col("t")))).collect())
