@@ -205,3 +205,7 @@ def test_text_source_reads_pages_written_by_tasks(spark, tmp_path):
 
 def test_clinical_masking_walks_a_run_once(long_text):
     timed(lambda: long_text.select(F.length(masking.mask_clinical(F.col("t")))).collect())
+
+
+def test_write_masked_walks_a_run_once(long_text, tmp_path):
+    timed(lambda: tables.write_masked(long_text, "t", str(tmp_path / "masked"), masking.CLINICAL))
