@@ -192,7 +192,8 @@ def shared_shingles(held: DataFrame) -> DataFrame:
     """Rows (tid, k): how many shingles of a text occur in other texts too; texts without any have no row.
 
     Shingles that several texts of a slice hold are counted there and go on as one mark, so a shingle that all texts hold is
-    no hot key.
+    no hot key. Of the others every one that met another becomes one row at most and is added up by Spark, so rows grow with the
+    shingles, however these fall into batches.
     """
 
     @steady
@@ -226,22 +227,23 @@ def shared_shingles(held: DataFrame) -> DataFrame:
             # the last run may go on in the next batch
             cut = int(np.searchsorted(h, h[-1]))
             carried = h[cut:], tid[cut:], part[cut:]
-            yield counted(h[:cut], tid[:cut], part[:cut])
+            yield shared(h[:cut], tid[:cut], part[:cut])
         if carried is not None:
-            yield counted(*carried)
+            yield shared(*carried)
 
-    def counted(h, tid, part):
+    def shared(h, tid, part):
         if len(h):
-            _, code, times = np.unique(h, return_inverse=True, return_counts=True)
-            known = np.zeros(len(times), dtype=bool)
-            known[code[part == 1]] = True
-            tid = tid[((times > 1) | known)[code] & (part == 0)]
-        found, k = np.unique(tid, return_counts=True)
-        return rows(tid=pa.array(found, type=pa.int64()), k=pa.array(k, type=pa.int64()))
+            # h is sorted: a run of one value is one shingle
+            start = np.concatenate([[True], h[1:] != h[:-1]])
+            code = np.cumsum(start) - 1
+            known = (np.bincount(code) > 1) | (np.bincount(code, weights=part) > 0)
+            tid = tid[known[code] & (part == 0)]
+        return rows(tid=pa.array(tid, type=pa.int64()))
 
     made = written(held.mapInArrow(run, "h long, tid long, part byte, k long"), "shingles")
     sorted_ = made.where("part < 2").select("h", "tid", "part").repartition("h").sortWithinPartitions("h")
-    counts = sorted_.mapInArrow(meet, "tid long, k long").union(made.where("part = 2").select("tid", "k"))
+    met = sorted_.mapInArrow(meet, "tid long").select("tid", F.lit(1).cast("long").alias("k"))
+    counts = met.union(made.where("part = 2").select("tid", "k"))
     return counts.groupBy("tid").agg(F.sum("k").alias("k"))
 
 

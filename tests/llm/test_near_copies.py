@@ -123,6 +123,29 @@ def test_a_large_group_needs_few_comparisons(spark, table, monkeypatch):
     assert sum(asked) < (2 * near_copies.ROUNDS * near_copies.PIVOTS + 4) * len(rows)
 
 
+def test_shared_shingles_make_rows_in_proportion(spark, monkeypatch):
+    def halves(pairs):
+        # two texts that share all shingles but one lie in different slices
+        base = [" ".join(f"w{i}x{j}" for j in range(150)) for i in range(pairs)]
+        rows = list(enumerate(base + [t + " tail" for t in base]))
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "tid long, text string")
+
+    held, met = [halves(10), halves(200)], []
+    whole = type(held[0]).mapInArrow
+
+    def kept(self, func, *given, **named):
+        out = whole(self, func, *given, **named)
+        if func.__name__ == "meet":
+            met.append(out)
+        return out
+
+    monkeypatch.setattr(type(held[0]), "mapInArrow", kept)
+    for pairs, df in zip((10, 200), held):
+        assert {tuple(r) for r in near_copies.shared_shingles(df).collect()} == {(i, 146) for i in range(2 * pairs)}
+    small, large = (df.count() for df in met)
+    assert 0 < large <= 20 * small
+
+
 def test_rows_that_share_an_id(spark, table):
     pick = random.Random(6)
     long = lambda s: " ".join(f"{s}{pick.randrange(10**6)}" for _ in range(80))
