@@ -1,6 +1,7 @@
 """Python run inside Spark tasks, mostly on Arrow batches.
 
-Only what Spark SQL has no linear-time expression for: Unicode NFKC, order-keeping line de-duplication; and many small files.
+Only what Spark SQL has no linear-time expression for: Unicode NFKC, order-keeping line de-duplication; and many small files,
+written, listed and read.
 The module is shipped by value, so executors need no copy of the package.
 """
 
@@ -77,3 +78,68 @@ def write_each(folder: str, extension: str):
                 file.write(content or b"")
 
     return run
+
+
+def found(folder: str, files: bool = True):
+    """(path, whether it is a folder) of the folders and, if asked for, files that Spark's file readers find right in a folder:
+    no hidden names, no empty files. Links are followed, broken ones are left out, and so are names that are no UTF-8."""
+    import os
+
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            name, deeper = entry.name, entry.is_dir()
+            hidden = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+            if hidden and not (deeper and name.startswith(("_metadata", "_common_metadata"))):
+                continue
+            try:
+                name.encode()
+                if deeper or files and entry.stat().st_size > 0:
+                    yield entry.path, deeper
+            except (UnicodeEncodeError, FileNotFoundError):
+                continue
+
+
+def list_files(batches):
+    """What `mapInArrow` calls on rows (folder, deep): the path of every file of the folder, if deep of all files below it."""
+    import pyarrow as pa
+
+    def batch(paths):
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    paths = []
+    for rows in batches:
+        for row in rows.to_pylist():
+            left = [row["folder"]]
+            while left:
+                for path, deeper in found(left.pop()):
+                    if not deeper:
+                        paths.append(f"file:{path}")
+                    elif row["deep"]:
+                        left.append(path)
+                    if len(paths) == 10_000:
+                        yield batch(paths)
+                        paths = []
+    if paths:
+        yield batch(paths)
+
+
+def read_files(batches):
+    """What `mapInArrow` calls on rows (path): path and content, some MB at a time."""
+    import pyarrow as pa
+
+    def batch(paths, contents):
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    paths, contents, size = [], [], 0
+    for rows in batches:
+        for path in rows.column(0).to_pylist():
+            with open(path.removeprefix("file:"), "rb") as file:
+                content = file.read()
+            if paths and (size + len(content) > 1 << 22 or len(paths) == 1000):
+                yield batch(paths, contents)
+                paths, contents, size = [], [], 0
+            paths.append(path)
+            contents.append(content)
+            size += len(content)
+    if paths:
+        yield batch(paths, contents)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from ..functions import rx
+from ..functions import rx, tasks
 from ..functions.masking import mask_pii
 
 # fixed values: extensions and MIME types by what is done with them
@@ -76,15 +79,56 @@ def parsed_text(content: Column) -> Column:
     return rx.trim(mask_pii(F.coalesce(content, F.lit(""))))
 
 
+# most folders whose names the driver holds at once
+FOLDERS = 50_000
+
+
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder a path names if it is one of a `file:` path without wildcards."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    folder = place.getPath()
+    return folder if place.getScheme() == "file" and not set(folder) & set("{}[]*?\\") and os.path.isdir(folder) else None
+
+
+def folders_below(top: str, enough: int, most: int = FOLDERS) -> list[tuple[str, bool]]:
+    """(folder, deep), which together hold every file below top once; deep folders are `enough` if there are as many.
+
+    Levels of more than `most` folders are left to the tasks that walk the level above.
+    """
+    apart, level = [], [top]
+    while level and len(level) < enough:
+        below = list(itertools.islice((path for folder in level for path, _ in tasks.found(folder, files=False)), most + 1))
+        if len(below) > most:
+            break
+        apart += [(folder, False) for folder in level]
+        level = below
+    return apart + [(folder, True) for folder in level]
+
+
+def local_paths(spark: SparkSession, folder: str, enough: int) -> DataFrame:
+    """(path) of all files below a folder all executors can reach, in tasks; the driver holds names of folders only."""
+    folders = folders_below(folder, enough)
+    return spark.createDataFrame(folders, "folder string, deep boolean").mapInArrow(tasks.list_files, "path string")
+
+
 def binary_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, rejects) of all files below path; files that need an extractor are rejects with a reason."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .withColumn("route", route_by_extension(F.col("path")))
-    )
-    texts = files.where(F.col("route") == "text").select("path", parsed_text(utf8(F.col("content"))).alias("text"))
+    """(texts, rejects) of all files below path; files that need an extractor are rejects with a reason.
+
+    Spark's reader holds every file's status and its place in a task on the driver; below a `file:` path the tasks list the
+    files, anew for every job, and read them themselves.
+    """
+    route, folder = route_by_extension(F.col("path")), local_folder(spark, path)
+    if folder is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).withColumn("route", route)
+        found = files.where(F.col("route") == "text")
+    else:
+        parts = 16 * spark.sparkContext.defaultParallelism
+        files = local_paths(spark, folder, parts).withColumn("route", route)
+        # a folder may hold most of the files: their paths are dealt to tasks that read
+        dealt = files.where(F.col("route") == "text").select("path").repartition(parts, "path")
+        found = dealt.mapInArrow(tasks.read_files, "path string, content binary")
+    texts = found.select("path", parsed_text(utf8(F.col("content"))).alias("text"))
     rejects = files.where(F.col("route") != "text").select(
         "path",
         F.when(F.col("route") == "extract", F.lit("needs an extractor"))

@@ -4,12 +4,14 @@ import os
 import random
 import time
 
+import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from sievework.catalog import load
-from sievework.functions import chunking, masking, rx, text
+from sievework.functions import chunking, masking, rx, tasks, text
 from sievework.plans.chat import finish
 from sievework.sources import files, tables
 
@@ -61,6 +63,89 @@ def test_no_rows_become_no_files(spark, tmp_path):
     assert files.text_source(spark, str(tmp_path / "none")).count() == 0
 
 
+ODD_FILES = (
+    "a.md", "sub/b.TXT", "sub/deep/er/c.txt", "sub/c.png", "no_ending", "sp ace é%20/q #?.txt", "new\nline.txt", "x=1/_y=2/d.txt", "_e=1.txt",
+    "_metadata_folder/f.txt", "_hidden/g.txt", "_hidden.txt", ".hidden/h.txt", ".hidden.txt", "_metadata.txt", "i.txt._COPYING_", "j.pdf",
+)
+
+
+@pytest.fixture
+def odd_tree(tmp_path):
+    top = tmp_path / "_top"
+    for n, name in enumerate(ODD_FILES):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(b"text %d \xe9" % n)
+    (top / "empty.txt").touch()
+    (top / "link.txt").symlink_to(top / "a.md")
+    (top / "linked").symlink_to(top / "sub")
+    (top / "broken.txt").symlink_to(top / "nothing")
+    with open(os.fsencode(top) + b"/no\xe9.txt", "w") as file:
+        file.write("no UTF-8 name")
+    return str(top)
+
+
+def test_binary_source_leaves_the_files_to_tasks(spark, odd_tree):
+    texts, rejects = files.binary_source(spark, odd_tree)
+    # the driver knows of no file
+    assert list(texts.inputFiles()) == list(rejects.inputFiles()) == []
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(odd_tree)
+    want = plain.select("path", files.route_by_extension(F.col("path")).alias("route"), files.parsed_text(files.utf8(F.col("content"))).alias("text"))
+    assert want.count() == 15
+    assert sorted(texts.collect()) == sorted(want.where("route = 'text'").select("path", "text").collect())
+    assert sorted(r.path for r in rejects.collect()) == sorted(r.path for r in want.where("route <> 'text'").collect())
+
+
+def test_binary_source_reads_other_paths_as_spark_does(spark, odd_tree):
+    # one file, wildcards, no file at all
+    assert files.binary_source(spark, f"{odd_tree}/a.md")[0].count() == 1
+    assert files.binary_source(spark, f"{odd_tree}/su*")[0].count() == 2
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        files.binary_source(spark, f"{odd_tree}/nothing")
+
+
+def walked(folder):
+    for path, deeper in tasks.found(folder):
+        yield path, deeper
+        if deeper:
+            yield from walked(path)
+
+
+def test_folders_hold_every_file_once(odd_tree):
+    whole = [path for path, deeper in walked(odd_tree) if not deeper]
+    assert len(whole) == 15
+    for enough, most in ((1, 100), (2, 100), (5, 100), (1000, 100), (1000, 3), (1000, 0)):
+        folders = files.folders_below(odd_tree, enough, most)
+        batch = pa.RecordBatch.from_pylist([{"folder": folder, "deep": deep} for folder, deep in folders])
+        paths = [path.removeprefix("file:") for got in tasks.list_files([batch]) for path in got.column(0).to_pylist()]
+        assert sorted(paths) == sorted(whole)
+        # a level of too many folders is not held
+        assert len(folders) == 1 or most > 3
+
+
+def test_files_are_read_some_at_a_time(tmp_path):
+    sizes = [5 << 20, 3 << 20, 2 << 20, 1, 0, 1 << 20]
+    for n, size in enumerate(sizes):
+        (tmp_path / str(n)).write_bytes(b"x" * size)
+    paths = [f"file:{tmp_path}/{n}" for n in range(len(sizes))]
+    got = list(tasks.read_files([pa.RecordBatch.from_pydict({"path": part}) for part in (paths[:2], paths[2:])]))
+    assert [len(row["content"]) for batch in got for row in batch.to_pylist()] == sizes
+    assert [batch.num_rows for batch in got] == [1, 1, 4]
+    many = list(tasks.read_files([pa.RecordBatch.from_pydict({"path": paths[3:4] * 2001})]))
+    assert [batch.num_rows for batch in many] == [1000, 1000, 1]
+
+
+def test_file_router_keeps_no_file_on_the_driver(spark, tmp_path):
+    rows = [(i, "" if i == 4 else f"Line {i},\n\u00e9 a@b.co ", "en", "src", 1) for i in range(203)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["file_router"](spark, str(tmp_path))
+    assert list(got.inputFiles()) == []
+    text = lambda i: f"id={i};\n" + ("" if i == 4 else f"Line {i},\n\u00e9 [REDACTED_EMAIL] ") + "\ufffd end" * (i % 4)
+    want = [(i, text(i).strip(), None, 1) for i in range(203) if i % 4 < 2]
+    assert sorted(got.where("reason IS NULL").collect()) == want
+    assert sorted(got.where("doc_id IS NULL").select("reason", "files").collect()) == [("Unsupported file type: csv", 50), ("Unsupported file type: json", 51)]
+
+
 LONG = "12 elm " * 30_000 + ". 5 Elm Street"
 
 
